@@ -7,6 +7,7 @@ Spark has no complex type, so a complex number is a pair of columns
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,14 @@ def decibel(value: Column) -> Column:
     return F.lit(10.0) * F.log10(value)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    An expression named inside a lambda is otherwise evaluated again for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def clamp(value: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), value))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonelake.functions.scalars import let
 from tonelake.session import pin
 from tonelake.sources.series import number_rows, to_blocks, to_samples
 
@@ -108,21 +109,22 @@ class Inputs:
         moves by ``0.3 * sign_k`` per sample.
         """
         signs = F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(-1))
-        cells = F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(63)),
-                lambda k: F.transform(
-                    F.sequence(F.lit(0), F.lit(TONE_SYMBOL - 1)),
-                    lambda m: TONE_SYMBOL
-                    * F.aggregate(F.slice(F.col("s"), F.lit(1), k), F.lit(0), lambda a, x: a + x)
-                    + F.get(F.col("s"), k) * m,
-                ),
+
+        def turns(s):
+            return F.flatten(
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(63)),
+                    lambda k: F.transform(
+                        F.sequence(F.lit(0), F.lit(TONE_SYMBOL - 1)),
+                        lambda m: TONE_SYMBOL * F.aggregate(F.slice(s, F.lit(1), k), F.lit(0), lambda a, x: a + x)
+                        + F.get(s, k) * m,
+                    ),
+                )
             )
-        )
+
         return (
             self.table("embeddings")
-            .select(F.col("vec_id").alias("capture_id"), signs.alias("s"))
-            .select("capture_id", cells.alias("turns"))
+            .select(F.col("vec_id").alias("capture_id"), let(signs, turns).alias("turns"))
             .select(
                 "capture_id",
                 F.lit(0).cast("long").alias("block_no"),
