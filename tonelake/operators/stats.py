@@ -24,8 +24,6 @@ from tonelake.functions.scalars import (
 from tonelake.session import pin
 from tonelake.sources.series import with_lookahead
 
-I, Q = F.col("i"), F.col("q")
-
 # Fixed values of the method.
 IQ_CORRECTION_MIN_MAGNITUDE = 0.12
 IQ_CORRECTION_MIN_GAIN = 0.95
@@ -46,9 +44,9 @@ def kinematics(samples: DataFrame, sample_rate: float) -> DataFrame:
         (F.col("n") / sample_rate * 1000.0).alias("t_ms"),
         "i",
         "q",
-        magnitude(I, Q).alias("magnitude"),
-        power(I, Q).alias("power"),
-        phase(I, Q).alias("phase"),
+        magnitude(F.col("i"), F.col("q")).alias("magnitude"),
+        power(F.col("i"), F.col("q")).alias("power"),
+        phase(F.col("i"), F.col("q")).alias("phase"),
     )
 
 
@@ -73,22 +71,22 @@ def decimate(samples: DataFrame, counts: DataFrame, max_points: int) -> DataFram
 
 def correct_offset(samples: DataFrame, sample_rate: float, offset_hz: Column) -> DataFrame:
     """Counter-rotate by a frequency offset given in Hz."""
-    i, q = rotate((I, Q), -TWO_PI * offset_hz * F.col("n") / sample_rate)
+    i, q = rotate((F.col("i"), F.col("q")), -TWO_PI * offset_hz * F.col("n") / sample_rate)
     return samples.select("capture_id", "n", i.alias("i"), q.alias("q"))
 
 
 def normalise_peak(samples: DataFrame) -> DataFrame:
     """Divide by the largest magnitude of the capture; an all-zero capture is unchanged."""
-    peaks = samples.groupBy("capture_id").agg(F.max(power(I, Q)).alias("peak_power"))
+    peaks = samples.groupBy("capture_id").agg(F.max(power(F.col("i"), F.col("q"))).alias("peak_power"))
     scale = F.when(F.col("peak_power") > 0, F.sqrt("peak_power")).otherwise(F.lit(1.0))
-    return samples.join(peaks, "capture_id").select("capture_id", "n", (I / scale).alias("i"), (Q / scale).alias("q"))
+    return samples.join(peaks, "capture_id").select("capture_id", "n", (F.col("i") / scale).alias("i"), (F.col("q") / scale).alias("q"))
 
 
 def normalise_power(samples: DataFrame) -> DataFrame:
     """Scale every capture to unit mean power."""
-    means = samples.groupBy("capture_id").agg(F.avg(power(I, Q)).alias("mean_power"))
+    means = samples.groupBy("capture_id").agg(F.avg(power(F.col("i"), F.col("q"))).alias("mean_power"))
     scale = F.when(F.col("mean_power") > 0, F.sqrt("mean_power")).otherwise(F.lit(1.0))
-    return samples.join(means, "capture_id").select("capture_id", "n", (I / scale).alias("i"), (Q / scale).alias("q"))
+    return samples.join(means, "capture_id").select("capture_id", "n", (F.col("i") / scale).alias("i"), (F.col("q") / scale).alias("q"))
 
 
 # -- phase series -------------------------------------------------------------
@@ -227,9 +225,9 @@ def cumulants(samples: DataFrame) -> DataFrame:
 
     Scaling to unit power only divides the moments by powers of the mean power.
     """
-    x2 = csquare((I, Q))
+    x2 = csquare((F.col("i"), F.col("q")))
     x4 = csquare(x2)
-    p = power(I, Q)
+    p = power(F.col("i"), F.col("q"))
     sums = samples.groupBy("capture_id").agg(
         F.count("*").alias("num"),
         F.avg(p).alias("p"),
@@ -294,7 +292,7 @@ def frequency_stats(freqs: DataFrame) -> DataFrame:
 
 def envelope_stats(samples: DataFrame) -> DataFrame:
     """Spread of the envelope, peak-to-average ratio and higher amplitude moments."""
-    p = power(I, Q)
+    p = power(F.col("i"), F.col("q"))
     sums = samples.groupBy("capture_id").agg(
         F.avg(F.sqrt(p)).alias("mean_env"),
         F.stddev_pop(F.sqrt(p)).alias("std_env"),
@@ -326,7 +324,7 @@ def _imbalance_exprs(pi: Column, pq: Column, piq: Column) -> tuple[Column, Colum
 
 def branch_moments(samples: DataFrame) -> DataFrame:
     return samples.groupBy("capture_id").agg(
-        F.count("*").alias("num"), F.avg(I * I).alias("pi"), F.avg(Q * Q).alias("pq"), F.avg(I * Q).alias("piq")
+        F.count("*").alias("num"), F.avg(F.col("i") * F.col("i")).alias("pi"), F.avg(F.col("q") * F.col("q")).alias("pq"), F.avg(F.col("i") * F.col("q")).alias("piq")
     )
 
 
@@ -360,8 +358,8 @@ def correct_imbalance(samples: DataFrame, gain: Column, phase_deg: Column) -> Da
     return samples.select(
         "capture_id",
         "n",
-        F.when(ok, I / si).alias("i"),
-        F.when(ok, (Q - I * F.sin(phi)) / (F.cos(phi) * sq)).alias("q"),
+        F.when(ok, F.col("i") / si).alias("i"),
+        F.when(ok, (F.col("q") - F.col("i") * F.sin(phi)) / (F.cos(phi) * sq)).alias("q"),
         reason.alias("reason"),
     )
 
@@ -417,7 +415,7 @@ def timing(samples: DataFrame, sps: int) -> DataFrame:
 
     Mean removal is folded into the sums: sum((p - mean) e) = sum(p e) - mean sum(e).
     """
-    p = power(I, Q)
+    p = power(F.col("i"), F.col("q"))
     turn = F.col("n") % sps * (-TWO_PI / sps)
     sums = samples.groupBy("capture_id").agg(
         F.count("*").alias("num"),

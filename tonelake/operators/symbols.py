@@ -16,8 +16,6 @@ from tonelake.functions.scalars import TWO_PI, clamp, power, rotate
 from tonelake.operators.stats import exact_quantiles, normalise_peak, normalise_power
 from tonelake.session import pin
 
-I, Q = F.col("i"), F.col("q")
-
 # Bits per symbol, rotational symmetry, and aliases of the schemes.
 BITS_PER_SYMBOL = {"BPSK": 1, "QPSK": 2, "8PSK": 3, "16-QAM": 4, "64-QAM": 6, "2-FSK": 1, "4-FSK": 2}
 ROTATION_ORDER = {"BPSK": 2, "QPSK": 4, "8PSK": 8, "16-QAM": 4, "64-QAM": 4}
@@ -86,7 +84,7 @@ def _sector(i: Column, q: Column) -> Column:
 def nearest_point(scheme: str, i: Column, q: Column) -> tuple[Column, Column, Column]:
     """(index, i, q) of the nearest point of the unit-power constellation.
 
-    Points are numbered row by row over I then Q; ties go to the lowest index.
+    Points are numbered row by row over F.col("i") then F.col("q"); ties go to the lowest index.
     """
     if scheme == "BPSK":
         index = (i > 0).cast("int")
@@ -173,12 +171,12 @@ def slice_linear(samples: DataFrame, scheme: str) -> DataFrame:
     """Bits of a phase-aligned, symbol-spaced capture: (capture_id, pos, bit)."""
     signed_only = scheme in ("BPSK", "QPSK", "8PSK")  # scale does not change these decisions
     scaled = samples if signed_only else normalise_peak(samples)
-    return _explode_bits(scaled, symbol_bits(scheme, I, Q), ["capture_id"])
+    return _explode_bits(scaled, symbol_bits(scheme, F.col("i"), F.col("q")), ["capture_id"])
 
 
 def slice_candidates(samples: DataFrame, schemes: tuple[str, ...] = LINEAR_SCHEMES) -> DataFrame:
     """Bits under several schemes at once: (capture_id, scheme, pos, bit)."""
-    options = F.array(*[F.struct(F.lit(s).alias("scheme"), symbol_bits(s, I, Q).alias("bits")) for s in schemes])
+    options = F.array(*[F.struct(F.lit(s).alias("scheme"), symbol_bits(s, F.col("i"), F.col("q")).alias("bits")) for s in schemes])
     return (
         normalise_peak(samples)
         .select("capture_id", "n", F.explode(options).alias("o"))
@@ -192,7 +190,7 @@ def slice_by_scheme(samples: DataFrame, freqs: DataFrame, labels: DataFrame, per
     tagged = normalise_peak(samples).join(labels, "capture_id")
     chosen = None
     for s in LINEAR_SCHEMES:
-        bits = symbol_bits(s, I, Q)
+        bits = symbol_bits(s, F.col("i"), F.col("q"))
         chosen = F.when(F.col("scheme") == s, bits) if chosen is None else chosen.when(F.col("scheme") == s, bits)
     linear = _explode_bits(tagged.where(F.col("scheme").isin(*LINEAR_SCHEMES)), chosen, ["capture_id"])
     result = linear
@@ -383,15 +381,15 @@ def fit_table(samples: DataFrame, schemes: tuple[str, ...] = LINEAR_SCHEMES, sps
     afterwards: (capture_id, scheme, n_symbols, evm_percent, mer_db).
     """
     symbols = symbol_means(samples, sps)
-    means = symbols.groupBy("capture_id").agg(F.avg(power(I, Q)).alias("p")).where(F.col("p") > 1e-20)
+    means = symbols.groupBy("capture_id").agg(F.avg(power(F.col("i"), F.col("q"))).alias("p")).where(F.col("p") > 1e-20)
     unit = symbols.join(means, "capture_id").select(
-        "capture_id", (I / F.sqrt("p")).alias("i"), (Q / F.sqrt("p")).alias("q")
+        "capture_id", (F.col("i") / F.sqrt("p")).alias("i"), (F.col("q") / F.sqrt("p")).alias("q")
     )
     sums = []
     for k, scheme in enumerate(schemes):
-        _, pi, pq = nearest_point(scheme, I, Q)
+        _, pi, pq = nearest_point(scheme, F.col("i"), F.col("q"))
         sums += [
-            F.avg(power(I - pi, Q - pq)).alias(f"e{k}"),
+            F.avg(power(F.col("i") - pi, F.col("q") - pq)).alias(f"e{k}"),
             F.avg(power(pi, pq)).alias(f"p{k}"),
         ]
     wide = unit.groupBy("capture_id").agg(F.count("*").alias("n_symbols"), *sums)
@@ -433,8 +431,8 @@ def fit_check(samples: DataFrame, labels: DataFrame, max_samples: int = FIT_MAX_
 def carrier_lock(samples: DataFrame, scheme: str) -> DataFrame:
     """Mean resultant length of ``order`` times the angle to the nearest point."""
     order = ROTATION_ORDER[scheme]
-    _, pi, pq = nearest_point(scheme, I, Q)
-    turn = order * (F.atan2(Q, I) - F.atan2(pq, pi))
+    _, pi, pq = nearest_point(scheme, F.col("i"), F.col("q"))
+    turn = order * (F.atan2(F.col("q"), F.col("i")) - F.atan2(pq, pi))
     return (
         normalise_power(samples)
         .groupBy("capture_id")
@@ -451,7 +449,7 @@ def rotation_bits(samples: DataFrame, scheme: str) -> DataFrame:
     order = ROTATION_ORDER[scheme]
     options = []
     for k in range(order):
-        i, q = rotate((I, Q), F.lit(TWO_PI * k / order))
+        i, q = rotate((F.col("i"), F.col("q")), F.lit(TWO_PI * k / order))
         options.append(F.struct(F.lit(k).alias("rotation"), symbol_bits(scheme, i, q, by_level=True).alias("bits")))
     return (
         samples.select("capture_id", "n", F.explode(F.array(*options)).alias("o"))

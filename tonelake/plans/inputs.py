@@ -122,7 +122,7 @@ class Inputs:
                 )
             )
 
-        return (
+        return self._once("tone_blocks", lambda: (
             self.table("embeddings")
             .select(F.col("vec_id").alias("capture_id"), let(signs, turns).alias("turns"))
             .select(
@@ -132,7 +132,7 @@ class Inputs:
                 F.transform("turns", lambda t: F.cos(0.3 * t)).alias("i"),
                 F.transform("turns", lambda t: F.sin(0.3 * t)).alias("q"),
             )
-        )
+        ))
 
     def tone_samples(self) -> DataFrame:
         return to_samples(self.tone_blocks())

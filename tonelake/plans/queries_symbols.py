@@ -174,11 +174,13 @@ for _name, _scheme in (
 
 
 def _schemes_by_capture():
-    names = F.array(*[F.lit(s) for s in symbols.BITS_PER_SYMBOL])
-    return F.get(names, (F.col("capture_id") % len(symbols.BITS_PER_SYMBOL)).cast("int"))
+    names = F.array(*[F.lit(s) for s in _DISPATCHED])
+    return F.get(names, (F.col("capture_id") % len(_DISPATCHED)).cast("int"))
 
 
-_NAMES = "[" + ", ".join(f"'{s}'" for s in symbols.BITS_PER_SYMBOL) + "]"
+# Two-tone captures put all four quantiles of a 4-tone slicer on ties, so it is not among them.
+_DISPATCHED = (*symbols.LINEAR_SCHEMES, "2-FSK")
+_NAMES = "[" + ", ".join(f"'{s}'" for s in _DISPATCHED) + "]"
 
 
 @query(
@@ -187,7 +189,7 @@ _NAMES = "[" + ", ".join(f"'{s}'" for s in symbols.BITS_PER_SYMBOL) + "]"
         "TONE",
         *slice_steps("TONE"),
         *tone_steps("TONE"),
-        f"lb AS (SELECT DISTINCT capture_id, {_NAMES}[(capture_id % 7)::INT + 1] AS scheme FROM TONE)",
+        f"lb AS (SELECT DISTINCT capture_id, {_NAMES}[(capture_id % 6)::INT + 1] AS scheme FROM TONE)",
         "al AS (SELECT capture_id, scheme, pos, bit FROM bl UNION ALL SELECT capture_id, scheme, pos, bit FROM tb)",
         """SELECT capture_id, scheme, count(*) AS n_bits, sum(bit)::BIGINT AS ones, sum(bit*(pos % 1009))::BIGINT AS mark, max(pos) AS last_pos
    FROM al JOIN lb USING (capture_id, scheme) GROUP BY 1, 2""",
@@ -336,7 +338,7 @@ TEXT_WORD = "0x74686520"  # "the "
 
 
 def tail_step(length: int) -> str:
-    return f"""tl{length} AS (SELECT k, (SELECT sum(factorial({length})/(factorial(j)*factorial({length}-j))) FROM range({length + 1}) u(j) WHERE j >= k)::DOUBLE/power(2.0, {length}) AS tail FROM range(1, {length + 1}) t(k))"""
+    return f"""tl{length} AS (SELECT k, (SELECT sum(factorial({length}::INT)/(factorial(j::INT)*factorial(({length}-j)::INT))) FROM range({length + 1}) u(j) WHERE j >= k)::DOUBLE/power(2.0, {length}) AS tail FROM range(1, {length + 1}) t(k))"""
 
 
 def _words_values(words) -> str:
