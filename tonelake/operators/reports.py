@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonelake.operators.stats import exact_quantiles
+
 # Fixed values of the report format.
 REQUIRED_KEYS = (
     "meta", "input", "signal", "modulation", "demodulation", "correlation", "fec", "interleaving", "warnings", "errors",
@@ -103,15 +105,17 @@ def scorecard(rows: DataFrame, truth: str = "label", guess: str = "prediction")
 
 def sweep_cells(trials: DataFrame) -> DataFrame:
     """Trials (mod, cell, ber NULL = abstained, seconds) to one row per cell."""
-    return trials.groupBy("mod", "cell").agg(
+    sums = trials.groupBy("mod", "cell").agg(
         F.min("ber").alias("ber_min"),
         F.max("ber").alias("ber_max"),
         F.avg("ber").alias("ber_mean"),
         F.count_if(F.col("ber").isNull()).alias("n_abstained"),
         F.min("seconds").alias("t_min_s"),
-        F.median("seconds").alias("t_median_s"),
         F.max("seconds").alias("t_max_s"),
     )
+    keyed = trials.select(F.struct("mod", "cell").alias("capture_id"), "seconds")
+    middle = exact_quantiles(keyed, "seconds", [0.5]).select("capture_id.mod", "capture_id.cell", F.col("q0").alias("t_median_s"))
+    return sums.join(middle, ["mod", "cell"], "left")
 
 
 def sweep_summary(cells: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def fan_out(state: DataFrame) -> DataFrame:
     gets ``available = false``.
     """
     peak = F.least(F.greatest("label_confidence", F.lit(0.0)), F.lit(MAX_CONFIDENCE))
-    others = F.slice(F.filter("alternatives", lambda a: a != F.col("label")), 1, 3)
+    others = F.slice(F.filter("alternatives", lambda a: F.col("label").isNull() | (a != F.col("label"))), 1, 3)
     count = F.size(others)
     rest = F.when(count > 0, (1.0 - peak) / count).otherwise(F.lit(0.0))
     probs = F.concat(F.array(peak), F.array_repeat(rest, count))
@@ -87,7 +87,7 @@ def fan_out(state: DataFrame) -> DataFrame:
         .withColumn("quality", quality(F.col("evm_percent")))
         .withColumn("decode", decode_trust(F.col("validated"), F.col("validated")))
         .withColumn("confidence", confidence_from_probs(probs))
-        .withColumn("probabilities", F.map_from_arrays(F.concat(F.array("label"), others), probs))
+        .withColumn("probabilities", F.map_from_arrays(F.concat(F.array(F.coalesce("label", F.lit(""))), others), probs))
         .select(
             "capture_id",
             available.alias("available"),
