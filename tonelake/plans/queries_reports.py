@@ -377,7 +377,7 @@ def _table_reports(inp: Inputs):
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
     ok = F.col("o_orderstatus") == "F"
     return inp.table("orders").select(
-        F.struct((price / 7000.0).alias("elapsed_s")).alias("meta"),
+        F.struct((F.log10(price) * 3).alias("elapsed_s")).alias("meta"),
         F.struct(
             F.concat(F.lit("cap"), key.cast("string"), F.lit(".iq")).alias("file_name"), F.lit("iq").alias("file_type"),
             F.lit("int16").alias("iq_format_used"), F.lit(100000.0).alias("sample_rate"),
@@ -407,7 +407,7 @@ def _table_reports(inp: Inputs):
   {r('o_totalprice/3', 4, 'center_freq_est')}, {r('o_totalprice', 4, 'bandwidth_est')}, {r('log10(o_totalprice)', 4, 'snr_db')}, 0.0::DOUBLE AS symbol_rate_est, 'BPSK' AS modulation,
   {r('(o_orderkey % 90)/97.0', 4, 'mod_confidence')}, 'BPSK' AS demod_mode, o_orderkey AS num_bits, o_orderkey % 64 AS header_offset, {r('(o_orderkey % 32)/31.0', 4, 'corr_score')},
   o_orderkey*8 AS payload_bits, o_orderkey AS payload_bytes_raw, o_orderkey % 6 AS decode_attempts, CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS decode_validated, 'LDPC' AS fec_candidate, 'Block' AS interleaver,
-  CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 100 END AS decoded_bytes, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS decoded_text, {r('o_totalprice/7000', 4, 'elapsed_s')},
+  CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 100 END AS decoded_bytes, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS decoded_text, {r('log10(o_totalprice)*3', 4, 'elapsed_s')},
   'assumed rate' || CASE WHEN o_orderkey % 2 = 0 THEN '; no header' ELSE '' END AS warnings, CASE WHEN o_orderkey % 50 = 0 THEN 'failed' ELSE '' END AS errors FROM orders""",
 )
 def p18(inp: Inputs):
