@@ -57,12 +57,11 @@ def from_gray(value: Column, width: int = 63) -> Column:
 
 
 def byte_values(data: Column) -> Column:
-    """Array of 0..255 of a BINARY column, inside the JVM."""
-    return F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)")), lambda h: F.conv(h, 16, 10).cast("int"))
-
-
-def printable(byte: Column) -> Column:
-    return ((byte >= 32) & (byte < 127)) | byte.isin(9, 10, 13)
+    """Array of 0..255 of a BINARY column, inside the JVM: one Latin-1 character per byte."""
+    letters = F.split(F.decode(data, "ISO-8859-1"), "")
+    return F.when(F.length(data) > 0, F.transform(letters, lambda c: F.ascii(c))).otherwise(
+        F.array().cast("array<int>")
+    )
 
 
 def bit_group(values: Column, start: Column, width: int) -> Column:

@@ -54,7 +54,7 @@ def otsu_thresholds(env: DataFrame, bins: int = OTSU_BINS) -> DataFrame:
     capture. A capture without range gets no threshold (NULL).
     """
     width = (F.col("hi") - F.col("lo")) / bins
-    slot = F.least(F.floor((F.col("env_db") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    slot = F.least(F.floor(F.try_divide(F.col("env_db") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     counts = (
         env.groupBy("capture_id", F.coalesce(slot, F.lit(0)).alias("slot"))
         .agg(F.count("*").alias("h"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))

@@ -55,7 +55,7 @@ def frame_length_hint(rows: DataFrame, slack: int = 128) -> DataFrame:
     ``rows``: (capture_id, found, end_sample, num_samples, num_bits, detected,
     payload_start).
     """
-    end_bits = F.bround(F.col("end_sample") * F.greatest("num_bits", F.lit(1)) / F.col("num_samples"))
+    end_bits = F.bround(F.try_divide((F.col("end_sample") * F.greatest("num_bits", F.lit(1))).cast("double"), F.col("num_samples")))
     hint = end_bits - F.col("payload_start") + slack
     usable = F.col("found") & F.col("detected") & (end_bits > F.col("payload_start")) & (hint < F.col("num_bits"))
     return rows.select("capture_id", F.when(usable, hint.cast("long")).alias("frame_bits"))

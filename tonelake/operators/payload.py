@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.functions.bits import byte_values, printable
+from tonelake.functions.bits import byte_values
 from tonelake.functions.scalars import let
 
 # Fixed values of the method.
@@ -13,6 +13,7 @@ PREVIEW_BYTES = 256
 HEXDUMP_WIDTH = 16
 TEXT_SHARE = 0.9
 MIXED_SHARE = 0.5
+UNPRINTABLE = r"[^\x20-\x7e\t\n\r]+"
 
 
 def payload_start(detected: Column, offset: Column, sync_length: Column) -> Column:
@@ -30,11 +31,12 @@ def slice_bits(bits: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def content_class(values: Column) -> Column:
-    """empty / text / mixed / binary by the share of printable bytes of an array."""
-    share = F.size(F.filter(values, printable)) / F.size(values)
+def content_class(data: Column) -> Column:
+    """empty / text / mixed / binary by the share of printable bytes."""
+    kept = F.length(F.regexp_replace(F.decode(data, "ISO-8859-1"), UNPRINTABLE, ""))
+    share = kept / F.length(data)
     return (
-        F.when(F.size(values) == 0, F.lit("empty"))
+        F.when(F.length(data) == 0, F.lit("empty"))
         .when(share >= TEXT_SHARE, F.lit("text"))
         .when(share >= MIXED_SHARE, F.lit("mixed"))
         .otherwise(F.lit("binary"))
@@ -80,7 +82,6 @@ def describe(payloads: DataFrame, max_bytes: int = PREVIEW_BYTES) -> DataFrame:
 
     def described(v: Column) -> Column:
         return F.struct(
-            content_class(v).alias("content_type"),
             text_preview(v, max_bytes).alias("text_preview"),
             hexdump(v, max_bytes=max_bytes).alias("hexdump"),
         )
@@ -88,6 +89,7 @@ def describe(payloads: DataFrame, max_bytes: int = PREVIEW_BYTES) -> DataFrame:
     return payloads.select(
         "capture_id",
         F.length("data").alias("bytes"),
+        content_class(F.col("data")).alias("content_type"),
         F.lower(F.hex(F.substring("data", 1, max_bytes))).alias("hex_preview"),
         let(byte_values(F.col("data")), described).alias("d"),
-    ).select("capture_id", "bytes", "d.content_type", "hex_preview", "d.text_preview", "d.hexdump")
+    ).select("capture_id", "bytes", "content_type", "hex_preview", "d.text_preview", "d.hexdump")

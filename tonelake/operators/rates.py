@@ -141,7 +141,7 @@ def fuse_symbol_rate(parts: DataFrame) -> DataFrame:
     )
     fused = weighted_median(agreeing, ["capture_id"], "v", "w", "fused")
     counts = rows.groupBy("capture_id").agg(
-        F.count("*").alias("points"), ((F.max("v") - F.min("v")) / F.max("v")).alias("spread")
+        F.count("*").alias("points"), F.try_divide(F.max("v") - F.min("v"), F.max("v")).alias("spread")
     ).join(agreeing.groupBy("capture_id").agg(F.count("*").alias("agree")), "capture_id").join(fused, "capture_id")
     direct = F.coalesce("period_hz", F.lit(0.0)) > 0
     points, agree = F.coalesce("points", F.lit(0)), F.coalesce("agree", F.lit(0))

@@ -271,7 +271,7 @@ def refined(left: Column, mid: Column, right: Column) -> Column:
     """Sub-bin shift of a peak: parabola through the logs of three neighbours, 0 at the edges."""
     a, b, c = (F.log(v + 1e-12) for v in (left, mid, right))
     bend = a - 2.0 * b + c
-    shift = 0.5 * (a - c) / bend
+    shift = F.try_divide(0.5 * (a - c), bend)
     usable = left.isNotNull() & right.isNotNull() & (F.abs(bend) >= 1e-12)
     return F.coalesce(F.when(usable & (F.abs(shift) <= 1.0), shift), F.lit(0.0))
 
@@ -331,7 +331,7 @@ def envelope_line_rate(
         F.count("*").alias("searched"),
     )
     sigma = MAD_SIGMA * F.col("mad")
-    prominence = (F.col("k.rest") - F.col("mid")) / sigma
+    prominence = F.try_divide(F.col("k.rest") - F.col("mid"), sigma)
     usable = (F.col("bins") >= 8) & (F.col("mad") > 0) & (F.col("searched") >= 4)
     found = usable & (prominence >= ENVELOPE_SIGMAS)
     rate = (F.col("k.bin") + refined(F.col("k.left"), F.col("k.lift"), F.col("k.right"))) * width
@@ -433,7 +433,7 @@ def cycle_rate(profile: DataFrame, sizes: DataFrame) -> DataFrame:
         mids.join(spread, "capture_id")
         .withColumn("width", width)
         .withColumn("sigma", MAD_SIGMA * F.col("mad"))
-        .withColumn("prominence", (F.col("k.coherence") - F.col("mid")) / F.col("sigma"))
+        .withColumn("prominence", F.try_divide(F.col("k.coherence") - F.col("mid"), F.col("sigma")))
         .withColumn(
             "rate", F.col("k.alpha_hz") + refined(F.col("k.left"), F.col("k.coherence"), F.col("k.right")) * F.col("width")
         )
@@ -454,7 +454,7 @@ def cycle_rate(profile: DataFrame, sizes: DataFrame) -> DataFrame:
         )
         .where(
             (F.col("gap") <= 1.5 * F.abs("width"))
-            & ((F.col("s.coherence") - F.col("mid")) / F.col("sigma") >= CYCLE_HARMONIC * F.col("prominence"))
+            & (F.try_divide(F.col("s.coherence") - F.col("mid"), F.col("sigma")) >= CYCLE_HARMONIC * F.col("prominence"))
         )
         .withColumn("sub", F.col("s.alpha_hz") + refined(F.col("s.left"), F.col("s.coherence"), F.col("s.right")) * F.col("width"))
         .groupBy("capture_id")

@@ -236,7 +236,7 @@ def tone_periods(freqs: DataFrame, min_period: int = FSK_MIN_PERIOD, max_residua
         )
     )
     r1 = F.when(F.col("c0") > 0, F.col("c1") / F.col("c0"))
-    centre = 1.0 / (1.0 - F.col("r1"))
+    centre = F.try_divide(F.lit(1.0), 1.0 - F.col("r1"))
     reach = F.greatest(F.lit(4), F.ceil(0.06 * F.col("centre")))
     plans = (
         lagged.withColumn("r1", r1)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.functions.scalars import let
-from tonelake.session import pin
+from tonelake.session import pin, spread
 from tonelake.sources.series import number_rows, to_blocks, to_samples
 
 #: Block lengths of the views. Small, so that the test data exercises block borders.
@@ -32,7 +32,7 @@ class Inputs:
         """Ingest a block table once per session, as a stored table would be."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _PINNED:
-            _PINNED[key] = pin(build())
+            _PINNED[key] = spread(pin(build()))
         return _PINNED[key]
 
     # -- I/Q captures from embedding vectors ---------------------------------
@@ -48,7 +48,7 @@ class Inputs:
     def vector_blocks(self) -> DataFrame:
         """One short capture per vector: 32 samples in one block."""
         i, q = self._vector_arrays()
-        return self.table("embeddings").select(
+        return spread(self.table("embeddings").select("vec_id", "embedding")).select(
             F.col("vec_id").alias("capture_id"),
             F.lit(0).cast("long").alias("block_no"),
             F.lit(0).cast("long").alias("start_n"),
@@ -123,7 +123,7 @@ class Inputs:
             )
 
         return self._once("tone_blocks", lambda: (
-            self.table("embeddings")
+            spread(self.table("embeddings").select("vec_id", "embedding"))
             .select(F.col("vec_id").alias("capture_id"), let(signs, turns).alias("turns"))
             .select(
                 "capture_id",
@@ -141,7 +141,7 @@ class Inputs:
 
     def payloads(self) -> DataFrame:
         """(capture_id, data): the UTF-8 bytes of every document, whole."""
-        return self.table("documents").select(
+        return spread(self.table("documents").select("doc_id", "text")).select(
             F.col("doc_id").alias("capture_id"), F.encode("text", "UTF-8").alias("data")
         )
 

@@ -119,7 +119,7 @@ def p15(inp: Inputs):
     ),
 )
 def p16(inp: Inputs):
-    return inp.payloads().select("capture_id", payload.content_class(B.byte_values(F.col("data"))).alias("content_type"))
+    return inp.payloads().select("capture_id", payload.content_class(F.col("data")).alias("content_type"))
 
 
 @query(

@@ -15,6 +15,7 @@ from tonelake.plans.queries_spectrum import RATE, head_dft, measure_steps
 from tonelake.plans.queries_symbols import period_steps
 from tonelake.plans.registry import query
 from tonelake.plans.statements import r, sql
+from tonelake.session import pin, spread
 from tonelake.sources import captures
 
 FEATURE_NFFT = 256
@@ -150,8 +151,6 @@ def _vector_features(inp: Inputs):
 
 @query("M2_learned_classifier")
 def m2(inp: Inputs):
-    from tonelake.session import pin
-
     rows = pin(_vector_features(inp).withColumn("period", F.lit(1)))
     model = models.train(rows.select("label", *models.FEATURES), iterations=40)
     return rounded(models.classify_learned(model, rows).select("capture_id", "ml_label", "ml_confidence", F.array_join("alternatives", ",").alias("alternatives")))
@@ -159,8 +158,6 @@ def m2(inp: Inputs):
 
 @query("M3_train_and_evaluate")
 def m3(inp: Inputs):
-    from tonelake.session import pin
-
     rows = pin(_vector_features(inp).withColumn("period", F.lit(1)))
     seen = F.col("capture_id") % 5 != 0  # held-out captures are disjoint from the training ones
     weighted = rows.where(seen).withColumn("weight", F.when(F.col("capture_id") % 2 == 0, 2).otherwise(1))
@@ -197,8 +194,6 @@ def a43(inp: Inputs):
 
 @query("A44_despread_report")
 def a44(inp: Inputs):
-    from tonelake.session import pin
-
     samples = pin(_code_capture(inp))
     acquired = pin(acquire.acquire(samples, CODE_RATE, codes=(3, 7, 11)))
     report = acquire.carrier_report(acquire.despread(samples, acquired, CODE_RATE), acquired)
@@ -257,7 +252,7 @@ def s15(inp: Inputs):
 @query("U2_folder_summary")
 def u2(inp: Inputs):
     """Every document as a raw file: read, analysed, and summarised, also where it fails."""
-    table = inp.table("documents")
+    table = spread(inp.table("documents").select("doc_id", "text"))
     ends = F.get(F.array(*[F.lit(s) for s in (".iq", ".iq", ".iq", ".iq", ".txt")]), (F.col("doc_id") % 5).cast("int"))
     files = captures.gated(
         table.select(

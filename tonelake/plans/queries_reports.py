@@ -9,6 +9,7 @@ from tonelake.operators import rates, reports, verdicts
 from tonelake.plans.inputs import Inputs
 from tonelake.plans.registry import query
 from tonelake.plans.statements import r
+from tonelake.session import spread
 
 # -- rates ---------------------------------------------------------------------
 
@@ -18,7 +19,7 @@ _MEAS = "me AS (SELECT o_orderkey AS capture_id, o_totalprice AS bw, CASE WHEN o
 
 def _measures(inp: Inputs):
     key = F.col("o_orderkey")
-    return inp.table("orders").select(
+    return spread(inp.table("orders").select("o_orderkey", "o_totalprice")).select(
         key.alias("capture_id"),
         F.col("o_totalprice").alias("bandwidth_hz"),
         F.when(key % 9 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice") / (1 + key % 4)).alias("symbol_rate_hz"),

@@ -12,6 +12,7 @@ from tonelake.functions.scalars import rounded
 from tonelake.plans.inputs import Inputs
 from tonelake.plans.registry import query
 from tonelake.plans.statements import r, sql
+from tonelake.session import spread
 from tonelake.sources import captures, sinks
 
 _SUFFIX = (".iq", ".IQ", ".wav", ".Wav", ".cf32", ".dat", ".txt", "")
@@ -21,7 +22,7 @@ _FILES = f"fl AS (SELECT 'captures/' || source || '/' || doc_id || {_SUFFIX_SQL}
 
 def _files(inp: Inputs):
     ends = F.get(F.array(*[F.lit(s) for s in _SUFFIX]), (F.col("doc_id") % 8).cast("int"))
-    return inp.table("documents").select(
+    return spread(inp.table("documents").select("doc_id", "source", "text")).select(
         F.concat(F.lit("captures/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), ends).alias("path"),
         F.octet_length("text").cast("long").alias("length"),
         "doc_id",

@@ -33,3 +33,13 @@ def pin(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/tonelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a scan that has fewer splits than the session has cores.
+
+    Meant for inputs of CPU-heavy steps. A large table has more splits than cores and is
+    left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
