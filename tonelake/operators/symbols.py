@@ -307,6 +307,8 @@ def tone_symbols(freqs: DataFrame, periods: DataFrame) -> DataFrame:
 def slice_tones(freqs: DataFrame, periods: DataFrame, order: int) -> DataFrame:
     """2- or 4-tone decisions: the sign, or the midpoints of four quantiles."""
     symbols = tone_symbols(freqs, periods)
+    if order == 4:
+        symbols = pin(symbols)  # read by the quantiles and by the decision
     if order == 2:
         return _explode_bits(symbols, F.array((F.col("f") > 0).cast("int")), ["capture_id"])
     marks = exact_quantiles(symbols, "f", [0.125, 0.375, 0.625, 0.875])

@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tonelake.functions.bits import pack_frames
 from tonelake.operators import symbols
+from tonelake.session import pin
 
 # Fixed values of the method.
 FALSE_ALARM_TARGET = 0.01
@@ -214,13 +215,15 @@ def corroborate(candidate_bits: DataFrame, labels: DataFrame, word: str, frame_b
     with a positive score are revised.
     """
     keyed = candidate_bits.select(F.struct("capture_id", "scheme").alias("capture_id"), "pos", "bit")
-    heads = find_header(pack_frames(keyed, frame_bits, _halo(word)), word).select(
+    frames = pin(pack_frames(keyed, frame_bits, _halo(word)))
+    found = find_header(frames, word).select(
         F.col("capture_id.capture_id").alias("capture_id"),
         F.col("capture_id.scheme").alias("candidate"),
         "detected",
         "score",
         "offset",
     )
+    heads = pin(found)
     places = F.array(*[F.lit(s) for s in FALLBACK_SCHEMES])
     own = labels.join(
         heads.withColumnRenamed("candidate", "scheme").select(

@@ -38,7 +38,7 @@ def analyse(
     periods = pin(symbols.tone_periods(freqs.where(F.col("n") < models.PERIOD_PREFIX)))
 
     focused = models.focus_burst(samples, regions)
-    rows = models.features(focused, sample_rate, block_len, nfft).join(
+    rows = pin(models.features(focused, sample_rate, block_len, nfft)).join(
         periods.select("capture_id", "period"), "capture_id", "left"
     ).fillna({"period": 1})
     ruled = models.classify_rules(rows).join(models.heuristic(samples, freqs), "capture_id", "left")
@@ -56,12 +56,13 @@ def analyse(
     )
     streams = pin(packed_streams(payload.slice_bits(bits, starts)))
     bit_counts = bits.groupBy("capture_id").agg(F.count("*").alias("num_bits"))
-    searched = frames.with_trial_account(frames.search(streams))
+    searched = pin(frames.with_trial_account(frames.search(streams)))
     blind = frames.blind_scores(streams)
-    fits = symbols.fit_check(samples, labels.select("capture_id", "scheme"))
+    fits = pin(symbols.fit_check(samples, labels.select("capture_id", "scheme")))
 
-    line = spectrum.envelope_line_rate(blocks, sizes, sample_rate, line_nfft, block_len)
-    cycle = spectrum.cycle_rate(spectrum.coherence_profile(blocks, sizes, sample_rate, line_nfft, block_len), sizes)
+    line = pin(spectrum.envelope_line_rate(blocks, sizes, sample_rate, line_nfft, block_len))
+    profile = pin(spectrum.coherence_profile(blocks, sizes, sample_rate, line_nfft, block_len))
+    cycle = pin(spectrum.cycle_rate(profile, sizes))
     parts = (
         sizes.select("capture_id")
         .join(measures.select("capture_id", "bandwidth_hz"), "capture_id", "left")
@@ -80,7 +81,7 @@ def analyse(
     working = rates.fused_sampling_rate(
         measures.select("capture_id", "bandwidth_hz").join(symbol_rates.select("capture_id", "symbol_rate_hz"), "capture_id", "left")
     )
-    cfo = stats.frequency_offset(stats.unwrapped_phase(blocks, block_len), sample_rate)
+    cfo = pin(stats.frequency_offset(stats.unwrapped_phase(blocks, block_len), sample_rate))
 
     table = sizes.withColumn("duration_s", F.col("num_samples") / sample_rate)
     for part, prefix in (

@@ -11,6 +11,7 @@ from tonelake.plans.inputs import VECTOR_SAMPLES, Inputs
 from tonelake.plans.queries_series import freq_steps
 from tonelake.plans.registry import query
 from tonelake.plans.statements import r, sql
+from tonelake.session import pin
 
 # -- SQL pieces ----------------------------------------------------------------
 
@@ -199,7 +200,8 @@ def p14(inp: Inputs):
     blocks = inp.tone_blocks()
     freqs = stats.instant_frequency(blocks)
     labels = blocks.select("capture_id", _schemes_by_capture().alias("scheme"))
-    sliced = symbols.slice_by_scheme(inp.tone_samples(), freqs, labels, symbols.tone_periods(freqs))
+    freqs = pin(freqs)
+    sliced = symbols.slice_by_scheme(inp.tone_samples(), freqs, labels, pin(symbols.tone_periods(freqs)))
     return (
         sliced.join(labels, "capture_id")
         .groupBy("capture_id", "scheme")
@@ -446,7 +448,8 @@ def short_header_steps(view: str, key: str) -> list[str]:
 def j5(inp: Inputs):
     samples = inp.label_samples()
     freqs = stats.instant_frequency(inp.label_blocks(), VECTOR_SAMPLES)
-    periods = symbols.tone_periods(freqs)
+    freqs = pin(freqs)
+    periods = pin(symbols.tone_periods(freqs))
     bits = symbols.slice_candidates(samples)
     for scheme, order in (("2-FSK", 2), ("4-FSK", 4)):
         bits = bits.unionByName(symbols.slice_tones(freqs, periods, order).withColumn("scheme", F.lit(scheme)))
