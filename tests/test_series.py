@@ -128,6 +128,10 @@ def test_tone_periods_and_slicing(spark):
         freqs = stats.instant_frequency(blocks, 256)
         periods = symbols.tone_periods(freqs)
         assert periods.first().period == period
+        # Block borders inside the series, and blocks shorter than the period.
+        for block_len in (64, 5):
+            again = symbols.tone_periods(freqs, block_len=block_len).first()
+            assert again.period == period and again.residual == pytest.approx(periods.first().residual)
         got = symbols.slice_tones(freqs, periods, 2).orderBy("pos").toPandas()["bit"].to_numpy()
         assert (got[: bits.size] == bits[: got.size]).all() and got.size >= bits.size - 1
 

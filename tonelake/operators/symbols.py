@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from tonelake.functions.bits import from_gray, to_gray
 from tonelake.functions.scalars import TWO_PI, clamp, power, rotate
 from tonelake.operators.stats import exact_quantiles, normalise_peak, normalise_power
 from tonelake.session import pin
+from tonelake.sources.series import DEFAULT_BLOCK, to_blocks, with_lookahead
 
 # Bits per symbol, rotational symmetry, and aliases of the schemes.
 BITS_PER_SYMBOL = {"BPSK": 1, "QPSK": 2, "8PSK": 3, "16-QAM": 4, "64-QAM": 6, "2-FSK": 1, "4-FSK": 2}
@@ -211,26 +216,74 @@ def array_median(values: Column) -> Column:
     return (F.get(ordered, half) + F.get(ordered, upper)) / 2.0
 
 
-def tone_periods(freqs: DataFrame, min_period: int = FSK_MIN_PERIOD, max_residual: float = FSK_MAX_RESIDUAL) -> DataFrame:
+_SCORES = T.ArrayType(T.StructType([T.StructField("period", T.LongType()), T.StructField("dev", T.DoubleType())]))
+
+
+@pandas_udf(_SCORES)
+def _median_deviation(
+    f: pd.Series, start: pd.Series, own: pd.Series, m: pd.Series, lo: pd.Series, hi: pd.Series
+) -> pd.Series:
+    """Per candidate period: summed distance to the median of every symbol that starts in the block."""
+    out = []
+    for values, s, o, total, first, last in zip(f, start, own, m, lo, hi):
+        x = np.asarray(values, dtype=np.float64)
+        rows = []
+        for p in range(first, last + 1):
+            begin = -(-s // p)
+            end = min(-(-(s + o) // p), total // p)
+            if end > begin:
+                part = x[begin * p - s : end * p - s].reshape(-1, p)
+                rows.append({"period": p, "dev": float(np.abs(part - np.median(part, axis=1, keepdims=True)).sum())})
+        out.append(rows)
+    return pd.Series(out)
+
+
+def _long_period_deviation(freqs: DataFrame, plans: DataFrame) -> DataFrame:
+    """The same sums by grouping rows, for periods longer than a block."""
+    symbol = F.floor(F.col("n") / F.col("period"))
+    each = plans.select("capture_id", "m", F.explode(F.sequence("lo", "hi")).alias("period"))
+    return (
+        freqs.join(each, "capture_id")
+        .where(symbol < F.floor(F.col("m") / F.col("period")))
+        .groupBy("capture_id", "period", symbol.alias("symbol"))
+        .agg(F.collect_list("f").alias("fs"))
+        .withColumn("med", array_median(F.col("fs")))
+        .select("capture_id", "period", F.aggregate("fs", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("med"))).alias("dev"))
+    )
+
+
+def tone_periods(
+    freqs: DataFrame,
+    min_period: int = FSK_MIN_PERIOD,
+    max_residual: float = FSK_MAX_RESIDUAL,
+    block_len: int = DEFAULT_BLOCK,
+) -> DataFrame:
     """Symbol period of a tone-keyed capture from its instantaneous frequency; 1 = unresolved.
 
     The lag-1 autocorrelation centres the search; each candidate period is scored by how
-    well per-symbol medians reproduce the series. Groups hold one symbol each.
+    well per-symbol medians reproduce the series. The series is cut into blocks that also
+    hold the block after them, so all candidates are scored on one shuffled copy of the
+    data and only one sum per block and candidate goes on.
     """
-    stored = pin(freqs)
-    means = stored.groupBy("capture_id").agg(
-        F.count("*").alias("m"), F.avg("f").alias("mean"), F.avg(F.abs("f")).alias("scale"), F.max("n").alias("last")
+    means = freqs.groupBy("capture_id").agg(
+        F.count("*").alias("m"), F.avg("f").alias("mean"), F.avg(F.abs("f")).alias("scale")
     )
-    # Neighbours meet by an equi-join on the position, which spreads a long capture.
-    later = stored.select("capture_id", (F.col("n") - 1).alias("n"), F.col("f").alias("f1"))
-    centred = F.col("f") - F.col("mean")
+    rows = freqs.select("capture_id", "n", F.col("f").alias("i"), F.lit(0.0).alias("q"))
+    haloed = with_lookahead(to_blocks(rows, block_len), block_len, block_len)
+    blocks = pin(haloed.select("capture_id", "start_n", F.col("i").alias("f"), "own_len"))
+    known = pin(means)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+    mean = F.col("mean")
+    own, later = F.slice("f", F.lit(1), F.col("own_len")), F.slice("f", F.lit(2), F.col("own_len"))
     lagged = (
-        stored.join(later, ["capture_id", "n"], "left")
-        .join(means, "capture_id")
+        blocks.join(known, "capture_id")
         .groupBy("capture_id")
         .agg(
-            F.sum(centred * (F.col("f1") - F.col("mean"))).alias("c1"),
-            F.sum(centred * centred).alias("c0"),
+            F.sum(total(F.zip_with(own, later, lambda x, y: (x - mean) * (y - mean)))).alias("c1"),
+            F.sum(total(F.transform(own, lambda x: (x - mean) * (x - mean)))).alias("c0"),
             F.first("m").alias("m"),
             F.first("scale").alias("scale"),
         )
@@ -238,49 +291,42 @@ def tone_periods(freqs: DataFrame, min_period: int = FSK_MIN_PERIOD, max_residua
     r1 = F.when(F.col("c0") > 0, F.col("c1") / F.col("c0"))
     centre = F.try_divide(F.lit(1.0), 1.0 - F.col("r1"))
     reach = F.greatest(F.lit(4), F.ceil(0.06 * F.col("centre")))
-    plans = (
+    plans = pin(
         lagged.withColumn("r1", r1)
-        .where((F.col("m") >= 63) & (F.col("r1") > 0) & (F.col("r1") < 1))
+        .where((F.col("m") >= 63) & (F.col("r1") > 0) & (F.col("r1") < 1) & (F.col("scale") > 0))
         .withColumn("centre", centre)
         .where(F.col("centre") >= min_period)
         .select(
             "capture_id",
             "m",
             "scale",
-            F.explode(
-                F.sequence(
-                    F.greatest(F.lit(min_period).cast("long"), F.floor("centre") - reach).cast("long"),
-                    (F.ceil("centre") + reach).cast("long"),
-                )
-            ).alias("period"),
+            F.greatest(F.lit(min_period), F.floor("centre") - reach).cast("long").alias("lo"),
+            # Fewer than four symbols are no evidence.
+            F.least(F.ceil("centre") + reach, F.floor(F.col("m") / 4)).cast("long").alias("hi"),
         )
-        .withColumn("symbols", F.floor(F.col("m") / F.col("period")))
-        .where((F.col("symbols") >= 4) & (F.col("scale") > 0))
+        .where(F.col("lo") <= F.col("hi"))
     )
-    symbol = F.floor(F.col("n") / F.col("period"))
-    groups = (
-        stored.join(plans, "capture_id")
-        .where(symbol < F.col("symbols"))
-        .groupBy("capture_id", "period", symbol.alias("symbol"))
-        .agg(F.collect_list("f").alias("fs"), F.first("scale").alias("scale"))
-        .withColumn("med", array_median(F.col("fs")))
-        .select(
-            "capture_id",
-            "period",
-            "scale",
-            F.aggregate("fs", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("med"))).alias("dev"),
-        )
+    short = (
+        blocks.join(plans.where(F.col("hi") <= block_len), "capture_id")
+        .select("capture_id", F.explode(_median_deviation("f", "start_n", "own_len", "m", "lo", "hi")).alias("s"))
+        .select("capture_id", "s.period", "s.dev")
     )
-    scored = groups.groupBy("capture_id", "period").agg(
-        (F.sum("dev") / (F.count("*") * F.col("period")) / F.first("scale")).alias("residual")
+    long = _long_period_deviation(freqs, plans.where(F.col("hi") > block_len))
+    used = F.floor(F.first("m") / F.col("period")) * F.col("period")
+    scored = (
+        short.unionByName(long)
+        .join(plans.select("capture_id", "m", "scale"), "capture_id")
+        .groupBy("capture_id", "period")
+        .agg((F.sum("dev") / used / F.first("scale")).alias("residual"))
     )
     best = scored.groupBy("capture_id").agg(
-        F.min("residual").alias("best"), F.max_by("period", F.struct(-F.col("residual"), F.col("period"))).alias("best_period"),
+        F.min("residual").alias("best"),
+        F.max_by("period", F.struct(-F.col("residual"), F.col("period"))).alias("best_period"),
         F.collect_list(F.struct("period", "residual")).alias("all"),
     )
     near = F.array_max(F.transform(F.filter("all", lambda s: s["residual"] <= F.col("best") * FSK_NEAR_TIE), lambda s: s["period"]))
     answer = F.when(F.col("best") <= F.greatest(F.lit(max_residual), 2.0 / F.col("best_period")), near)
-    return means.select("capture_id").join(best, "capture_id", "left").select(
+    return known.select("capture_id").join(best, "capture_id", "left").select(
         "capture_id", F.coalesce(answer, F.lit(1)).alias("period"), F.col("best").alias("residual")
     )
 
