@@ -184,26 +184,36 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int
         F.max(value).alias("most"),
     )
     small = F.col("total") <= accuracy
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("k"),
-                (F.lit(p) * (F.col("total") - 1)).alias("place"),
-                F.when(small, F.col("least")).otherwise(F.col("edges")[2 * k]).alias("lo"),
-                F.when(small, F.col("most")).otherwise(F.col("edges")[2 * k + 1]).alias("hi"),
-            )
-            for k, p in enumerate(probs)
-        ]
-    )
-    wanted = sketch.select("capture_id", F.explode(targets).alias("t")).select("capture_id", "t.*")
-    tagged = df.select("capture_id", F.col(value).alias("v")).join(wanted, "capture_id")
-    below = tagged.groupBy("capture_id", "k").agg(F.sum((F.col("v") < F.col("lo")).cast("long")).alias("below"))
+    plan = sketch.select(
+        "capture_id",
+        "total",
+        *[F.when(small, F.col("least")).otherwise(F.col("edges")[2 * k]).alias(f"lo{k}") for k in range(len(probs))],
+        *[F.when(small, F.col("most")).otherwise(F.col("edges")[2 * k + 1]).alias(f"hi{k}") for k in range(len(probs))],
+    )
+    tagged = df.select("capture_id", F.col(value).alias("v")).join(plan, "capture_id")
+    # Values below a bracket are counted by conditional sums; only those inside go on.
+    counts = tagged.groupBy("capture_id").agg(
+        F.array(*[F.sum((F.col("v") < F.col(f"lo{k}")).cast("long")) for k in range(len(probs))]).alias("below")
+    )
+    hits = F.filter(
+        F.array(
+            *[
+                F.when(
+                    (F.col("v") >= F.col(f"lo{k}")) & (F.col("v") <= F.col(f"hi{k}")),
+                    F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("total") - 1)).alias("place")),
+                )
+                for k, p in enumerate(probs)
+            ]
+        ),
+        lambda h: h.isNotNull(),
+    )
     order = Window.partitionBy("capture_id", "k").orderBy("v")
     inside = (
-        tagged.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        tagged.select("capture_id", "v", F.explode(hits).alias("h"))
+        .select("capture_id", "v", "h.k", "h.place")
         .withColumn("rank", F.row_number().over(order) - 1)
-        .join(below, ["capture_id", "k"])
-        .withColumn("at", F.col("below") + F.col("rank"))
+        .join(counts, "capture_id")
+        .withColumn("at", F.get("below", F.col("k")) + F.col("rank"))
     )
     part = F.col("place") - F.floor("place")
     picked = inside.groupBy("capture_id", "k").agg(

@@ -126,11 +126,14 @@ def s5(inp: Inputs):
     return rounded(sums.join(rates, "capture_id"), 4)
 
 
-@query(
-    "S6_sidecar_join",
+_SIDECAR_SQL = (
     f"""WITH {_FILES} SELECT path, CASE WHEN doc_id % 3 = 0 THEN (1000 + doc_id)::DOUBLE END AS sidecar_rate, CASE WHEN doc_id % 3 = 0 THEN 'cf32_le' END AS datatype,
-  CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN (doc_id * 10)::DOUBLE END AS center_frequency FROM fl WHERE doc_id % 8 < 4""",
+  CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN (doc_id * 10)::DOUBLE END AS center_frequency FROM fl WHERE doc_id % 8 < 4"""
 )
+
+
+@query("S6_sidecar_join", _SIDECAR_SQL)
+@query("J6_sidecar_left_join", _SIDECAR_SQL)
 def s6(inp: Inputs):
     files = _files(inp).where(captures.suffix(F.col("path")).isin(*captures.CATALOGUE_SUFFIXES))
     key = F.col("doc_id").cast("string")
