@@ -200,7 +200,22 @@ def a44(inp: Inputs):
     return rounded(report.withColumn("prompt_signs", F.array_join("prompt_signs", "")))
 
 
-@query("A45_line_rate_hint")
+_LINE_SQL = f"""WITH ln AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS n, l_quantity AS noise FROM lineitem),
+x AS (SELECT n, abs(1.0 + 0.2*cos(n*w) + 0.1*cos(2*n*w) + 0.0004*(noise-25)) AS e FROM ln, (SELECT 2*pi()*{acquire.LINE_RATE_HZ}/200000.0 AS w)),
+y AS (SELECT n, count(*) OVER () AS m, (e - avg(e) OVER ()) AS e FROM x),
+z AS (SELECT n, m, e*(0.5-0.5*cos(2*pi()*n/(m-1))) AS e FROM y),
+bn AS (SELECT b, m FROM (SELECT DISTINCT m FROM z), range(0, 400000) t(b) WHERE b*200000.0/m BETWEEN 12900 AND 18500 OR b*200000.0/m BETWEEN 28400 AND 34600),
+sp AS (SELECT b, any_value(z.m) AS m, sqrt(power(sum(e*cos(2*pi()*(b*n % z.m)/z.m)), 2) + power(sum(e*sin(2*pi()*(b*n % z.m)/z.m)), 2)) AS mag FROM z, bn GROUP BY b),
+fu AS (SELECT b AS fb, mag AS fm, m, greatest(8, round_even(2000/(200000.0/m), 0)) AS half FROM sp WHERE b*200000.0/m BETWEEN {acquire.LINE_RATE_HZ}*0.985 AND {acquire.LINE_RATE_HZ}*1.015 ORDER BY mag DESC, b LIMIT 1),
+ha AS (SELECT b AS hb, mag AS hm FROM sp, fu WHERE abs(b-2*fb) <= 2 ORDER BY mag DESC, b LIMIT 1),
+md AS (SELECT median(mag) FILTER (abs(b-fb) > 2 AND abs(b-fb) <= half) AS fmed, median(mag) FILTER (abs(b-hb) > 2 AND abs(b-hb) <= half) AS hmed FROM sp, fu, ha),
+vd AS (SELECT *, fm/fmed AS prom, hm/hmed AS hprom FROM fu, ha, md)
+SELECT 'L' AS capture_id, prom >= 8 AND hprom >= 6 AS found, {r('CASE WHEN prom >= 8 AND hprom >= 6 THEN fb*200000.0/m END', 5, 'line_rate_hz')},
+  {r('CASE WHEN prom >= 8 AND hprom >= 6 THEN least(0.8, greatest(0, 10*log10(least(prom, hprom))/25)) ELSE 0 END', 5, 'confidence')}, {r('CASE WHEN prom >= 8 THEN hm/fm ELSE 0 END', 5, 'harmonic_ratio')},
+  CASE WHEN prom < 8 THEN 'no line at the video rate' WHEN hprom < 6 THEN 'no 2nd harmonic' ELSE 'envelope line with 2nd harmonic' END AS reason FROM vd"""
+
+
+@query("A45_line_rate_hint", _LINE_SQL)
 def a45(inp: Inputs):
     from tonelake.sources.series import to_samples
 
@@ -208,7 +223,7 @@ def a45(inp: Inputs):
     rows = to_samples(inp.line_series()).select(
         "capture_id", "n", (1.0 + 0.2 * F.cos(turn) + 0.1 * F.cos(2 * turn) + 0.0004 * (F.col("q") - 25)).alias("i"), F.lit(0.0).alias("q")
     )
-    return rounded(acquire.line_rate(rows, 200_000.0))
+    return rounded(acquire.line_rate(rows, 200_000.0), 5)
 
 
 # -- reports -------------------------------------------------------------------
