@@ -204,7 +204,7 @@ _LINE_SQL = f"""WITH ln AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_lin
 x AS (SELECT n, abs(1.0 + 0.2*cos(n*w) + 0.1*cos(2*n*w) + 0.0004*(noise-25)) AS e FROM ln, (SELECT 2*pi()*{acquire.LINE_RATE_HZ}/200000.0 AS w)),
 y AS (SELECT n, count(*) OVER () AS m, (e - avg(e) OVER ()) AS e FROM x),
 z AS (SELECT n, m, e*(0.5-0.5*cos(2*pi()*n/(m-1))) AS e FROM y),
-bn AS (SELECT b, m FROM (SELECT DISTINCT m FROM z), range(0, 400000) t(b) WHERE b*200000.0/m BETWEEN 12900 AND 18500 OR b*200000.0/m BETWEEN 28400 AND 34600),
+bn AS MATERIALIZED (SELECT b, m FROM (SELECT DISTINCT m FROM z), range(0, 400000) t(b) WHERE b*200000.0/m BETWEEN 12900 AND 18500 OR b*200000.0/m BETWEEN 28400 AND 34600),
 sp AS (SELECT b, any_value(z.m) AS m, sqrt(power(sum(e*cos(2*pi()*(b*n % z.m)/z.m)), 2) + power(sum(e*sin(2*pi()*(b*n % z.m)/z.m)), 2)) AS mag FROM z, bn GROUP BY b),
 fu AS (SELECT b AS fb, mag AS fm, m, greatest(8, round_even(2000/(200000.0/m), 0)) AS half FROM sp WHERE b*200000.0/m BETWEEN {acquire.LINE_RATE_HZ}*0.985 AND {acquire.LINE_RATE_HZ}*1.015 ORDER BY mag DESC, b LIMIT 1),
 ha AS (SELECT b AS hb, mag AS hm FROM sp, fu WHERE abs(b-2*fb) <= 2 ORDER BY mag DESC, b LIMIT 1),
