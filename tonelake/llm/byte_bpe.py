@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.records import extended
+
 #: Texts beyond this many characters are cut into pre-tokens lazily, so that memory stays bounded.
 LONG_TEXT = 1 << 21
 #: Pre-tokens whose ids are remembered in one task.
@@ -145,9 +147,7 @@ def encode_payloads(payloads: DataFrame, rank_lines: bytes, pattern: str) -> Dat
     table. Long messages are cut lazily, and their ids are the only thing that grows with them.
     """
     source = payloads.select("capture_id", F.coalesce("message_utf8", F.lit("")).alias("message_utf8"))
-    schema = source.select(
-        "capture_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("token_ids")
-    ).schema
+    schema = extended(source, ["capture_id"], "n_tokens long, token_ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -177,7 +177,7 @@ def decode_payloads(encoded: DataFrame, rank_lines: bytes) -> DataFrame:
     binary)``. Null ids decode to no bytes; an id outside the vocabulary raises.
     """
     source = encoded.select("capture_id", "n_tokens", F.coalesce("token_ids", F.lit(b"")).alias("token_ids"))
-    schema = source.select("*", F.lit(b"").alias("message_bytes")).schema
+    schema = extended(source, source.columns, "message_bytes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = byte_alphabet()

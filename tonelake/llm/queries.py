@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe
+from tonelake.llm import byte_bpe, jaccard_join
+from tonelake.llm.statements import NEAR_DUPLICATES
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Runner] = {"op1_byte_bpe": op1_byte_bpe}
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(payloads(table(spark, sf_dir, "documents"))).select(
+        F.col("capture_id").alias("doc_id"), "n_shingles", "component_id"
+    )
+
+
+QUERIES: dict[str, Runner] = {"op1_byte_bpe": op1_byte_bpe, "op3_jaccard_join": op3_jaccard_join}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": NEAR_DUPLICATES}
