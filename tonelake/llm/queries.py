@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, jaccard_join
-from tonelake.llm.statements import NEAR_DUPLICATES
+from tonelake.llm import byte_bpe, jaccard_join, quality_rules
+from tonelake.llm.statements import NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -41,12 +41,24 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_payloads(payloads(table(spark, sf_dir, "documents")))
+    return judged.select(
+        F.col("capture_id").alias("doc_id"),
+        *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    )
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(payloads(table(spark, sf_dir, "documents"))).select(
         F.col("capture_id").alias("doc_id"), "n_shingles", "component_id"
     )
 
 
-QUERIES: dict[str, Runner] = {"op1_byte_bpe": op1_byte_bpe, "op3_jaccard_join": op3_jaccard_join}
+QUERIES: dict[str, Runner] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_jaccard_join": op3_jaccard_join,
+}
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": NEAR_DUPLICATES}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_jaccard_join": NEAR_DUPLICATES}

@@ -33,3 +33,86 @@ WITH RECURSIVE w AS (
 SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM sets LEFT JOIN lowest USING (doc_id)
 """
+
+
+def _estimated(rounds: int, rules: int) -> str:
+    """The rounds of expectation-maximisation over ``pat(v0 .., n)``, one pair of tables each."""
+
+    def posterior(s: str) -> str:
+        terms = [f"ln({s}.share / (1 - {s}.share))"]
+        terms += [
+            f"CASE v{j} WHEN -1 THEN ln({s}.b{j} / {s}.g{j}) WHEN 1 THEN ln((1 - {s}.b{j}) / (1 - {s}.g{j})) ELSE 0.0 END"
+            for j in range(rules)
+        ]
+        return f"1 / (1 + exp(-({' + '.join(terms)})))"
+
+    starts = [f"CAST(0.4 AS DOUBLE) AS b{j}, CAST(0.02 AS DOUBLE) AS g{j}" for j in range(rules)]
+    parts = [f"s0 AS MATERIALIZED (SELECT CAST(0.1 AS DOUBLE) AS share, {', '.join(starts)})"]
+    for k in range(1, rounds + 1):
+        parts.append(f"p{k} AS MATERIALIZED (SELECT pat.*, n * ({posterior('s')}) AS bad FROM pat, s{k - 1} s)")
+        columns = ["greatest(0.01, least(0.5, (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 10.0))) AS share"]
+        for j in range(rules):
+            for name, weight, more, lo, hi in (("b", "bad", 4.0, 0.2, 0.95), ("g", "(n - bad)", 0.2, 0.001, 0.02)):
+                against, either = (
+                    f"coalesce(sum(CASE WHEN v{j} {c} THEN {weight} END), 0)" for c in ("= -1", "<> 0")
+                )
+                columns.append(f"greatest({lo}, least({hi}, ({against} + {more}) / ({either} + 10.0))) AS {name}{j}")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT {', '.join(columns)} FROM p{k})")
+    return ", ".join(parts) + f", final AS (SELECT v.doc_id, 1 - {posterior('s')} AS p_good FROM voted v, s{rounds} s)"
+
+
+def _vote(bad: str, good: str) -> str:
+    return f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
+
+
+_VOTES = [
+    _vote("n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
+    _vote("n_symbols * 20 > word_chars", "n_symbols * 200 <= word_chars"),
+    _vote("n_dup_lines * 10 > n_lines * 3", "n_lines > 1 AND n_dup_lines = 0"),
+    _vote("n_repeat_words * 5 > n_words", "n_words >= 20 AND n_repeat_words * 20 <= n_words"),
+    _vote("word_chars > n_words * 12 OR word_chars < n_words * 2", "word_chars BETWEEN n_words * 3 AND n_words * 9"),
+    _vote("n_words >= 20 AND n_distinct * 8 < n_words", "n_words >= 20 AND n_distinct * 4 >= n_words"),
+    _vote("n_upper * 3 > word_chars", "n_upper * 10 <= word_chars"),
+    _vote("n_exclaim * 5 > n_words", "n_exclaim * 50 <= n_words"),
+    _vote("n_words >= 20 AND n_ends * 100 < n_words", "n_words >= 20 AND n_ends * 50 >= n_words AND n_ends * 2 <= n_words"),
+    _vote("n_words >= 20 AND n_function = 0", "n_function * 20 >= n_words"),
+]
+
+_FUNCTION_WORDS = "the of and to in a is that de la le les et en des der die und das den von el los que y una".split()
+
+#: ``documents`` may be any relation (doc_id, text) with distinct ids.
+QUALITY = f"""
+WITH w AS MATERIALIZED (
+    SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
+    FROM documents
+), windows AS (
+    SELECT doc_id, k, array_to_string(words[k:k + 4], ' ') AS win
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS k FROM w)
+), again AS (
+    SELECT doc_id, k FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), repeats AS (
+    SELECT doc_id, count(DISTINCT k + j) AS n FROM again, range(5) t(j) GROUP BY doc_id
+), counted AS MATERIALIZED (
+    SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+        CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words,
+        len(lines) AS n_lines, len(list_distinct(words)) AS n_distinct,
+        len(list_filter(words, lambda x: x IN ({", ".join(repr(x) for x in _FUNCTION_WORDS)}))) AS n_function,
+        length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+        length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaim,
+        length(regexp_replace(text, '[^.?!]', '', 'g')) AS n_ends
+    FROM w LEFT JOIN repeats USING (doc_id)
+), voted AS MATERIALIZED (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        {", ".join(f"{v} AS v{j}" for j, v in enumerate(_VOTES))}
+    FROM counted
+), pat AS MATERIALIZED (
+    SELECT {", ".join(f"v{j}" for j in range(10))}, count(*) AS n FROM voted WHERE NOT base_failed GROUP BY ALL
+), {_estimated(40, 10)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND p_good >= 0.5 AS kept
+FROM voted JOIN final USING (doc_id)
+"""
