@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, jaccard_join, quality_rules
-from tonelake.llm.statements import NEAR_DUPLICATES, QUALITY
+from tonelake.llm import byte_bpe, jaccard_join, mixing, quality_rules
+from tonelake.llm.statements import MIX, NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -55,10 +55,20 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("capture_id"), F.col("source").alias("modulation"), F.col("text").alias("message_utf8")
+    )
+    return mixing.plan_mix(captures).taken().select(
+        F.col("capture_id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
 QUERIES: dict[str, Runner] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_jaccard_join": NEAR_DUPLICATES}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_jaccard_join": NEAR_DUPLICATES, "op7_mixing": MIX}

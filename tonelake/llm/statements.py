@@ -116,3 +116,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT base_failed AND p_good >= 0.5 AS kept
 FROM voted JOIN final USING (doc_id)
 """
+
+
+def _digest(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+_PRIMES = [8388593, 8388587, 8388581, 8388571, 8388547, 8388539, 8388473, 8388461]
+
+MIX = f"""
+WITH sizes AS MATERIALIZED (
+    SELECT doc_id, source, CAST(sum(len({WORDS.format("coalesce(text, '')")})) AS BIGINT) AS size
+    FROM documents GROUP BY doc_id, source
+), per_source AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+        row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM sizes GROUP BY source
+), weighed AS (
+    SELECT *, CAST(1 + source_no % 3 AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 3 AS lim FROM per_source
+), levelled AS (
+    SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM weighed)
+        - coalesce(sum(lim) OVER (ORDER BY lim / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY lim / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
+    FROM weighed
+), sources AS MATERIALIZED (
+    SELECT *, least(lim, weight * (SELECT lev FROM levelled WHERE lev <= lim / weight ORDER BY lim / weight, source_no LIMIT 1))
+        AS target, CAST(ceil(source_size / 64) AS BIGINT) AS n_blocks,
+        CASE WHEN source IS NULL THEN 'none' ELSE '=' || source END AS name
+    FROM levelled
+), slotted AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * n_blocks / source_size + 0.5) AS BIGINT) ELSE 0 END AS slots
+    FROM sources
+), slots AS (
+    SELECT source_no, n_blocks, name, slot, slot // n_blocks AS turn
+    FROM (SELECT *, unnest(range(slots)) AS slot FROM slotted WHERE slots > 0)
+), keyed AS (
+    SELECT *, {_digest("'0|' || name || '|' || turn")} AS key,
+        list_filter([{", ".join(map(str, _PRIMES))}], lambda p: n_blocks % p <> 0) AS fitting FROM slots
+), draws AS (
+    SELECT source_no, (fitting[1 + key % len(fitting)] * (slot - turn * n_blocks) + key % n_blocks) % n_blocks AS block,
+        count(*) AS times FROM keyed GROUP BY ALL
+), placed AS MATERIALIZED (
+    SELECT z.*, s.source_no, s.source_size, s.target, coalesce(sum(size) OVER (PARTITION BY source_no
+        ORDER BY {_digest("coalesce(CAST(doc_id AS VARCHAR), 'none')")}, doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM sizes z JOIN sources s ON z.source IS NOT DISTINCT FROM s.source
+), pieces AS (
+    SELECT doc_id, source_no, block, least(start + size, (block + 1) * 64) - greatest(start, block * 64) AS n
+    FROM (SELECT *, unnest(range(CAST(start // 64 AS BIGINT), CAST((start + size - 1) // 64 + 1 AS BIGINT))) AS block
+        FROM placed WHERE size > 0)
+), sums AS (
+    SELECT doc_id, source_no, sum(n * times) AS taken FROM pieces JOIN draws USING (source_no, block) GROUP BY ALL
+)
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM placed p LEFT JOIN sums s ON p.source_no = s.source_no AND p.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
