@@ -69,6 +69,9 @@ def test_against_all_pairs(spark, seed, monkeypatch):
     if seed == 2:  # every shingle that occurs twice counts as widely shared, tiles are salted
         monkeypatch.setattr(jj, "COUNT_LEAST", 1)
         monkeypatch.setattr(jj, "TILE_MEMBERS", 1)
+    if seed == 3:  # everything is decided in blocks, none larger than two members on average
+        monkeypatch.setattr(jj, "ROUNDS", 0)
+        monkeypatch.setattr(jj, "TILE_BLOCK", 2)
     rows = corpus(seed)
     assert run(spark, rows) == brute(rows)
 

@@ -16,7 +16,9 @@ Two payloads link when ``100 * intersection >= percent * union`` of their shingl
 
 Only connectivity is asked for, so pairs are not enumerated within a group: first each
 member of a tile is compared with the tile's smallest member, and the links so found are
-gathered into components; then only members of different components meet.
+gathered into components. In each of a few rounds, members outside the largest component of
+their tile are compared with changing members of it. At last all members of a tile that are
+still in different components meet, which decides every link that could join two of them.
 """
 
 from __future__ import annotations
@@ -40,6 +42,12 @@ COUNT_BUFFER = 1 << 21
 COUNT_LEAST = 4
 #: Members of one tile that a task compares with one another's smallest; larger tiles are split.
 TILE_MEMBERS = 4096
+#: Rounds of comparisons with leaders before what is left is compared member by member, and
+#: how many leaders a component with many tiles puts forward in a round.
+ROUNDS = 3
+LEADERS = 8
+#: Members of a tile that a task compares with one another; a larger tile is compared in blocks.
+TILE_BLOCK = 1024
 #: Bits of the table that says which payloads are needed again: 1 MiB at every size.
 WANTED_BITS = 1 << 23
 
@@ -334,6 +342,96 @@ def _verified(pairs: DataFrame, payloads: DataFrame, survey: DataFrame, words: i
     return both.mapInArrow(run, "a long, b long")
 
 
+def _best(bounded: DataFrame) -> DataFrame:
+    """For each node the partner that may overlap most: one link is enough to join a component."""
+    return bounded.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("best")).select("a", "best.b")
+
+
+def _still_open(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of tiles whose members lie in two components or more, with the present component."""
+    now = rows.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = now.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return now.join(split.where("low < high").select("tile"), "tile", "left_semi")
+
+
+def _to_leaders(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each member with its tile's leader, a changing member of its largest component."""
+    sizes = rows.select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("members"))
+    ranked = F.struct("members", F.xxhash64("node", F.pmod("tile", F.lit(LEADERS)), F.lit(turn)), "node", "n", "component")
+    leaders = rows.join(sizes, "component").groupBy("tile").agg(F.max(ranked).alias("leader"))
+    return (
+        rows.join(leaders, "tile")
+        .where(F.col("component") != F.col("leader.component"))
+        .select(F.col("node").alias("a"), F.col("leader.node").alias("b"), "n", F.col("leader.n").alias("pivot_n"))
+    )
+
+
+def _within_tiles(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one tile, in different components, whose bitmaps allow a link.
+
+    A tile is cut into blocks of members; each pair of blocks is a task's work of bounded size,
+    and only pairs that pass every bound become rows.
+    """
+    signed = rows.join(nodes.select("node", "bits"), "node")
+    members = rows.groupBy("tile").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        signed.join(members, "tile")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("tile", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
+                "node", "n", "pos", "component", "bits")
+    )
+
+    def compared(group: list[np.ndarray], bits: list[bytes]) -> Iterator[tuple[int, int]]:
+        low, high, own, node, n, pos, component = group
+        one, two = (np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0]))
+        i, j = np.repeat(one, len(two)), np.tile(two, len(one))
+        smaller = (n[i] < n[j]) | ((n[i] == n[j]) & (node[i] < node[j]))
+        i, j = np.where(smaller, i, j), np.where(smaller, j, i)
+        keep = (component[i] != component[j]) & (pos[i] == 0) & (100 * n[i] >= percent * n[j])
+        if low[0] == high[0]:
+            keep &= np.tile(two, len(one)) > np.repeat(one, len(two))
+        for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+            x, y = int(n[p]), int(n[q])
+            if _links(overlap_bound(x, bits[p], y, bits[q]), x, y, percent):
+                yield int(node[p]), int(node[q])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            columns = [table.column(k).to_numpy().astype(np.int64) for k in range(8)]
+            keys = np.stack(columns[:3])
+            cuts = [0, *(1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))).tolist(), keys.shape[1]]
+            bits = table.column(8).to_pylist()
+            found = [
+                pair
+                for a, b in zip(cuts, cuts[1:])
+                if b - a > 1
+                for pair in compared([c[a:b] for c in columns[1:]], bits[a:b])
+            ]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"]
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            same = (keys == keys[:, -1:]).all(axis=0)
+            whole = int(np.argmax(same))  # the last group may go on in the next batch
+            if whole:
+                yield flush(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield flush(held)
+
+    ordered = dealt.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``payloads(capture_id, message_utf8)`` -> ``(capture_id, n_shingles long, component_id)``.
 
@@ -365,37 +463,27 @@ def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> D
         .distinct()
     )
     bounded = pin(_bounded(to_pivot, nodes, percent))
-    best = bounded.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("best")).select("a", "best.b")
-    links = pin(_verified(best, payloads, survey, words, percent))
+    tried = pin(_best(bounded))
+    links = pin(_verified(tried, payloads, survey, words, percent))
     label = components(links)
 
-    labelled = meetings.join(label, "node", "left").select(
-        "tile", "node", "n", "pos", F.coalesce("component", "node").alias("component")
-    )
-    open_tiles = (
-        labelled.groupBy("tile")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("tile")
-    )
-    left_over = pin(labelled.join(open_tiles, "tile", "left_semi"))
-    one, two = left_over.alias("one"), left_over.alias("two")
-    pairs = (
-        one.join(
-            two,
-            F.expr(
-                "one.tile = two.tile AND one.component <> two.component AND one.pos = 0"
-                " AND (one.n < two.n OR one.n = two.n AND one.node < two.node)"
-                f" AND 100L * one.n >= {percent}L * two.n"
-            ),
-        )
-        .select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
-        .distinct()
-    )
-    tried = best.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    fresh = pairs.join(tried, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
-    rest = pin(_bounded(fresh, nodes, percent))
-    more = _verified(rest, payloads, survey, words, percent)
+    open_rows = meetings.select("tile", "node", "n", "pos", F.col("node").alias("component"))
+    for turn in range(ROUNDS):
+        open_rows = pin(_still_open(open_rows, label))
+        if open_rows.isEmpty():
+            break
+        bounded = _bounded(_to_leaders(open_rows, turn).where(near).select("a", "b").distinct(), nodes, percent)
+        candidates = pin(_best(bounded))
+        found = pin(_verified(candidates, payloads, survey, words, percent))
+        tried, links = tried.unionByName(candidates), links.unionByName(found)
+        if found.isEmpty():
+            break
+        label = components(links)
+    left_over = pin(_still_open(open_rows, label))
+    pairs = _within_tiles(left_over, nodes, percent)
+    known = tried.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    fresh = pairs.join(known, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
+    more = _verified(pin(fresh), payloads, survey, words, percent)
     final = components(links.unionByName(more))
 
     smallest = survey.where("n > 0").groupBy("node").agg(F.min("capture_id").alias("smallest"))
