@@ -68,8 +68,8 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(counted)
 
 
-def measures(payloads: DataFrame) -> DataFrame:
-    """Counts of every text; ``capture_id`` and one column per count."""
+def measures(payloads: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of every text; ``capture_id``, the ``carried`` columns and one column per count."""
     text = F.coalesce("message_utf8", F.lit(""))
 
     def of_words(words: Column) -> Column:
@@ -90,6 +90,7 @@ def measures(payloads: DataFrame) -> DataFrame:
     with_words = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     counted = payloads.select(
         "capture_id",
+        *carried,
         let(F.array_remove(F.split(text, SPACE), ""), of_words).alias("w"),
         let(with_words, of_lines).alias("l"),
         _count(text, r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -98,7 +99,7 @@ def measures(payloads: DataFrame) -> DataFrame:
         _count(text, r"[^.?!]+").alias("n_ends"),
     )
     return counted.select(
-        "capture_id", "w.*", "n_symbols", "l.n_lines", "l.n_dup_lines", "n_upper", "n_exclaim", "n_ends"
+        "capture_id", *carried, "w.*", "n_symbols", "l.n_lines", "l.n_dup_lines", "n_upper", "n_exclaim", "n_ends"
     )
 
 
@@ -187,13 +188,13 @@ def _estimate(patterns: Column, rules: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda state, _: step(state))
 
 
-def judge_payloads(payloads: DataFrame) -> DataFrame:
+def judge_payloads(payloads: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """``payloads(capture_id, message_utf8)`` -> counts, votes, ``p_good`` and ``kept`` per row.
 
     Columns: ``capture_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``
     (long), ``base_failed`` (fewer than 10 words, or more than a fifth of the words in repeated
     windows), ``p_good`` double, ``kept`` (not ``base_failed`` and ``p_good >= 0.5``) and one
-    ``vote_<rule>`` each.
+    ``vote_<rule>`` each; also the ``carried`` columns, which spares a caller the join back.
 
     Rows that fail the base take no part in the estimation. Every input row gives one row, repeated rows included. A null, empty or blank text has no
     words and is not kept. Equal texts get equal verdicts. A null ``capture_id`` stays null. An
@@ -201,7 +202,7 @@ def judge_payloads(payloads: DataFrame) -> DataFrame:
     """
     rules = rule_votes()
     code = reduce(lambda a, b: a * 3 + b, [vote + 1 for vote in rules.values()])
-    measured = pin(measures(payloads).withColumn("pattern", code.cast("long")))
+    measured = pin(measures(payloads, carried).withColumn("pattern", code.cast("long")))
     decoded = F.array(
         *[(F.floor(F.col("pattern") / 3**k) % 3 - 1).cast("int") for k in reversed(range(len(rules)))]
     )
@@ -216,6 +217,7 @@ def judge_payloads(payloads: DataFrame) -> DataFrame:
     # At most 3 ** 10 = 59 049 patterns, whatever the input: small enough to send everywhere.
     return measured.join(F.broadcast(verdicts), "pattern").select(
         "capture_id",
+        *carried,
         *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
         base_failed.alias("base_failed"),
         (~base_failed & (F.col("p_good") >= 0.5)).alias("kept"),

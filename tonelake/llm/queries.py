@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, jaccard_join, mixing, quality_rules
+from tonelake.llm import byte_bpe, jaccard_join, mixing, quality_rules, toxicity
 from tonelake.llm.statements import MIX, NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,23 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_labels(labels: DataFrame) -> DataFrame:
+    """The two categories that the labels hold, in chain order: junk, then toxic."""
+    return labels.select(F.col("doc_id").alias("capture_id"), (1 - F.col("quality")).alias("junk"), "toxic")
+
+
+def toxic_scores(documents: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    texts = payloads(documents) if not carried else documents
+    return toxicity.score_toxicity(texts, toxicity_labels(labels), ["junk", "toxic"], carried=carried)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        F.col("capture_id").alias("doc_id"), (F.col("p_toxic") >= 0.5).alias("toxic"), "p_toxic", "p_junk"
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("capture_id"), F.col("source").alias("modulation"), F.col("text").alias("message_utf8")
@@ -68,6 +85,7 @@ QUERIES: dict[str, Runner] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
 }
 
