@@ -182,11 +182,15 @@ def plan_mix(
 def _draws(sources: DataFrame, seed: int) -> DataFrame:
     """(shard, source_no, slot, turn, block): every slot, the shard it falls on and the block it reads."""
     shards = F.greatest(F.lit(1), F.ceil(F.col("all_slots") / SHARD_SLOTS))
+    all_slots = sources.agg(F.sum("slots")).first()[0] or 0
     runs = (
-        sources.withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(1))))
-        .where("slots > 0")
-        .withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SLOT_RUN))))
-        .repartition("source_no", "run")
+        sources.where("slots > 0")
+        .select(
+            "*",
+            F.lit(all_slots).alias("all_slots"),
+            F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SLOT_RUN))).alias("run"),
+        )
+        .repartition(1 + all_slots // SLOT_RUN, "source_no", "run")  # a run makes SLOT_RUN rows: one or two to a task
     )
     last = F.least((F.col("run") + 1) * SLOT_RUN, F.col("slots")) - 1
     slots = runs.select(
@@ -211,4 +215,6 @@ def _draws(sources: DataFrame, seed: int) -> DataFrame:
                 % F.col("n_blocks")
             ).alias("block"),
         )
+        # Dealt out by the key of the join, so that its size is known before the join is chosen.
+        .repartition("source_no", "block")
     )
