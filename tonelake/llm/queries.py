@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, jaccard_join, mixing, quality_rules, toxicity
+from tonelake.llm import byte_bpe, fingerprints, jaccard_join, mixing, quality_rules, toxicity, url_filter
 from tonelake.llm.statements import MIX, NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -81,12 +81,41 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = table(spark, sf_dir, "pages").select(F.col("page_id").alias("name"), "url")
+    # The labelled addresses are those that a rule speaks for.
+    rule = url_filter.longest_rule(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), URL_RULES)
+    blocking = [r for r, verdict in URL_RULES.items() if verdict == "block"]
+    labelled = manifest.select("url", rule.alias("rule")).where("rule IS NOT NULL")
+    labelled = labelled.select("url", F.col("rule").isin(blocking).cast("int").alias("blocked"))
+    return url_filter.judge_urls(manifest, URL_RULES, labelled).select(
+        F.col("name").alias("page_id"), "host", "path", "rule", "verdict", "p_block"
+    )
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(payloads(table(spark, sf_dir, "documents"))).select(
+        F.col("capture_id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        F.col("root").alias("fingerprint"),
+        F.col("edited_root").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES: dict[str, Runner] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_jaccard_join": NEAR_DUPLICATES, "op7_mixing": MIX}
