@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, fingerprints, jaccard_join, mixing, quality_rules, toxicity, url_filter
+from tonelake.llm import byte_bpe, fingerprints, jaccard_join, mixing, quality_mil, quality_rules, toxicity, url_filter
 from tonelake.llm.statements import MIX, NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,20 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(doc_id: Column, folds: int) -> Column:
+    """The remainder of the CRC-32 of the id as text."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out).select(F.col("doc_id").alias("capture_id"), "quality")
+    scored = quality_mil.score_quality(payloads(table(spark, sf_dir, "documents")), labels)
+    return scored.withColumnRenamed("capture_id", "doc_id").select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages"
+    )
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(payloads(table(spark, sf_dir, "documents"))).select(
         F.col("capture_id").alias("doc_id"),
@@ -115,6 +129,7 @@ QUERIES: dict[str, Runner] = {
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
+    "op9_quality_mil": op9_quality_mil,
     "op10_fingerprints": op10_fingerprints,
 }
 
