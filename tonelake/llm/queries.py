@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, fingerprints, jaccard_join, mixing, quality_mil, quality_rules, toxicity, url_filter
+from tonelake.llm import byte_bpe, fingerprints, jaccard_join, language_crf, mixing, quality_mil, quality_rules, toxicity, url_filter
 from tonelake.llm.statements import MIX, NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,15 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    labels = documents.where(~held_out).select(F.col("doc_id").alias("capture_id"), F.col("lang").alias("language"))
+    return language_crf.label_languages(payloads(documents), labels).withColumnRenamed("capture_id", "doc_id").select(
+        "doc_id", held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score", "n_words"
+    )
+
+
 def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out).select(F.col("doc_id").alias("capture_id"), "quality")
@@ -126,6 +135,7 @@ QUERIES: dict[str, Runner] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_language_crf": op4_language_crf,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
