@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tonelake.session import pin
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``: the smallest node that can be reached.
 
     Every round each node takes the smallest label among its neighbours and then the label of
     its label, so paths shorten fast. Labels are stored after each round, which cuts the
     lineage; minima are combined before the shuffle, so a node with very many edges is no
-    load. Nodes without edges do not appear; no edges give an empty table.
+    load. Nodes without edges do not appear; no edges give an empty table. With ``most_rounds``
+    it may stop early: nodes with equal labels are then connected, but not the other way round.
     """
     both = pin(
         edges.where("a <> b")
@@ -23,7 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     labels = pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
-    while True:
+    turn = 0
+    while most_rounds is None or turn < most_rounds:
+        turn += 1
         heard = (
             both.join(labels, F.col("a") == F.col("node"))
             .groupBy(F.col("b").alias("node"))
@@ -40,4 +43,5 @@ def components(edges: DataFrame) -> DataFrame:
         )
         labels = after.select("node", "component")
         if after.where(F.col("before") != F.col("component")).isEmpty():
-            return labels
+            break
+    return labels

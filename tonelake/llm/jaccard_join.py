@@ -16,7 +16,7 @@ Two payloads link when ``100 * intersection >= percent * union`` of their shingl
 
 Only connectivity is asked for, so pairs are not enumerated within a group: first each
 member of a tile is compared with the tile's smallest member, and the links so found are
-gathered into components. In each of a few rounds, members outside the largest component of
+gathered into components (or parts of them, which is enough on the way). In each of a few rounds, members outside the largest component of
 their tile are compared with changing members of it. At last all members of a tile that are
 still in different components meet, which decides every link that could join two of them.
 """
@@ -44,7 +44,7 @@ COUNT_LEAST = 4
 TILE_MEMBERS = 4096
 #: Rounds of comparisons with leaders before what is left is compared member by member, and
 #: how many leaders a component with many tiles puts forward in a round.
-ROUNDS = 3
+ROUNDS = 2
 LEADERS = 8
 #: Members of a tile that a task compares with one another; a larger tile is compared in blocks.
 TILE_BLOCK = 1024
@@ -465,7 +465,7 @@ def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> D
     bounded = pin(_bounded(to_pivot, nodes, percent))
     tried = pin(_best(bounded))
     links = pin(_verified(tried, payloads, survey, words, percent))
-    label = components(links)
+    label = components(links, most_rounds=2)
 
     open_rows = meetings.select("tile", "node", "n", "pos", F.col("node").alias("component"))
     for turn in range(ROUNDS):
@@ -478,7 +478,7 @@ def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> D
         tried, links = tried.unionByName(candidates), links.unionByName(found)
         if found.isEmpty():
             break
-        label = components(links)
+        label = components(links, most_rounds=2)
     left_over = pin(_still_open(open_rows, label))
     pairs = _within_tiles(left_over, nodes, percent)
     known = tried.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
