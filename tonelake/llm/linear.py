@@ -17,8 +17,8 @@ class Sparse:
     @staticmethod
     def of(rows: list[np.ndarray]) -> Sparse:
         lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-        flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-        return Sparse(flat.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]))
+        flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.uint32)
+        return Sparse(flat, np.concatenate([[0], np.cumsum(lengths)]))
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -35,25 +35,36 @@ class Sparse:
         """Only the features in the sorted array ``chosen``, numbered by their place in it."""
         if not len(chosen):
             return Sparse(np.zeros(0, np.int64), np.zeros(len(self) + 1, np.int64))
-        at = np.minimum(np.searchsorted(chosen, self.features), len(chosen) - 1)
-        hit = chosen[at] == self.features
-        counts = np.bincount(self.row_of[hit], minlength=len(self))
-        return Sparse(at[hit], np.concatenate([[0], np.cumsum(counts)]))
+        at, hit = _places(chosen, self.features)
+        before = np.concatenate([[0], np.cumsum(hit)])
+        return Sparse(at[hit].astype(np.int64), before[self.starts])
+
+
+def _places(chosen: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each feature stands in the sorted array ``chosen``, and whether it is there."""
+    at = np.zeros(len(features), np.int32)
+    for k in range(0, len(features), 1 << 20):  # in parts: the search works on wider numbers
+        at[k : k + (1 << 20)] = np.minimum(np.searchsorted(chosen, features[k : k + (1 << 20)]), len(chosen) - 1)
+    return at, chosen[at] == features
 
 
 def telling_features(rows: Sparse, label: np.ndarray, most: int, least_rows: int = 5, least_z: float = 4.0) -> np.ndarray:
     """Sorted numbers of the features whose share differs most between the classes.
 
-    The share is that of rows, so a feature is counted once per row; ``z`` is the two-sample
-    statistic. With one class only, no feature is telling.
+    The share is that of rows, which name a feature once; ``z`` is the two-sample statistic.
+    With one class only, none is telling.
     """
-    pairs = np.unique(np.stack([rows.features, rows.row_of]), axis=1) if len(rows.features) else np.zeros((2, 0), np.int64)
-    names, place = np.unique(pairs[0], return_inverse=True)
-    positive = label[pairs[1]] > 0.5
-    n1, n0 = float((label > 0.5).sum()), float((label <= 0.5).sum())
-    if not len(names) or not n1 or not n0:
+    positive = label > 0.5
+    n1, n0 = float(positive.sum()), float((~positive).sum())
+    if not n1 or not n0:
+        return np.zeros(0, np.int64)
+    names, counts = np.unique(rows.features, return_counts=True)
+    names = names[counts >= least_rows].astype(np.int64)
+    if not len(names):
         return np.zeros(0, np.int64)
-    with_feature, with_both = np.bincount(place), np.bincount(place, weights=positive)
+    inside = rows.restricted(names)
+    with_feature = np.bincount(inside.features, minlength=len(names))
+    with_both = np.bincount(inside.features, weights=positive[inside.row_of], minlength=len(names))
     share = with_feature / (n1 + n0)
     spread = np.sqrt(np.maximum(share * (1 - share) * (1 / n1 + 1 / n0), 1e-12))
     z = np.abs(with_both / n1 - (with_feature - with_both) / n0) / spread

@@ -21,7 +21,7 @@ from tonelake.llm.records import extended
 from tonelake.llm.sampling import bounded_sample
 
 #: Labelled rows that the models are fitted on, at most.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 6_000
 #: Features of one model, at most.
 MODEL_FEATURES = 512
 FOLDS = 3
