@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, fingerprints, jaccard_join, language_crf, mixing, quality_mil, quality_rules, toxicity, url_filter
-from tonelake.llm.statements import MIX, NEAR_DUPLICATES, QUALITY
+from tonelake.llm import byte_bpe, fingerprints, jaccard_join, language_crf, lm_scores, mixing, quality_mil, quality_rules, toxicity, url_filter
+from tonelake.llm.statements import LM_SCORES, MIX, NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores.score_payloads(payloads(table(spark, sf_dir, "documents")))
+    return scored.select(F.col("capture_id").alias("doc_id"), "n_words", "n_backed", F.round("score", 6).alias("score"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("capture_id"), F.col("source").alias("modulation"), F.col("text").alias("message_utf8")
@@ -137,10 +142,11 @@ QUERIES: dict[str, Runner] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_language_crf": op4_language_crf,
     "op5_toxicity": op5_toxicity,
+    "op6_lm_scores": op6_lm_scores,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_quality_mil": op9_quality_mil,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_jaccard_join": NEAR_DUPLICATES, "op7_mixing": MIX}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_jaccard_join": NEAR_DUPLICATES, "op6_lm_scores": LM_SCORES, "op7_mixing": MIX}

@@ -8,6 +8,8 @@ are hashed with array operations.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Bytes hashed together; a longer text is hashed alone.
@@ -41,25 +43,22 @@ class Shingler:
             steps[0, 1:], steps[1, 1:] = np.uint64(_BASE), inverse
             self.power, self.inverse = np.multiply.accumulate(steps, axis=1)
 
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The sorted distinct shingle hashes of every text; of no words, an empty array."""
-        out: list[np.ndarray] = []
+    def _chunks(self, texts: list[str | None]) -> Iterator[list[list[bytes]]]:
+        """Words of texts, as many texts together as fit in CHUNK_BYTES."""
         chunk: list[list[bytes]] = []
         held = 0
         for text in texts:
             words = (text or "").encode().lower().split()
             length = sum(map(len, words)) + len(words)
             if chunk and held + length > CHUNK_BYTES:
-                out += self._hash(chunk)
+                yield chunk
                 chunk, held = [], 0
             chunk.append(words)
             held += length
-        return out + self._hash(chunk)
+        yield chunk
 
-    def _hash(self, chunk: list[list[bytes]]) -> list[np.ndarray]:
-        none = np.zeros(0, dtype=np.uint64)
-        if not any(chunk):
-            return [none] * len(chunk)
+    def _hashes(self, chunk: list[list[bytes]], size: int) -> np.ndarray:
+        """The hash of the ``size`` words from each word on, over all texts of a chunk, cut at its end."""
         data = np.frombuffer(b" ".join(b" ".join(words) for words in chunk if words) + b" ", dtype=np.uint8)
         if len(data) >= len(self.power):
             self._grow(len(data) + 1)
@@ -69,19 +68,38 @@ class Shingler:
             terms = self.value_of_byte[data]
             terms *= self.power[: len(data)]
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-            out, first = [], 0
-            reach = self.size - 1
-            last = np.minimum(np.arange(len(ends)) + reach, len(ends) - 1)
-            whole = mix((sums[ends[last]] - sums[starts]) * self.inverse[starts])
+            last = np.minimum(np.arange(len(ends)) + size - 1, len(ends) - 1)
+            return mix((sums[ends[last]] - sums[starts]) * self.inverse[starts])
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sorted distinct shingle hashes of every text; of no words, an empty array."""
+        none = np.zeros(0, dtype=np.uint64)
+        out: list[np.ndarray] = []
+        for chunk in self._chunks(texts):
+            if not any(chunk):
+                out += [none] * len(chunk)
+                continue
+            whole, first = self._hashes(chunk, self.size), 0
             for words in chunk:
                 n = len(words)
                 if not n:
                     out.append(none)
                 elif n < self.size:
-                    stretch = (sums[ends[first + n - 1]] - sums[starts[first]]) * self.inverse[starts[first]]
-                    out.append(mix(np.array([stretch], dtype=np.uint64)))
+                    out.append(self._hashes([words], n)[:1])
                 else:
-                    out.append(np.unique(whole[first : first + n - reach]))
+                    out.append(np.unique(whole[first : first + n - self.size + 1]))
+                first += n
+        return out
+
+    def sequences(self, texts: list[str | None], sizes: tuple[int, ...]) -> list[tuple[np.ndarray, ...]]:
+        """The hashes of the n-grams of every text in their order, one array for each n of ``sizes``."""
+        out: list[tuple[np.ndarray, ...]] = []
+        for chunk in self._chunks(texts):
+            whole = [self._hashes(chunk, k) if any(chunk) else np.zeros(0, np.uint64) for k in sizes]
+            first = 0
+            for words in chunk:
+                n = len(words)
+                out.append(tuple(w[first : first + max(0, n - k + 1)] for w, k in zip(whole, sizes, strict=True)))
                 first += n
         return out
 

@@ -170,3 +170,25 @@ WITH sizes AS MATERIALIZED (
 SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
 FROM placed p LEFT JOIN sums s ON p.source_no = s.source_no AND p.doc_id IS NOT DISTINCT FROM s.doc_id
 """
+
+LM_SCORES = f"""
+WITH w AS MATERIALIZED (
+    SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS words FROM documents
+), t AS MATERIALIZED (
+    SELECT doc_id, k, words[k] AS word, CASE WHEN k > 1 THEN words[k - 1] END AS before
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS k FROM w)
+), ones AS MATERIALIZED (
+    SELECT word, count(*) AS n FROM t GROUP BY word
+), twos AS MATERIALIZED (
+    SELECT before, word, count(*) AS n FROM t WHERE k > 1 GROUP BY ALL
+), scored AS (
+    SELECT t.doc_id, k, coalesce(twos.n, 0) >= 2 AS known,
+        CASE WHEN coalesce(twos.n, 0) >= 2 THEN ln(twos.n) - ln(context.n)
+            ELSE ln(ones.n) - ln((SELECT count(*) FROM t)) + CASE WHEN k > 1 THEN ln(0.4) ELSE 0 END END AS value
+    FROM t JOIN ones ON t.word = ones.word LEFT JOIN ones context ON t.before = context.word
+        LEFT JOIN twos ON t.before = twos.before AND t.word = twos.word
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(sum(CASE WHEN NOT known THEN 1 END), 0) AS BIGINT) AS n_backed,
+    round(sum(value) / len(words), 6) AS score
+FROM w LEFT JOIN scored USING (doc_id) GROUP BY w.doc_id, words
+"""
