@@ -21,11 +21,16 @@ from tonelake.session import pin
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_record(docs: DataFrame) -> DataFrame:
-    """Payload records that carry the whole document along."""
-    return docs.select(
-        F.col("doc_id").alias("capture_id"), F.col("text").alias("message_utf8"), F.struct(*COLUMNS).alias("record")
-    )
+#: What a payload record carries along to be a document again.
+CARRIED = ("message_utf8", "lang", "source", "n_chars")
+
+
+def _payloads(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("capture_id"), F.col("text").alias("message_utf8"), *CARRIED[1:])
+
+
+def _documents(payloads: DataFrame) -> DataFrame:
+    return payloads.select(F.col("capture_id").alias("doc_id"), F.col("message_utf8").alias("text"), *CARRIED[1:])
 
 
 def _content(docs: DataFrame) -> DataFrame:
@@ -35,13 +40,13 @@ def _content(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain takes for toxic go."""
-    scored = toxic_scores(_with_record(docs), table(spark, sf_dir, "labels"), carried=("record",))
-    return scored.where("p_toxic < 0.5").select("record.*")
+    scored = toxic_scores(_payloads(docs), table(spark, sf_dir, "labels"), carried=CARRIED)
+    return _documents(scored.where("p_toxic < 0.5"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that are more probably bad than good go."""
-    return quality_rules.judge_payloads(_with_record(docs), carried=("record",)).where("kept").select("record.*")
+    return _documents(quality_rules.judge_payloads(_payloads(docs), carried=CARRIED).where("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from tonelake.llm.records import extended
 #: Texts beyond this many characters are cut into pre-tokens lazily, so that memory stays bounded.
 LONG_TEXT = 1 << 21
 #: Pre-tokens whose ids are remembered in one task.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Pre-tokens longer than this are encoded but not remembered.
 REMEMBERED_LENGTH = 64
 

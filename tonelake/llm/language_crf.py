@@ -33,7 +33,7 @@ SEQUENCE, STRETCH = 48, 12
 STEPS, BATCH = 250, 64
 #: A letter with the marks on it, again and again; longer runs are read in parts.
 WORD = r"\p{L}[\p{L}\p{M}]{0,99}"
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Words whose recursions run side by side.
 GROUP_WORDS = 400_000
 
