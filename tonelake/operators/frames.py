@@ -27,7 +27,6 @@ SPACING = 1
 SEED = 42
 RANDOM_BLOCK = 256
 INTERLEAVERS = ("none", "block", "convolutional", "diagonal", "pseudo-random", "pseudo-random-block")
-SEARCH_MAX_BITS = 16_384
 SEARCH_MIN_BITS = 32
 SEARCH_WINDOW = 32
 CRC_SPACE = 65_536
@@ -128,7 +127,7 @@ def crc_scan(streams: DataFrame, min_payload: int = 1, window: int | None = None
     )
 
 
-def search(streams: DataFrame, names: tuple[str, ...] = INTERLEAVERS, max_bits: int | None = SEARCH_MAX_BITS) -> DataFrame:
+def search(streams: DataFrame, names: tuple[str, ...] = INTERLEAVERS, max_bits: int | None = None) -> DataFrame:
     """First interleaver hypothesis under which a CRC-framed payload is found.
 
     One row per capture with the attempts up to the hit; ``max_bits=None`` searches

@@ -24,7 +24,6 @@ UNCORROBORATED = 0.35
 CORROBORATED = 0.80
 FOCUS_MIN_SAMPLES = 128
 FOCUS_MIN_BURST = 32
-PERIOD_PREFIX = 250_000
 HIDDEN = 64
 ANALOG = ("AM", "FM", "TONE", "AUDIO")
 FSK = ("2-FSK", "4-FSK")
@@ -230,7 +229,7 @@ def decide(rows: DataFrame) -> DataFrame:
 
 
 def classification_rows(samples: DataFrame, focused: DataFrame, sample_rate: float, block_len: int, nfft: int) -> DataFrame:
-    """Features of the burst view together with the tone period of the capture's prefix."""
-    prefix = to_blocks(samples.where(F.col("n") < PERIOD_PREFIX), block_len)
-    periods = symbols.tone_periods(stats.instant_frequency(prefix, block_len)).select("capture_id", "period")
+    """Features of the burst view together with the tone period of the whole capture."""
+    blocks = to_blocks(samples, block_len)
+    periods = symbols.tone_periods(stats.instant_frequency(blocks, block_len)).select("capture_id", "period")
     return features(focused, sample_rate, block_len, nfft).join(periods, "capture_id", "left").fillna({"period": 1})

@@ -50,13 +50,17 @@ def _glyph(byte: Column, keep_blank_controls: bool) -> Column:
     return F.when(shown, F.char(byte)).otherwise(F.lit("."))
 
 
-def text_preview(values: Column, max_bytes: int = PREVIEW_BYTES) -> Column:
+def text_preview(values: Column, max_bytes: int = PREVIEW_BYTES, total: Column | None = None) -> Column:
+    """``values`` may be only the bytes shown; ``total`` is then the size of the payload."""
     head = F.slice(values, 1, max_bytes)
     text = F.array_join(F.transform(head, lambda b: _glyph(b, True)), "")
-    return F.when(F.size(values) > max_bytes, F.concat(text, F.lit("..."))).otherwise(text)
+    size = F.size(values) if total is None else total
+    return F.when(size > max_bytes, F.concat(text, F.lit("..."))).otherwise(text)
 
 
-def hexdump(values: Column, width: int = HEXDUMP_WIDTH, max_bytes: int = PREVIEW_BYTES) -> Column:
+def hexdump(
+    values: Column, width: int = HEXDUMP_WIDTH, max_bytes: int = PREVIEW_BYTES, total: Column | None = None
+) -> Column:
     """Lines of ``offset  hex  |ascii|`` and a note on the bytes not shown."""
     rows = F.ceil(F.least(F.size(values), F.lit(max_bytes)) / width).cast("int")
 
@@ -73,8 +77,9 @@ def hexdump(values: Column, width: int = HEXDUMP_WIDTH, max_bytes: int = PREVIEW
     lines = F.when(rows > 0, F.transform(F.sequence(F.lit(0), rows - 1), line)).otherwise(
         F.array().cast("array<string>")
     )
-    more = F.concat(F.lit("... "), (F.size(values) - max_bytes).cast("string"), F.lit(" more byte(s) not shown"))
-    return F.when(F.size(values) > max_bytes, F.concat(lines, F.array(more))).otherwise(lines)
+    size = F.size(values) if total is None else total
+    more = F.concat(F.lit("... "), (size - max_bytes).cast("string"), F.lit(" more byte(s) not shown"))
+    return F.when(size > max_bytes, F.concat(lines, F.array(more))).otherwise(lines)
 
 
 def describe(payloads: DataFrame, max_bytes: int = PREVIEW_BYTES) -> DataFrame:
@@ -82,8 +87,8 @@ def describe(payloads: DataFrame, max_bytes: int = PREVIEW_BYTES) -> DataFrame:
 
     def described(v: Column) -> Column:
         return F.struct(
-            text_preview(v, max_bytes).alias("text_preview"),
-            hexdump(v, max_bytes=max_bytes).alias("hexdump"),
+            text_preview(v, max_bytes, F.length("data")).alias("text_preview"),
+            hexdump(v, max_bytes=max_bytes, total=F.length("data")).alias("hexdump"),
         )
 
     return payloads.select(
@@ -91,5 +96,5 @@ def describe(payloads: DataFrame, max_bytes: int = PREVIEW_BYTES) -> DataFrame:
         F.length("data").alias("bytes"),
         content_class(F.col("data")).alias("content_type"),
         F.lower(F.hex(F.substring("data", 1, max_bytes))).alias("hex_preview"),
-        let(byte_values(F.col("data")), described).alias("d"),
+        let(byte_values(F.substring("data", 1, max_bytes)), described).alias("d"),
     ).select("capture_id", "bytes", "content_type", "hex_preview", "d.text_preview", "d.hexdump")

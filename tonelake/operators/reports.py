@@ -52,7 +52,7 @@ def summary_rows(reports: DataFrame) -> DataFrame:
 
     decoded = F.col("payload.decoded.available")
     return reports.select(
-        F.col("input.file_name").alias("file"),
+        F.element_at(F.split("input.file_name", "/"), -1).alias("file"),
         F.col("input.file_type").alias("file_type"),
         F.col("input.iq_format_used").alias("iq_format_used"),
         F.col("input.sample_rate").alias("sample_rate"),

@@ -28,12 +28,12 @@ BANDWIDTH_DB = 10.0
 SQUARED_NFFT = 8192
 SQUARED_LINE_DB = 6.0
 ENVELOPE_NFFT = 1024
-ENVELOPE_SEGMENTS = 64
 MEDIAN_BINS = 31
 ENVELOPE_SIGMAS = 8.0
 ENVELOPE_MIN_FRACTION = 0.002
 CYCLE_NFFT = 2048
-CYCLE_SEGMENTS = 64
+#: Frames whose cross products a task adds up before they are shuffled.
+CYCLE_CHUNK = 256
 CYCLE_MIN_BIN = 4
 CYCLE_MIN_PEAK = 1.4
 CYCLE_SIGMAS = 10.0
@@ -202,38 +202,6 @@ def squared_line_rate(samples: DataFrame, sample_rate: float, nfft: int = SQUARE
     )
 
 
-def thinned(framed: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` frames per capture, spread evenly; ``counts`` has ``n_frames``.
-
-    Frame ``floor(k (F - 1) / (limit - 1))`` is kept for k = 0..limit-1.
-    """
-    wanted = counts.select(
-        "capture_id",
-        "n_frames",
-        F.explode(
-            F.when(
-                F.col("n_frames") > limit,
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(0), F.lit(limit - 1)),
-                        lambda k: F.when(k == limit - 1, F.col("n_frames") - 1).otherwise(
-                            F.floor(k * ((F.col("n_frames") - 1) / (limit - 1)))
-                        ),
-                    )
-                ),
-            ).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1))
-        ).alias("frame_no"),
-    )
-    return framed.join(wanted.select("capture_id", "frame_no"), ["capture_id", "frame_no"])
-
-
-def frame_counts(sizes: DataFrame, size: int, step: int) -> DataFrame:
-    """Number of full frames of every capture from its sample count."""
-    return sizes.where(F.col("num_samples") >= size).select(
-        "capture_id", (F.floor((F.col("num_samples") - size) / step) + 1).alias("n_frames")
-    )
-
-
 def running_median(spectrum: DataFrame, value: str, order: str, bins: int = MEDIAN_BINS) -> DataFrame:
     """Median over ``bins`` neighbours, the edge value repeated beyond the ends.
 
@@ -276,10 +244,10 @@ def refined(left: Column, mid: Column, right: Column) -> Column:
     return F.coalesce(F.when(usable & (F.abs(shift) <= 1.0), shift), F.lit(0.0))
 
 
-def welch_envelope(blocks: DataFrame, means: DataFrame, nfft: int, block_len: int, sizes: DataFrame) -> DataFrame:
+def welch_envelope(blocks: DataFrame, means: DataFrame, nfft: int, block_len: int) -> DataFrame:
     """(capture_id, bin, p): averaged spectrum of the mean-removed squared envelope.
 
-    Per-frame spectra are summed per bin with partial aggregation.
+    All frames of a capture enter; their spectra are summed per bin with partial aggregation.
     """
     step = max(1, nfft // 2)
     centred = blocks.join(means, "capture_id").select(
@@ -289,7 +257,7 @@ def welch_envelope(blocks: DataFrame, means: DataFrame, nfft: int, block_len: in
         F.zip_with("i", "q", lambda i, q: i * i + q * q - F.col("mean")).alias("i"),
         F.transform("q", lambda q: q * 0.0).alias("q"),
     )
-    kept = thinned(frames(centred, nfft, step, block_len), frame_counts(sizes, nfft, step), ENVELOPE_SEGMENTS)
+    kept = frames(centred, nfft, step, block_len)
     norm = nfft * float(np.mean(hann(nfft) ** 2))
     return (
         kept.select("capture_id", F.posexplode(windowed_power("i", "q")).alias("at", "p"))
@@ -309,7 +277,7 @@ def envelope_line_rate(
         ).alias("mean")
     )
     width = sample_rate / nfft
-    band = welch_envelope(blocks, means, nfft, block_len, sizes).where(
+    band = welch_envelope(blocks, means, nfft, block_len).where(
         (F.col("bin") * width > ENVELOPE_MIN_FRACTION * sample_rate)
     )
     lifted = running_median(band, "p", "bin").withColumn("rest", F.col("p") - F.col("background"))
@@ -361,57 +329,71 @@ def _spectrum_pair(i: pd.Series, q: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"spec_re": re, "spec_im": im})
 
 
-def cycle_nfft(num_samples: int, limit: int = CYCLE_NFFT) -> int:
-    """FFT size of the profile for captures of ``num_samples`` samples."""
-    size = 1 << int(math.floor(math.log2(max(min(limit, num_samples, num_samples // 8), 1))))
-    return max(128, min(size, CYCLE_NFFT))
-
-
 def coherence_profile(
     blocks: DataFrame, sizes: DataFrame, sample_rate: float, nfft: int, block_len: int, max_alpha_hz: float | None = None
 ) -> DataFrame:
     """(capture_id, d, alpha_hz, coherence): power-weighted cyclic coherence per bin shift.
 
-    At most 64 evenly spread frames per capture enter (a rule of the method), so one
-    (capture, shift range) group holds 64 short spectra at most.
+    All frames of a capture enter. Cross products are added up over chunks of frames, then
+    per shift and bin, so neither a long capture nor a shift is gathered in one place.
     """
     step = max(1, nfft // 2)
     alpha_max = max_alpha_hz or CYCLE_MAX_FRACTION * sample_rate
     top = max(1, min(int(alpha_max * nfft / (2.0 * sample_rate)), nfft // 2 - 1))
     low = CYCLE_MIN_BIN
-    width = 64
-    kept = thinned(frames(blocks, nfft, step, block_len), frame_counts(sizes, nfft, step), CYCLE_SEGMENTS)
-    spectra_ = kept.select("capture_id", "frame_no", _spectrum_pair("i", "q").alias("s")).select(
-        "capture_id", "frame_no", "s.spec_re", "s.spec_im"
+    spectra_ = (
+        frames(blocks, nfft, step, block_len)
+        .select("capture_id", "frame_no", _spectrum_pair("i", "q").alias("s"))
+        .select("capture_id", F.floor(F.col("frame_no") / CYCLE_CHUNK).alias("chunk"), "s.spec_re", "s.spec_im")
     )
-    ranges = F.explode(F.sequence(F.lit(low), F.lit(max(low, top - 1)), F.lit(width))).alias("d0")
-    grouped = spectra_.select("capture_id", "frame_no", "spec_re", "spec_im", ranges).groupBy("capture_id", "d0")
     id_type = blocks.schema["capture_id"].dataType.simpleString()
 
-    def profile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_no")
+    def products(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(rows["spec_re"].to_numpy()) + 1j * np.stack(rows["spec_im"].to_numpy())
-        shifts = np.arange(key[1], min(key[1] + width, top))
-        out = np.zeros(shifts.size)
-        if x.shape[0] >= 2:
-            for at, d in enumerate(shifts):
-                a, b = np.roll(x, -d, axis=1), np.roll(x, d, axis=1)
-                root = np.sqrt(np.mean(np.abs(a) ** 2, axis=0) * np.mean(np.abs(b) ** 2, axis=0))
-                total = root.sum()
-                ok = root > 0
-                if total > 0:
-                    cross = np.abs(np.mean(a * np.conj(b), axis=0)) ** 2
-                    out[at] = x.shape[0] * np.sum(cross[ok] / root[ok]) / total
+        # Row d = 0 holds the power of every bin.
+        shifts = np.concatenate([[0], np.arange(low, top)])
+        sums = [np.sum(np.roll(x, -d, axis=1) * np.conj(np.roll(x, d, axis=1)), axis=0) for d in shifts]
         return pd.DataFrame(
             {
                 "capture_id": [key[0]] * shifts.size,
                 "d": shifts,
-                "alpha_hz": 2.0 * shifts * sample_rate / nfft,
-                "coherence": out,
+                "num": [x.shape[0]] * shifts.size,
+                "re": [s.real.tolist() for s in sums],
+                "im": [s.imag.tolist() for s in sums],
             }
         )
 
-    return grouped.applyInPandas(profile, f"capture_id {id_type}, d long, alpha_hz double, coherence double")
+    summed = (
+        spectra_.groupBy("capture_id", "chunk")
+        .applyInPandas(products, f"capture_id {id_type}, d long, num long, re array<double>, im array<double>")
+        .select("capture_id", "d", "num", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "c"))
+        .groupBy("capture_id", "d", "bin")
+        .agg(F.sum("c.re").alias("re"), F.sum("c.im").alias("im"), F.sum("num").alias("num"))
+    )
+    powers = (
+        summed.where("d = 0")
+        .groupBy("capture_id")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "re"))), lambda c: c["re"]).alias("power"))
+    )
+    at = summed.where("d > 0").join(powers, "capture_id")
+    size, num = F.lit(nfft), F.col("num")
+    ahead = F.get("power", F.pmod(F.col("bin") + F.col("d"), size).cast("int"))
+    behind = F.get("power", F.pmod(F.col("bin") - F.col("d"), size).cast("int"))
+    measured = at.select(
+        "capture_id", "d", "num", (F.sqrt(ahead / num) * F.sqrt(behind / num)).alias("root"), (power(F.col("re"), F.col("im")) / (num * num)).alias("cross")
+    )
+    folded = measured.groupBy("capture_id", "d").agg(
+        F.first("num").alias("num"),
+        F.sum("root").alias("total"),
+        F.sum(F.when(F.col("root") > 0, F.col("cross") / F.col("root"))).alias("share"),
+    )
+    usable = (F.col("num") >= 2) & (F.col("total") > 0)
+    return folded.select(
+        "capture_id",
+        "d",
+        (2.0 * F.col("d") * sample_rate / nfft).alias("alpha_hz"),
+        F.when(usable, num * F.col("share") / F.col("total")).otherwise(F.lit(0.0)).alias("coherence"),
+    )
 
 
 def cycle_rate(profile: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -557,11 +539,23 @@ def fir_filter(blocks: DataFrame, taps: list[float], block_len: int) -> DataFram
         return pd.DataFrame({"i": out_i, "q": out_q})
 
     ahead = with_lookahead(blocks, max(delay, 1), block_len)
-    behind = blocks.select(
-        "capture_id",
-        (F.col("block_no") + 1).alias("block_no"),
-        F.slice("i", F.greatest(F.size("i") - reach + 1, F.lit(1)), F.lit(reach)).alias("bi"),
-        F.slice("q", F.greatest(F.size("q") - reach + 1, F.lit(1)), F.lit(reach)).alias("bq"),
+    # Short blocks: the samples behind a block lie in several blocks before it.
+    tails = [
+        F.struct(
+            (F.col("block_no") + k).alias("block_no"),
+            F.lit(-k).alias("turn"),
+            F.slice("i", F.greatest(F.size("i") - need + 1, F.lit(1)), F.lit(need)).alias("i"),
+            F.slice("q", F.greatest(F.size("q") - need + 1, F.lit(1)), F.lit(need)).alias("q"),
+        )
+        for k in range(1, -(-reach // block_len) + 1)
+        if (need := min(block_len, reach - (k - 1) * block_len)) > 0
+    ] or [F.struct((F.col("block_no") + 1).alias("block_no"), F.lit(-1).alias("turn"), F.slice("i", 1, 0).alias("i"), F.slice("q", 1, 0).alias("q"))]
+    behind = (
+        blocks.select("capture_id", F.explode(F.array(*tails)).alias("t"))
+        .select("capture_id", "t.*")
+        .groupBy("capture_id", "block_no")
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "i", "q"))).alias("parts"))
+        .select("capture_id", "block_no", F.flatten("parts.i").alias("bi"), F.flatten("parts.q").alias("bq"))
     )
     joined = ahead.join(behind, ["capture_id", "block_no"], "left")
     none = F.array().cast("array<double>")

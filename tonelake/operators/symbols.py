@@ -51,7 +51,6 @@ FSK_MIN_PERIOD = 3
 FSK_MAX_RESIDUAL = 0.15
 FSK_NEAR_TIE = 1.6
 FIT_EVM_WARN = 30.0
-FIT_MAX_SAMPLES = 100_000
 
 _AXIS_LEVELS = {"QPSK": 2, "16-QAM": 4, "64-QAM": 8}
 _SCALE = {"QPSK": math.sqrt(2.0), "16-QAM": math.sqrt(10.0), "64-QAM": math.sqrt(42.0)}
@@ -454,11 +453,12 @@ def fit_table(samples: DataFrame, schemes: tuple[str, ...] = LINEAR_SCHEMES, sps
     )
 
 
-def fit_check(samples: DataFrame, labels: DataFrame, max_samples: int = FIT_MAX_SAMPLES) -> DataFrame:
+def fit_check(samples: DataFrame, labels: DataFrame, max_samples: int | None = None) -> DataFrame:
     """Does the chosen scheme explain the samples? Other schemes are listed as context."""
-    own = fit_table(samples).join(labels, ["capture_id", "scheme"])
+    table = fit_table(samples)
+    own = table.join(labels, ["capture_id", "scheme"])
     others = (
-        fit_table(samples.where(F.col("n") < max_samples))
+        (table if max_samples is None else fit_table(samples.where(F.col("n") < max_samples)))
         .join(labels.withColumnRenamed("scheme", "chosen"), "capture_id")
         .where(F.col("scheme") != F.col("chosen"))
         .groupBy("capture_id")

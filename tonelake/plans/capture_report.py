@@ -16,7 +16,7 @@ DEFAULT_WORD = "0x1ACFFC1D"
 
 def analyse(
     blocks: DataFrame,
-    sample_rate: float,
+    sample_rate: float | DataFrame,
     block_len: int,
     word: str = DEFAULT_WORD,
     nfft: int = spectrum.PSD_NFFT,
@@ -28,17 +28,28 @@ def analyse(
     Each measure is one distributed job over every capture; a capture that a measure
     cannot handle keeps NULLs from the left joins. Tables that several measures read
     (frequencies, labels, bits) are stored once.
+
+    ``sample_rate`` is one rate for all captures or a table (capture_id, sample_rate) that may
+    also name ``file_type`` and ``iq_format_used``. Frequencies are measured in cycles per
+    sample and scaled by the capture's own rate.
     """
+    inputs = _inputs(blocks, sample_rate)
+    rate_of = inputs.select("capture_id", F.col("sample_rate").alias("_rate"))
+
+    def scaled(part: DataFrame, *columns: str) -> DataFrame:
+        timed = part.join(rate_of, "capture_id")
+        return timed.select(*[(F.col(c) * F.col("_rate")).alias(c) if c in columns else F.col(c) for c in part.columns])
+
     samples = to_samples(blocks)
     sizes = stats.sizes(blocks)
     freqs = pin(stats.instant_frequency(blocks, block_len))
 
-    measures = pin(spectrum.spectrum_measures(spectrum.psd(samples, sample_rate, nfft)))
+    measures = pin(scaled(spectrum.spectrum_measures(spectrum.psd(samples, 1.0, nfft)), "center_hz", "bandwidth_hz"))
     regions = pin(bursts.burst_regions(samples))
-    periods = pin(symbols.tone_periods(freqs.where(F.col("n") < models.PERIOD_PREFIX)))
+    periods = pin(symbols.tone_periods(freqs))
 
     focused = models.focus_burst(samples, regions)
-    rows = pin(models.features(focused, sample_rate, block_len, nfft)).join(
+    rows = pin(models.features(focused, 1.0, block_len, nfft)).join(
         periods.select("capture_id", "period"), "capture_id", "left"
     ).fillna({"period": 1})
     ruled = models.classify_rules(rows).join(models.heuristic(samples, freqs), "capture_id", "left")
@@ -60,9 +71,11 @@ def analyse(
     blind = frames.blind_scores(streams)
     fits = pin(symbols.fit_check(samples, labels.select("capture_id", "scheme")))
 
-    line = pin(spectrum.envelope_line_rate(blocks, sizes, sample_rate, line_nfft, block_len))
-    profile = pin(spectrum.coherence_profile(blocks, sizes, sample_rate, line_nfft, block_len))
-    cycle = pin(spectrum.cycle_rate(profile, sizes))
+    bpsk = symbols.fit_table(samples, ("BPSK",)).select("capture_id", "evm_percent")
+
+    line = pin(scaled(spectrum.envelope_line_rate(blocks, sizes, 1.0, line_nfft, block_len), "symbol_rate_hz"))
+    profile = pin(spectrum.coherence_profile(blocks, sizes, 1.0, line_nfft, block_len))
+    cycle = pin(scaled(spectrum.cycle_rate(profile, sizes), "symbol_rate_hz"))
     parts = (
         sizes.select("capture_id")
         .join(measures.select("capture_id", "bandwidth_hz"), "capture_id", "left")
@@ -70,31 +83,44 @@ def analyse(
         .join(cycle.select("capture_id", F.when(F.col("found"), F.col("symbol_rate_hz")).alias("cycle_hz")), "capture_id", "left")
         .join(labels.select("capture_id", "scheme"), "capture_id", "left")
         .join(periods.select("capture_id", "period"), "capture_id", "left")
+        .join(rate_of, "capture_id", "left")
         .select(
             "capture_id", "bandwidth_hz",
             F.when(~F.col("scheme").isin(*models.FSK), F.col("envelope_hz")).alias("envelope_hz"),
             "cycle_hz",
-            F.when((F.col("period") > 1) & F.col("scheme").isin(*models.FSK), sample_rate / F.col("period")).alias("period_hz"),
+            F.when((F.col("period") > 1) & F.col("scheme").isin(*models.FSK), F.col("_rate") / F.col("period")).alias("period_hz"),
         )
     )
     symbol_rates = pin(rates.fuse_symbol_rate(parts))
     working = rates.fused_sampling_rate(
         measures.select("capture_id", "bandwidth_hz").join(symbol_rates.select("capture_id", "symbol_rate_hz"), "capture_id", "left")
     )
-    cfo = pin(stats.frequency_offset(stats.unwrapped_phase(blocks, block_len), sample_rate))
+    cfo = pin(scaled(stats.frequency_offset(stats.unwrapped_phase(blocks, block_len), 1.0), "cfo_hz"))
 
-    table = sizes.withColumn("duration_s", F.col("num_samples") / sample_rate)
+    table = sizes.join(inputs, "capture_id").withColumn("duration_s", F.col("num_samples") / F.col("sample_rate"))
     for part, prefix in (
         (measures, "m_"), (regions, "b_"), (labels, "l_"), (bit_counts, "n_"), (heads, "h_"), (searched, "s_"), (blind, "f_"),
-        (fits, "q_"), (symbol_rates, "r_"), (working, "w_"), (cfo, "c_"), (starts, "p_"),
+        (fits, "q_"), (bpsk, "e_"), (symbol_rates, "r_"), (working, "w_"), (cfo, "c_"), (starts, "p_"),
         (streams.select("capture_id", F.length("data").alias("bytes")), "x_"),
     ):
         renamed = part.select("capture_id", *[F.col(c).alias(prefix + c) for c in part.columns if c != "capture_id"])
         table = table.join(renamed, "capture_id", "left")
-    return _assembled(table, sample_rate, word)
+    return _assembled(table, word)
+
 
+def _inputs(blocks: DataFrame, sample_rate: float | DataFrame) -> DataFrame:
+    """(capture_id, sample_rate, file_type, iq_format_used), one row per capture."""
+    if isinstance(sample_rate, DataFrame):
+        given = sample_rate
+    else:
+        given = blocks.select("capture_id").distinct().withColumn("sample_rate", F.lit(float(sample_rate)))
+    for name, usual in (("file_type", F.lit("iq")), ("iq_format_used", F.lit(None).cast("string"))):
+        if name not in given.columns:
+            given = given.withColumn(name, usual)
+    return given.select("capture_id", "sample_rate", "file_type", "iq_format_used")
 
-def _assembled(t: DataFrame, sample_rate: float, word: str) -> DataFrame:
+
+def _assembled(t: DataFrame, word: str) -> DataFrame:
     detected = F.coalesce("h_detected", F.lit(False))
     validated = F.coalesce("s_validated", F.lit(False))
     warnings = F.concat(
@@ -105,7 +131,7 @@ def _assembled(t: DataFrame, sample_rate: float, word: str) -> DataFrame:
                 F.when(~F.coalesce("q_fit_ok", F.lit(True)), F.lit("modulation fit is poor")),
                 F.col("w_warning"),
                 verdicts.wide_band_hint(
-                    F.coalesce("m_bandwidth_hz", F.lit(0.0)), F.coalesce("r_symbol_rate_hz", F.lit(0.0)), F.col("q_evm_percent")
+                    F.coalesce("m_bandwidth_hz", F.lit(0.0)), F.coalesce("r_symbol_rate_hz", F.lit(0.0)), F.col("e_evm_percent")
                 ),
             )
         ),
@@ -129,8 +155,7 @@ def _assembled(t: DataFrame, sample_rate: float, word: str) -> DataFrame:
         "capture_id",
         F.struct(F.lit("tonelake").alias("tool_name"), F.current_timestamp().alias("generated_at"), F.lit(None).cast("double").alias("elapsed_s")).alias("meta"),
         F.struct(
-            F.col("capture_id").cast("string").alias("file_name"), F.lit("iq").alias("file_type"),
-            F.lit(None).cast("string").alias("iq_format_used"), F.lit(sample_rate).alias("sample_rate"),
+            F.col("capture_id").cast("string").alias("file_name"), "file_type", "iq_format_used", "sample_rate",
         ).alias("input"),
         F.struct(
             "num_samples",
@@ -191,7 +216,8 @@ def analyse_files(files: DataFrame, sample_rate: float, block_len: int, **option
     """One report per file, also for files that cannot be read.
 
     ``files``: (capture_id, kind, iq_format, endian, content, error), as the size rule
-    leaves them.
+    leaves them. A file's rate is that of its header, else that of a ``sample_rate`` column
+    of ``files``, else ``sample_rate``.
     """
     from tonelake.sources.captures import read_blocks
 
@@ -199,5 +225,17 @@ def analyse_files(files: DataFrame, sample_rate: float, block_len: int, **option
     rejected = files.where(F.col("error").isNotNull()).select("capture_id", F.col("error").alias("reason"))
     broken = read.where(F.col("reason").isNotNull()).select("capture_id", "reason")
     good = read.where(F.col("reason").isNull()).select("capture_id", "block_no", "start_n", "i", "q")
-    reports = analyse(good, sample_rate, block_len, **options)
+    header = read.where(F.col("reason").isNull()).groupBy("capture_id").agg(F.max("sample_rate").alias("header_rate"))
+    own = F.col("sample_rate") if "sample_rate" in files.columns else F.lit(None).cast("double")
+    rate_of = (
+        files.select("capture_id", "kind", "iq_format", own.alias("own_rate"))
+        .join(header, "capture_id")
+        .select(
+            "capture_id",
+            F.coalesce("header_rate", "own_rate", F.lit(float(sample_rate))).alias("sample_rate"),
+            F.col("kind").alias("file_type"),
+            F.when(F.col("kind") == "iq", F.col("iq_format")).alias("iq_format_used"),
+        )
+    )
+    reports = analyse(good, rate_of, block_len, **options)
     return reports.unionByName(error_reports(rejected.unionByName(broken)), allowMissingColumns=True)

@@ -173,7 +173,7 @@ def w3(inp: Inputs):
     blocks = inp.label_blocks()
     p = F.col("i") * F.col("i") + F.col("q") * F.col("q")
     means = inp.label_samples().groupBy("capture_id").agg(F.avg(p).alias("mean"))
-    band = spectrum.welch_envelope(blocks, means, 128, VECTOR_SAMPLES, stats.sizes(blocks)).where(F.col("bin") > 0)
+    band = spectrum.welch_envelope(blocks, means, 128, VECTOR_SAMPLES).where(F.col("bin") > 0)
     median = spectrum.running_median(band, "p", "bin")
     return rounded(
         median.select("capture_id", F.col("bin").cast("long").alias("bin"), (F.col("p") * 1000).alias("p"), (F.col("background") * 1000).alias("background"))
@@ -213,7 +213,7 @@ def w5(inp: Inputs):
     blocks = inp.label_blocks()
     p = F.col("i") * F.col("i") + F.col("q") * F.col("q")
     means = inp.label_samples().groupBy("capture_id").agg(F.avg(p).alias("mean"))
-    band = spectrum.welch_envelope(blocks, means, 128, VECTOR_SAMPLES, stats.sizes(blocks)).where(F.col("bin") > 0)
+    band = spectrum.welch_envelope(blocks, means, 128, VECTOR_SAMPLES).where(F.col("bin") > 0)
     lifted = spectrum.running_median(band, "p", "bin").withColumn("rest", F.col("p") - F.col("background"))
     mids = lifted.groupBy("capture_id").agg(F.median("rest").alias("mid"))
     order = Window.partitionBy("capture_id").orderBy("bin")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -12,11 +13,18 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 _FALLBACK: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a new local one only where none is set."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints.
+
+    Where none is named, a new temporary folder in local mode, in which all tasks run on one
+    machine; on a cluster none.
+    """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        return None
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="tonelake-")
@@ -27,10 +35,17 @@ def pin(df: DataFrame) -> DataFrame:
     """Store ``df`` as a table in the shared folder and go on from the stored rows.
 
     Used where a result is read more than once: the work above it is done a single
-    time, survives lost executors, and later reads prune columns.
+    time, survives lost executors, and later reads prune columns. On a cluster without a
+    named folder the rows are kept on the executors' disks instead, and lost ones are
+    computed again.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tonelake-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    if folder is None:
+        kept = df.persist(StorageLevel.DISK_ONLY)
+        kept.count()
+        return kept
+    path = f"{folder.rstrip('/')}/tonelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

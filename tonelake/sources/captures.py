@@ -24,7 +24,6 @@ RAW_SUFFIXES = ("iq", "cf32", "ci16", "raw", "dat", "sigmf-data")
 MAX_BYTES = 100 * 1024 * 1024
 FORMAT_ALIASES = {"cf32": "complex64", "ci16": "int16", "cu8": "uint8", "ci8": "int8"}
 FORMATS = ("complex64", "int16", "int8", "uint8")
-PREVIEW_BYTES = 2_000_000
 DEFAULT_RATE = 100_000.0
 MAX_RATE = 1e9
 MAX_SYNC_DIGITS = 256
@@ -66,7 +65,7 @@ def file_kind(path: Column) -> Column:
     return F.when(s.isin(*RAW_SUFFIXES), F.lit("iq")).when(s == "wav", F.lit("wav"))
 
 
-def gated(files: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
+def gated(files: DataFrame, cap: int | None = MAX_BYTES) -> DataFrame:
     """Adds ``kind`` and the ``error`` that keeps a file from being loaded (NULL = load it)."""
     kind = file_kind(F.col("path"))
     bad_type = F.concat(
@@ -74,10 +73,10 @@ def gated(files: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
         F.when(suffix(F.col("path")) == "", F.lit("(none)")).otherwise(F.concat(F.lit("."), suffix(F.col("path")))),
         F.lit("'"),
     )
-    too_big = F.concat(F.lit("File exceeds "), F.lit(str(cap)), F.lit(" bytes"))
-    return files.withColumn("kind", kind).withColumn(
-        "error", F.when(kind.isNull(), bad_type).when(F.col("length") > cap, too_big)
-    )
+    error = F.when(kind.isNull(), bad_type)
+    if cap is not None:
+        error = error.when(F.col("length") > cap, F.concat(F.lit("File exceeds "), F.lit(str(cap)), F.lit(" bytes")))
+    return files.withColumn("kind", kind).withColumn("error", error)
 
 
 # -- readers ------------------------------------------------------------------
@@ -182,12 +181,17 @@ def read_blocks(files: DataFrame, block_len: int = DEFAULT_BLOCK) -> DataFrame:
     return files.select("capture_id", "kind", "iq_format", "endian", "content").mapInPandas(decode, shape)
 
 
-def load(spark: SparkSession, folder: str, iq_format: str = "complex64", recursive: bool = False) -> DataFrame:
-    """Blocks of all accepted files of a folder; rejected files come back as reason rows."""
+def load(
+    spark: SparkSession, folder: str, iq_format: str = "complex64", recursive: bool = False, cap: int | None = None
+) -> DataFrame:
+    """Blocks of all accepted files of a folder; rejected files come back as reason rows.
+
+    ``cap`` rejects files of more bytes; without it, size is no reason.
+    """
     source = spark.read.format("binaryFile")
     if recursive:
         source = source.option("recursiveFileLookup", "true")
-    files = gated(source.load(folder).where(suffix(F.col("path")).isin(*CATALOGUE_SUFFIXES)))
+    files = gated(source.load(folder).where(suffix(F.col("path")).isin(*CATALOGUE_SUFFIXES)), cap)
     good = files.where(F.col("error").isNull()).select(
         F.col("path").alias("capture_id"), "kind", canonical_format(F.lit(iq_format)).alias("iq_format"), F.lit("little").alias("endian"), "content"
     )
@@ -375,12 +379,13 @@ def _reading_moments(content: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def infer_format(files: DataFrame, preview: int = PREVIEW_BYTES) -> DataFrame:
+def infer_format(files: DataFrame, preview: int | None = None) -> DataFrame:
     """Score the four readings of every file; the best one and its margin.
 
-    The preview length bounds what one row holds; it is the rule of the method.
+    ``preview`` reads only so many bytes of each file.
     """
-    moments = files.select("capture_id", F.posexplode(_reading_moments(F.substring("content", 1, preview))).alias("turn", "m"))
+    content = F.col("content") if preview is None else F.substring("content", 1, preview)
+    moments = files.select("capture_id", F.posexplode(_reading_moments(content)).alias("turn", "m"))
     num = F.col("m.num")
     floats = F.when(
         (num >= 16) & (F.col("m.finite") >= 0.99) & (F.col("m.peak") >= 1e-6) & (F.col("m.peak") <= 1e15) & (F.col("m.tiny") <= 0.5),
