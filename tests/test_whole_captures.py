@@ -81,3 +81,12 @@ def test_reports_use_the_rate_of_the_header(spark, tmp_path):
     assert (of_raw.sample_rate, of_raw.file_type, of_raw.iq_format_used) == (100_000, "iq", "complex64")
     assert of_wav.duration_s == round(4096 / 48_000, 4) and of_raw.duration_s == round(4096 / 100_000, 4)
     assert abs(of_wav.center_freq_est - 3_000) < 100 and abs(of_raw.center_freq_est - 6_250) < 200
+
+
+def test_quantiles_of_series_with_few_values(spark):
+    rng = np.random.default_rng(6)
+    parts = {"constant": np.full(30_000, 2.5), "few": rng.integers(0, 5, 25_000).astype(float), "many": rng.normal(size=25_000), "tiny": np.array([3.0, 1.0, 2.0])}
+    rows = pd.concat([pd.DataFrame({"capture_id": k, "x": v}) for k, v in parts.items()])
+    got = {r.capture_id: r for r in stats.exact_quantiles(spark.createDataFrame(rows), "x", [0.0, 0.1, 0.5, 0.9, 1.0]).collect()}
+    for name, values in parts.items():
+        assert np.allclose(list(got[name])[1:], np.quantile(values, [0.0, 0.1, 0.5, 0.9, 1.0]))

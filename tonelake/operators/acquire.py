@@ -141,7 +141,7 @@ def code_chips(df: DataFrame, sample_rate: float, codes: tuple[int, ...]) -> Dat
 def despread(samples: DataFrame, acquired: DataFrame, sample_rate: float, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """Prompt value of every 1 ms block at the acquired Doppler and code phase."""
     size = int(round(sample_rate * 0.001))
-    chips = F.broadcast(code_chips(samples, sample_rate, tuple(range(1, 33))))
+    chips = code_chips(samples, sample_rate, tuple(range(1, 33)))
     hits = acquired.where("acquired").select("capture_id", "code", "doppler_hz", "code_phase", "n_blocks")
     turn = -TWO_PI * F.col("doppler_hz") * F.col("n") / sample_rate
     aligned = (

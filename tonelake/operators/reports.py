@@ -157,10 +157,10 @@ def worst_seed_gate(trials: DataFrame, bars: DataFrame, known_gaps: DataFrame, s
         F.avg("ber").alias("ber_mean"),
         (F.count("ber") < F.count("*")).alias("abstained"),
     )
-    gaps = F.broadcast(known_gaps.withColumn("gap", F.lit(not strict)))
+    gaps = known_gaps.withColumn("gap", F.lit(not strict))
     ok = F.coalesce(F.col("ber_max") < F.col("bar"), F.lit(False))
     return (
-        cells.join(F.broadcast(bars), "cell")
+        cells.join(bars, "cell")
         .join(gaps, ["mod", "cell"], "left")
         .withColumn(
             "status",

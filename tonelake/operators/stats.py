@@ -207,19 +207,22 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int
         ),
         lambda h: h.isNotNull(),
     )
-    order = Window.partitionBy("capture_id", "k").orderBy("v")
+    # Equal values are one row before they are ranked, so a constant series is no load either.
+    upto = Window.partitionBy("capture_id", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = (
         tagged.select("capture_id", "v", F.explode(hits).alias("h"))
-        .select("capture_id", "v", "h.k", "h.place")
-        .withColumn("rank", F.row_number().over(order) - 1)
+        .groupBy("capture_id", "h.k", "h.place", "v")
+        .agg(F.count("*").alias("same"))
+        .withColumn("upto", F.sum("same").over(upto))
         .join(counts, "capture_id")
-        .withColumn("at", F.get("below", F.col("k")) + F.col("rank"))
+        .withColumn("last", F.get("below", F.col("k")) + F.col("upto") - 1)
+        .withColumn("first", F.col("last") - F.col("same") + 1)
     )
-    part = F.col("place") - F.floor("place")
+    floor = F.floor("place")
     picked = inside.groupBy("capture_id", "k").agg(
-        F.max(F.when(F.col("at") == F.floor("place"), F.col("v"))).alias("a"),
-        F.max(F.when(F.col("at") == F.floor("place") + 1, F.col("v"))).alias("b"),
-        F.first(part).alias("part"),
+        F.max(F.when(floor.between(F.col("first"), F.col("last")), F.col("v"))).alias("a"),
+        F.max(F.when((floor + 1).between(F.col("first"), F.col("last")), F.col("v"))).alias("b"),
+        F.first(F.col("place") - floor).alias("part"),
     )
     result = picked.select("capture_id", "k", (F.col("a") + F.col("part") * (F.coalesce("b", "a") - F.col("a"))).alias("v"))
     return result.groupBy("capture_id").agg(

@@ -181,7 +181,7 @@ def _code_capture(inp: Inputs):
     from tonelake.sources.series import to_samples
 
     rows = to_samples(inp.line_series())
-    chips = F.broadcast(acquire.code_chips(rows, CODE_RATE, (PLANTED[0],)))
+    chips = acquire.code_chips(rows, CODE_RATE, (PLANTED[0],))
     return rows.withColumn("at", F.pmod(F.col("n") - PLANTED[1], F.lit(2048)).cast("int")).join(chips, "at").select(
         "capture_id", "n", (F.col("chip") * 20 + F.col("q") - 25).alias("i"), F.lit(0.0).alias("q")
     )
