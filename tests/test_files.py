@@ -98,6 +98,13 @@ def test_sinks(spark, tmp_path):
     assert sinks.text_streams(bits).first().text == "10110001110"
     sinks.write_bits(bits, str(tmp_path / "bits"))
     assert spark.read.parquet(str(tmp_path / "bits")).count() == 1
+    sinks.write_bits(bits, str(tmp_path / "text"), as_text=True)
+    assert [r.value for r in spark.read.text(str(tmp_path / "text" / "capture_id=a")).collect()] == ["10110001110"]
+    entry = spark.createDataFrame([("a.iq", "https://x.example/a.iq", bytearray(b"abc"))], "name string, url string, content binary")
+    sinks.write_manifest(entry, str(tmp_path / "manifest"))
+    listed = spark.read.json(str(tmp_path / "manifest"))
+    checked = captures.verify_manifest(entry.select("name", "content"), listed.select("name", "sha256")).first()
+    assert checked.status == "ok" and listed.first().size_bytes == 3 and listed.first().url.endswith("a.iq")
     report = spark.createDataFrame([(1, float("nan"), [1.0, float("inf")])], "id int, level double, list array<double>")
     sinks.write_reports(report, str(tmp_path / "json"))
     text = spark.read.text(str(tmp_path / "json")).first().value

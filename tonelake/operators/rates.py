@@ -19,6 +19,7 @@ DIRECT = 0.7
 PATH_WEIGHTS = {"fsk_period": 1.0, "cyclostationary": 0.9, "envelope": 0.7}
 PHYSICAL_MARGIN = 1.15
 INTEGER_TOLERANCE = 0.12
+NYQUIST_GUARD = 2.2
 
 
 def standard_rates_between(lo: Column, hi: Column) -> Column:
@@ -174,6 +175,16 @@ def fuse_symbol_rate(parts: DataFrame) -> DataFrame:
     )
 
 
+def sampling_rate_hint(bandwidth: Column, symbol_rate: Column | None = None, factor: float = NYQUIST_GUARD) -> Column:
+    """Coarse sampling rate: guard factor times the larger of bandwidth and symbol rate, 0 without a bandwidth.
+
+    A missing or non-positive symbol rate is left out.
+    """
+    wide = F.coalesce(bandwidth, F.lit(0.0))
+    fast = F.lit(0.0) if symbol_rate is None else F.coalesce(symbol_rate, F.lit(0.0))
+    return F.when(wide <= 0, F.lit(0.0)).otherwise(F.greatest(wide, fast) * factor)
+
+
 def oversampling(parts: DataFrame) -> DataFrame:
     """Integer samples per symbol from a recovered period or a rate in cycles per sample.
 

@@ -121,6 +121,26 @@ def w8(inp: Inputs):
     return rounded(rates.rate_candidates(_measures(inp), top_n=3).select("capture_id", "rank", "rate_hz"), 5)
 
 
+@query(
+    "A25_simple_hints",
+    """SELECT o_orderkey AS capture_id, round(CASE WHEN bw > 0 THEN bw * 2.2 ELSE 0 END, 6) AS narrow_hz,
+  round(CASE WHEN bw > 0 THEN greatest(bw, coalesce(rs, 0)) * 2.2 ELSE 0 END, 6) AS wide_hz
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice::DOUBLE ELSE 0 END AS bw,
+  CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice::DOUBLE * (o_orderkey % 4) / 2 END AS rs FROM orders)""",
+)
+def a25_simple(inp: Inputs):
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    bandwidth = F.when(key % 5 > 0, price).otherwise(F.lit(0.0))
+    symbol_rate = F.when(key % 3 > 0, price * (key % 4) / 2)
+    return rounded(
+        inp.table("orders").select(
+            key.alias("capture_id"),
+            rates.sampling_rate_hint(bandwidth).alias("narrow_hz"),
+            rates.sampling_rate_hint(bandwidth, symbol_rate).alias("wide_hz"),
+        )
+    )
+
+
 @query(
     "A23_oversampling",
     """WITH pt AS (SELECT o_orderkey AS capture_id, o_orderkey % 200 AS num, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN '2-FSK' ELSE 'QPSK' END AS scheme,

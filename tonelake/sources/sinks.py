@@ -46,8 +46,19 @@ def text_streams(bits: DataFrame) -> DataFrame:
     )
 
 
+def write_manifest(entries: DataFrame, path: str) -> None:
+    """One JSON object per downloaded file: what is known of it, its size and its checksum.
+
+    ``entries``: (name, content) and any descriptive columns, which are kept.
+    """
+    rest = [c for c in entries.columns if c not in ("name", "content", "size_bytes", "sha256")]
+    rows = entries.select("name", *rest, F.length("content").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    json_safe(rows).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_bits(bits: DataFrame, path: str, as_text: bool = False) -> None:
+    """Packed streams as a table, or plain text files of 0 and 1 in a folder per capture."""
     if as_text:
-        text_streams(bits).write.mode("overwrite").json(path)
+        text_streams(bits).write.mode("overwrite").partitionBy("capture_id").text(path)
     else:
         packed_streams(bits).write.mode("overwrite").parquet(path)
