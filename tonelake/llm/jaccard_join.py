@@ -67,6 +67,14 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(bits: bytes) -> bytes:
+    """A bitmap of half the width, by parity; at 64 bits it stays."""
+    half = len(bits) // 2
+    if half < 8:
+        return bits
+    return (int.from_bytes(bits[:half], "little") ^ int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
+
+
 def overlap_bound(n: int, bits_n: bytes, m: int, bits_m: bytes) -> int:
     """An upper bound of the intersection from two bitmaps; the wider one is folded by parity."""
     if len(bits_n) > len(bits_m):
@@ -88,9 +96,9 @@ def _texts(payloads: DataFrame) -> DataFrame:
 
 
 def _survey(payloads: DataFrame, words: int) -> DataFrame:
-    """One pass over the texts: (capture_id, n, node, bits) rows, and (shingle, hits) rows with null n."""
+    """One pass over the texts: (capture_id, n, node, bits, half) rows, and (shingle, hits) rows with null n."""
     source = _texts(payloads)
-    schema = extended(source, ["capture_id"], "n long, node long, bits binary, shingle long, hits long")
+    schema = extended(source, ["capture_id"], "n long, node long, bits binary, half binary, shingle long, hits long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -100,20 +108,22 @@ def _survey(payloads: DataFrame, words: int) -> DataFrame:
             values, hits = np.unique(np.concatenate(held), return_counts=True)
             often = hits >= COUNT_LEAST
             values, hits = values[often].view(np.int64), hits[often]
-            void = [pa.nulls(len(values), t) for t in (kind, pa.int64(), pa.int64(), pa.binary())]
+            void = [pa.nulls(len(values), t) for t in (kind, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             return pa.RecordBatch.from_arrays([*void, pa.array(values), pa.array(hits)], names)
 
-        names = ["capture_id", "n", "node", "bits", "shingle", "hits"]
+        names = ["capture_id", "n", "node", "bits", "half", "shingle", "hits"]
         kind, occurrences = None, 0
         for batch in batches:
             kind = batch.column(0).type
             sets = shingler.sets(batch.column(1).to_pylist())
             void = [pa.nulls(len(sets), pa.int64())] * 2
+            bits = [bitmap(s) for s in sets]
             columns = [
                 batch.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_hash(s) for s in sets], pa.int64()),
-                pa.array([bitmap(s) for s in sets], pa.binary()),
+                pa.array(bits, pa.binary()),
+                pa.array([folded(b) for b in bits], pa.binary()),
                 *void,
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -288,7 +298,7 @@ def _hashed(capture_id: Column) -> Column:
 
 
 def _arrays(payloads: DataFrame, wanted: DataFrame, survey: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the sorted arrays of the wanted nodes, computed again from the texts.
+    """(node, shingles array<long>): the sorted arrays of the wanted nodes, computed again from the texts.
 
     Texts are not shuffled: a bit table of fixed size says which rows may be wanted, the
     others are passed over, and what the table lets through in vain is dropped by the join.
@@ -311,35 +321,29 @@ def _arrays(payloads: DataFrame, wanted: DataFrame, survey: DataFrame, words: in
         for batch in batches:
             bit = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = np.flatnonzero(table[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1))
-            sets = [s for s in shingler.sets(batch.column(0).take(pa.array(hit)).to_pylist()) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["node", "shingles"],
-            )
+            for k in range(0, len(hit), 256):  # arrays are many times heavier than their texts' rows
+                sets = [s for s in shingler.sets(batch.column(0).take(pa.array(hit[k : k + 256])).to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([set_hash(s) for s in sets], pa.int64()),
+                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    ],
+                    ["node", "shingles"],
+                )
 
-    found = source.mapInArrow(run, "node long, shingles binary")
+    found = source.mapInArrow(run, "node long, shingles array<long>")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, payloads: DataFrame, survey: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, by intersecting their sorted arrays."""
+    """Pairs (a, b) that link, by intersecting their sorted arrays, pair by pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     arrays = pin(_arrays(payloads, wanted, survey, words))
     left = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = arrays.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if _links(common, len(p), len(q), percent):
-                    keep.append(k)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return both.mapInArrow(run, "a long, b long")
+    common = F.size(F.array_intersect("x", "y"))
+    linked = _links(common, F.size("x"), F.size("y"), percent)
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
 def _best(bounded: DataFrame) -> DataFrame:
@@ -370,9 +374,10 @@ def _within_tiles(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one tile, in different components, whose bitmaps allow a link.
 
     A tile is cut into blocks of members; each pair of blocks is a task's work of bounded size,
-    and only pairs that pass every bound become rows.
+    and only pairs that pass every bound become rows. The bitmaps are those of half the width:
+    enough to tell unrelated sets apart, and half the weight of these rows.
     """
-    signed = rows.join(nodes.select("node", "bits"), "node")
+    signed = rows.join(nodes.select("node", F.col("half").alias("bits")), "node")
     members = rows.groupBy("tile").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
     dealt = (
         signed.join(members, "tile")
@@ -443,8 +448,9 @@ def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> D
     candidates is capped.
     """
     surveyed = pin(_survey(payloads, words))
-    survey = surveyed.where("n IS NOT NULL").select("capture_id", "n", "node", "bits")
-    nodes = survey.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = surveyed.where("n IS NOT NULL")
+    survey = sets.select("capture_id", "n", "node")
+    nodes = sets.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bits", "half")])
     shared = _shared(surveyed)
 
     near = F.expr(f"100L * least(n, pivot_n) >= {percent}L * greatest(n, pivot_n)")
@@ -483,7 +489,7 @@ def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> D
     pairs = _within_tiles(left_over, nodes, percent)
     known = tried.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     fresh = pairs.join(known, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
-    more = _verified(pin(fresh), payloads, survey, words, percent)
+    more = _verified(pin(_bounded(fresh, nodes, percent)), payloads, survey, words, percent)
     final = components(links.unionByName(more))
 
     smallest = survey.where("n > 0").groupBy("node").agg(F.min("capture_id").alias("smallest"))
