@@ -24,7 +24,7 @@ from tonelake.llm.records import extended
 #: Texts beyond this many characters are cut into pre-tokens lazily, so that memory stays bounded.
 LONG_TEXT = 1 << 21
 #: Pre-tokens whose ids are remembered in one task.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 #: Pre-tokens longer than this are encoded but not remembered.
 REMEMBERED_LENGTH = 64
 
@@ -155,8 +155,8 @@ def encode_payloads(payloads: DataFrame, rank_lines: bytes, pattern: str) -> Dat
         encoder, cut = PretokenEncoder(read_ranks(rank_lines)), regex.compile(pattern)
         for batch in batches:
             packed = [
-                b"".join(encoder.encode(part) for part in _pretokens(cut, text))
-                for text in batch.column(1).to_pylist()
+                b"".join(encoder.encode(part) for part in _pretokens(cut, text.as_py()))
+                for text in batch.column(1)
             ]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -186,8 +186,8 @@ def decode_payloads(encoded: DataFrame, rank_lines: bytes) -> DataFrame:
         bytes_of = {rank: bytes(byte_of[c] for c in piece) for rank, piece in spelled.items()}
         for batch in batches:
             decoded = [
-                b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                for ids in batch.column(2).to_pylist()
+                b"".join(map(bytes_of.__getitem__, np.frombuffer(ids.as_py(), "<u4").tolist()))
+                for ids in batch.column(2)
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "message_bytes"]
