@@ -155,6 +155,29 @@ def test_acquisition_against_a_planted_code(spark):
     assert not declined.acquired and "resolve" in declined.reason
 
 
+def test_acquisition_uses_all_blocks(spark, monkeypatch):
+    """The code starts after 25 blocks; chunks of 4 blocks meet again per code and Doppler."""
+    monkeypatch.setattr(acquire, "BLOCK_CHUNK", 4)
+    rate, size, count = 2_048_000.0, 2048, 45
+    rng = np.random.default_rng(7)
+    n = np.arange(size * count + 100)
+    z = 0.5 * (rng.normal(size=n.size) + 1j * rng.normal(size=n.size))
+    late = n >= 25 * size
+    z[late] += np.roll(acquire.replica(9, rate, size), 700)[n[late] % size]
+    df = spark.createDataFrame(pd.DataFrame({"capture_id": "s", "n": n, "i": z.real, "q": z.imag}))
+    got = acquire.acquire(df, rate, codes=(9,), doppler_range=250.0).first()
+    assert got.acquired and got.n_blocks == count and (got.doppler_hz, got.code_phase) == (0, 700)
+    blocks = z[: size * count].reshape(count, size)
+    code = np.conj(np.fft.fft(acquire.replica(9, rate, size)))
+    acc = np.mean(np.abs(np.fft.ifft(np.fft.fft(blocks, axis=1) * code, axis=1)) ** 2, axis=0)
+    rest = np.delete(acc, np.s_[700 - 3 : 700 + 4])
+    assert got.metric == pytest.approx(acc[700] / rest.max()) and got.peak_over_mean == pytest.approx(acc[700] / acc.mean())
+    acquired = acquire.acquire(df, rate, codes=(9,), doppler_range=250.0)
+    assert acquire.despread(df, acquired, rate).count() == count
+    first = acquire.acquire(df, rate, codes=(9,), max_blocks=20, doppler_range=250.0).first()
+    assert not first.acquired and first.n_blocks == 20
+
+
 def test_line_rate_hint(spark):
     rate = 200_000.0
     rng = np.random.default_rng(6)

@@ -29,7 +29,8 @@ MARGINAL = 1.5
 PLAUSIBLE_CN0 = (25.0, 60.0)
 DOPPLER_RANGE = 5000.0
 DOPPLER_STEP = 250.0
-MAX_BLOCKS = 20
+#: Blocks of 1 ms whose correlation power a task adds up before it is shuffled.
+BLOCK_CHUNK = 256
 
 
 def spreading_code(number: int) -> np.ndarray:
@@ -52,13 +53,18 @@ def replica(number: int, sample_rate: float, size: int) -> np.ndarray:
     return np.where(spreading_code(number)[at] > 0, 1.0, -1.0)
 
 
-def acquire(samples: DataFrame, sample_rate: float, codes: tuple[int, ...] = tuple(range(1, 33)), max_blocks: int = MAX_BLOCKS,
+def _block_count(num: Column, size: int, max_blocks: int | None) -> Column:
+    whole = F.floor(num / size)
+    return whole if max_blocks is None else F.least(whole, F.lit(max_blocks))
+
+
+def acquire(samples: DataFrame, sample_rate: float, codes: tuple[int, ...] = tuple(range(1, 33)), max_blocks: int | None = None,
             doppler_range: float = DOPPLER_RANGE, doppler_step: float = DOPPLER_STEP, threshold: float = THRESHOLD) -> DataFrame:
     """Best Doppler, code phase and peak metric of every capture and code.
 
-    At most ``max_blocks`` blocks of 1 ms enter (a rule of the method). The blocks of a
-    capture are one short row; each (capture, Doppler) pair is a task row of its own that
-    tries all codes, and the best Doppler is picked in SQL.
+    All whole blocks of 1 ms enter, or the first ``max_blocks`` where the caller sets it.
+    Correlation power is added up over chunks of BLOCK_CHUNK blocks, then per code and
+    Doppler, so a long capture is spread over tasks; the best Doppler is picked in SQL.
     """
     size = int(round(sample_rate * 0.001))
     counts = samples.groupBy("capture_id").agg(F.count("*").alias("num"), F.avg(power(F.col("i"), F.col("q"))).alias("p"))
@@ -68,49 +74,73 @@ def acquire(samples: DataFrame, sample_rate: float, codes: tuple[int, ...] = tup
         .when(F.col("num") < size, F.lit("capture shorter than one code period"))
         .otherwise(F.lit(""))
     )
-    plans = counts.select(
-        "capture_id", reason.alias("reason"), F.least(F.floor(F.col("num") / size), F.lit(max_blocks)).alias("n_blocks"), "p"
-    )
+    plans = counts.select("capture_id", reason.alias("reason"), _block_count(F.col("num"), size, max_blocks).alias("n_blocks"), "p")
     usable = plans.where(F.col("reason") == "")
-    heads = (
-        samples.where(F.col("n") < size * max_blocks)
-        .join(usable, "capture_id")
-        .where(F.col("n") < F.col("n_blocks") * size)
-        .groupBy("capture_id")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("n", (F.col("i") / F.sqrt("p")).alias("i"), (F.col("q") / F.sqrt("p")).alias("q")))).alias("c"),
-            F.first("n_blocks").alias("n_blocks"),
+    block = F.floor(F.col("n") / size)
+    # One shuffle: blocks are gathered where their chunk is.
+    blocks = (
+        samples.join(usable, "capture_id")
+        .where(block < F.col("n_blocks"))
+        .select(
+            "capture_id", F.floor(block / BLOCK_CHUNK).alias("chunk"), block.alias("block"), "n",
+            (F.col("i") / F.sqrt("p")).alias("i"), (F.col("q") / F.sqrt("p")).alias("q"),
         )
-        .select("capture_id", "n_blocks", F.col("c.i").alias("i"), F.col("c.q").alias("q"))
+        .repartition("capture_id", "chunk")
+        .groupBy("capture_id", "chunk", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "i", "q"))).alias("c"))
+        .select("capture_id", "chunk", F.col("c.i").alias("i"), F.col("c.q").alias("q"))
     )
     half = int(round(doppler_range / doppler_step))
-    bins = F.sequence(F.lit(-half), F.lit(half))
-    grid = heads.select("capture_id", "n_blocks", "i", "q", F.explode(bins).alias("bin")).repartition("capture_id", "bin")
     id_type = samples.schema["capture_id"].dataType.simpleString()
     lobe = max(1, math.ceil(size / CODE_CHIPS))
 
-    def correlate(batches):
+    def correlate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["i"].to_numpy()) + 1j * np.stack(rows["q"].to_numpy())
         spectra = {c: np.conj(np.fft.fft(replica(c, sample_rate, size))) for c in codes}
+        out = []
+        for k in range(-half, half + 1):
+            # The phase at the start of a block does not change its power.
+            spec = np.fft.fft(x * np.exp(-2j * np.pi * k * doppler_step * np.arange(size) / sample_rate), axis=1)
+            for c in codes:
+                y = np.fft.ifft(spec * spectra[c], axis=1)
+                out.append((key[0], c, k, (y.real**2 + y.imag**2).sum(axis=0).tobytes()))
+        return pd.DataFrame(out, columns=["capture_id", "code", "bin", "acc"])
+
+    def settle(batches):
+        held, acc = None, None
+
+        def row() -> tuple:
+            at = int(np.argmax(acc))
+            rest = np.delete(acc, np.s_[max(0, at - lobe) : at + lobe + 1])
+            second = float(rest.max()) if rest.size else 0.0
+            peak = float(acc[at])
+            metric = min(peak / second, 1e12) if second > 0 else (1e12 if peak > 0 else 0.0)
+            return (*held[:2], held[2] * doppler_step, at, peak, metric, peak / float(acc.mean()))
+
+        names = ["capture_id", "code", "doppler_hz", "code_phase", "peak", "metric", "peak_over_mean"]
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                x = np.asarray(row.i) + 1j * np.asarray(row.q)
-                doppler = row.bin * doppler_step
-                x = x * np.exp(-2j * np.pi * doppler * np.arange(x.size) / sample_rate)
-                spec = np.fft.fft(x.reshape(row.n_blocks, size), axis=1)
-                out = []
-                for c in codes:
-                    acc = np.mean(np.abs(np.fft.ifft(spec * spectra[c], axis=1)) ** 2, axis=0)
-                    at = int(np.argmax(acc))
-                    rest = np.delete(acc, np.s_[max(0, at - lobe) : at + lobe + 1])
-                    second = float(rest.max()) if rest.size else 0.0
-                    peak = float(acc[at])
-                    metric = min(peak / second, 1e12) if second > 0 else (1e12 if peak > 0 else 0.0)
-                    out.append((row.capture_id, c, doppler, at, peak, metric, peak / float(acc.mean())))
-                yield pd.DataFrame(out, columns=["capture_id", "code", "doppler_hz", "code_phase", "peak", "metric", "peak_over_mean"])
-
-    cells = grid.mapInPandas(
-        correlate,
-        f"capture_id {id_type}, code int, doppler_hz double, code_phase long, peak double, metric double, peak_over_mean double",
+            out = []
+            for capture, code, k, data in batch.itertuples(index=False, name=None):
+                part = np.frombuffer(data)
+                if held == (capture, code, k):
+                    acc = acc + part
+                    continue
+                if held is not None:
+                    out.append(row())
+                held, acc = (capture, code, k), part
+            yield pd.DataFrame(out, columns=names)
+        if held is not None:
+            yield pd.DataFrame([row()], columns=names)
+
+    cells = (
+        blocks.groupBy("capture_id", "chunk")
+        .applyInPandas(correlate, f"capture_id {id_type}, code int, bin int, acc binary")
+        .repartition("capture_id", "code", "bin")
+        .sortWithinPartitions("capture_id", "code", "bin")
+        .mapInPandas(
+            settle,
+            f"capture_id {id_type}, code int, doppler_hz double, code_phase long, peak double, metric double, peak_over_mean double",
+        )
     )
     best = cells.groupBy("capture_id", "code").agg(
         F.max_by(F.struct("doppler_hz", "code_phase", "metric", "peak_over_mean"), F.struct("peak", -F.col("doppler_hz"))).alias("b")
@@ -138,14 +168,17 @@ def code_chips(df: DataFrame, sample_rate: float, codes: tuple[int, ...]) -> Dat
     return table.select("code", F.posexplode("chips").alias("at", "chip"))
 
 
-def despread(samples: DataFrame, acquired: DataFrame, sample_rate: float, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """Prompt value of every 1 ms block at the acquired Doppler and code phase."""
+def despread(samples: DataFrame, acquired: DataFrame, sample_rate: float, max_blocks: int | None = None) -> DataFrame:
+    """Prompt value of every 1 ms block that was acquired, at the acquired Doppler and code phase.
+
+    ``max_blocks`` cuts to the first blocks where the caller sets it.
+    """
     size = int(round(sample_rate * 0.001))
     chips = code_chips(samples, sample_rate, tuple(range(1, 33)))
     hits = acquired.where("acquired").select("capture_id", "code", "doppler_hz", "code_phase", "n_blocks")
     turn = -TWO_PI * F.col("doppler_hz") * F.col("n") / sample_rate
     aligned = (
-        samples.where(F.col("n") < size * max_blocks)
+        (samples if max_blocks is None else samples.where(F.col("n") < size * max_blocks))
         .join(hits, "capture_id")
         .where(F.col("n") < F.col("n_blocks") * size)
         .withColumn("at", F.pmod(F.col("n") - F.col("code_phase"), F.lit(size)).cast("int"))
