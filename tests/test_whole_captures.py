@@ -49,6 +49,31 @@ def test_spectra_of_a_long_capture_use_all_frames(spark):
         assert np.isclose(value, len(x) * (cross / root).sum() / root.sum())
 
 
+def test_transform_of_whole_captures_is_split(spark, monkeypatch):
+    """Any length, a prime too, and no row of a plan holds more than the cells of a group."""
+    monkeypatch.setattr(spectrum, "TRANSFORM_CELLS", 1 << 9)
+    rng = np.random.default_rng(8)
+    parts = {num: rng.normal(size=num) + 1j * rng.normal(size=num) for num in (16, 4_093, 5_000)}
+    rows = pd.concat([pd.DataFrame({"capture_id": k, "num": k, "n": np.arange(k), "i": z.real, "q": z.imag}) for k, z in parts.items()])
+    assert spectrum._shape(4_093)[:3:2] == (64, 8)  # 128 columns in groups of 8
+    got = spectrum.whole_power(spark.createDataFrame(rows), lambda bins, num: 3 * bins < num).toPandas()
+    for num, z in parts.items():
+        mine = got[got["capture_id"] == num].sort_values("bin")
+        assert mine["bin"].tolist() == list(range(-(-num // 3)))
+        assert np.allclose(mine["p"], np.abs(np.fft.fft(z))[: len(mine)] ** 2)
+
+
+def test_no_operator_collects_a_capture_into_a_row(spark):
+    from tonelake.operators import acquire
+
+    z = np.exp(2j * np.pi * 0.01 * np.arange(40_000))
+    samples = frame(spark, z)
+    for out in (spectrum.carrier_line(samples, 4), acquire.line_rate(samples, 200_000.0)):
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+    row = spectrum.carrier_line(samples, 4).first()
+    assert abs(row.cycles_per_sample - 0.01) < 1e-9
+
+
 def test_size_is_no_reason_without_a_cap(spark, tmp_path):
     (tmp_path / "a.iq").write_bytes(np.zeros(400, "<f4").tobytes())
     assert captures.load(spark, str(tmp_path)).where("reason IS NOT NULL").count() == 0

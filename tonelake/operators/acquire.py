@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.functions.scalars import TWO_PI, power
-from tonelake.operators.spectrum import windowed_power
+from tonelake.operators.spectrum import hann_at, whole_power
+from tonelake.operators.stats import exact_quantiles
+from tonelake.session import pin
 
 # Chip rate, code length and the two selector taps of codes 1 to 32.
 CHIP_RATE = 1_023_000.0
@@ -229,9 +231,8 @@ MIN_WINDOW_BINS = 8
 def line_rate(samples: DataFrame, sample_rate: float) -> DataFrame:
     """Does the envelope show the video line rate and its second harmonic?
 
-    The line needs the resolution of the whole capture, so its envelope is one row; a
-    capture is bounded by the size rule of the readers. Only the bins around the line and
-    its harmonic leave the transform.
+    The line needs the resolution of the whole capture: its transform is split over tasks,
+    and only the bins around the line and its harmonic leave it.
     """
     env = F.sqrt(power(F.col("i"), F.col("q")))
     sums = samples.groupBy("capture_id").agg(F.count("*").alias("num"), F.avg(env).alias("mean"), F.stddev_pop(env).alias("std"))
@@ -244,18 +245,25 @@ def line_rate(samples: DataFrame, sample_rate: float) -> DataFrame:
         .when(flat, F.lit("constant envelope"))
     )
     plans = sums.withColumn("early", early).withColumn("width", sample_rate / F.col("num"))
+    window = hann_at(F.col("n"), F.col("num"))
     centred = samples.join(plans.where(F.col("early").isNull()), "capture_id").select(
-        "capture_id", "n", (env - F.col("mean")).alias("e")
+        "capture_id", "num", "n", ((env - F.col("mean")) * window).alias("i"), F.lit(0.0).alias("q")
     )
-    rows = centred.groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("c"))
-    zeros = F.transform("c.e", lambda e: e * 0.0)
-    spectrum = (
-        rows.select("capture_id", F.size("c").alias("m"), windowed_power("c.e", zeros).alias("s"))
-        .select("capture_id", "m", F.posexplode("s").alias("at", "s"))
-        .withColumn("bin", F.col("at") - F.floor(F.col("m") / 2))
-        .where(F.col("bin") >= 0)
-        .select("capture_id", "bin", F.sqrt("s").alias("mag"), (F.col("bin") * sample_rate / F.col("m")).alias("freq"), (F.lit(sample_rate) / F.col("m")).alias("width"))
-        .where(F.col("freq") <= 2.0 * top + 2.0 * MEDIAN_HALF_WIDTH_HZ + (MIN_WINDOW_BINS + 4) * F.col("width"))
+
+    def near_lines(bins: np.ndarray, num: int) -> np.ndarray:
+        width = sample_rate / num
+        # One bin more than the background of any peak can reach.
+        reach = max(MIN_WINDOW_BINS, MEDIAN_HALF_WIDTH_HZ / width) + EXCLUDED_BINS + 2
+        low, high = LINE_RATE_HZ * (1 - LINE_SEARCH) / width, LINE_RATE_HZ * (1 + LINE_SEARCH) / width
+        return (2 * bins <= num) & (
+            ((bins >= low - reach) & (bins <= high + reach)) | ((bins >= 2 * low - reach) & (bins <= 2 * high + reach))
+        )
+
+    spectrum = pin(
+        whole_power(centred, near_lines).select(
+            "capture_id", "bin", F.sqrt("p").alias("mag"), (F.col("bin") * sample_rate / F.col("num")).alias("freq"),
+            (F.lit(sample_rate) / F.col("num")).alias("width"),
+        )
     )
     inside = F.col("freq").between(LINE_RATE_HZ * (1 - LINE_SEARCH), LINE_RATE_HZ * (1 + LINE_SEARCH))
     fund = spectrum.where(inside).groupBy("capture_id").agg(
@@ -263,26 +271,26 @@ def line_rate(samples: DataFrame, sample_rate: float) -> DataFrame:
     )
     half = F.greatest(F.lit(MIN_WINDOW_BINS).cast("double"), F.bround(MEDIAN_HALF_WIDTH_HZ / F.col("w")))
 
-    def background(peak: str) -> tuple[Column, Column]:
-        gap = F.abs(F.col("bin") - F.col(peak))
-        near = F.when((gap > EXCLUDED_BINS) & (gap <= half), F.col("mag"))
-        return F.median(near), F.count(near)
-
     tied = spectrum.join(fund, "capture_id")
     harm = tied.where(F.abs(F.col("bin") - 2 * F.col("f.bin")) <= EXCLUDED_BINS).groupBy("capture_id").agg(
         F.max_by(F.struct("bin", "mag"), F.struct("mag", -F.col("bin"))).alias("h")
     )
-    med, cnt = background("f.bin")
-    med2, cnt2 = background("h.bin")
-    scored = tied.join(harm, "capture_id", "left").groupBy("capture_id").agg(
-        F.first("window").alias("window"), F.first("f").alias("f"), F.first("h").alias("h"),
-        med.alias("fmed"), cnt.alias("fcnt"), med2.alias("hmed"), cnt2.alias("hcnt"),
+    peaks = pin(fund.join(harm, "capture_id", "left"))
+
+    def background(peak: str, median: str, count: str) -> DataFrame:
+        gap = F.abs(F.col("bin") - F.col(peak))
+        near = spectrum.join(peaks, "capture_id").where((gap > EXCLUDED_BINS) & (gap <= half)).select("capture_id", "mag")
+        medians = exact_quantiles(near, "mag", [0.5]).withColumnRenamed("q0", median)
+        return near.groupBy("capture_id").agg(F.count("*").alias(count)).join(medians, "capture_id")
+
+    scored = peaks.select("capture_id", "window", "f", "h").join(background("f.bin", "fmed", "fcnt"), "capture_id", "left").join(
+        background("h.bin", "hmed", "hcnt"), "capture_id", "left"
     )
     prom, hprom = F.col("f.mag") / F.col("fmed"), F.col("h.mag") / F.col("hmed")
     reason = (
         F.when(F.col("early").isNotNull(), F.col("early"))
         .when(F.coalesce("window", F.lit(0)) < MIN_WINDOW_BINS, F.lit("insufficient frequency resolution"))
-        .when((F.col("fcnt") < 4) | ~(F.col("f.mag") > 0), F.lit("no measurable envelope line"))
+        .when((F.coalesce("fcnt", F.lit(0)) < 4) | ~(F.col("f.mag") > 0), F.lit("no measurable envelope line"))
         .when(~(F.col("fmed") > 0), F.lit("no measurable envelope background"))
         .when(prom < LINE_MIN_PROMINENCE, F.lit("no line at the video rate"))
         .when((F.coalesce("hcnt", F.lit(0)) < 8) | ~(F.col("h.mag") > 0), F.lit("2nd harmonic is not measurable"))

@@ -8,7 +8,7 @@ small spectra. Frames, not captures, are the unit of parallel work.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -458,29 +458,128 @@ def cycle_rate(profile: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
+# -- transform over a whole capture -------------------------------------------
+
+#: Cells of the transform that a task holds at once.
+TRANSFORM_CELLS = 1 << 20
+
+
+def _shape(num: int) -> tuple[int, int, int, int]:
+    """Rows and columns of the padded transform, and how many of either a group holds."""
+    bits = (2 * num - 2).bit_length()
+    rows, cols = 1 << bits // 2, 1 << bits - bits // 2
+    return rows, cols, max(1, min(cols, TRANSFORM_CELLS // rows)), max(1, min(rows, TRANSFORM_CELLS // cols))
+
+
+def _chirp(at: np.ndarray, num: int) -> np.ndarray:
+    """exp(-j pi at^2 / num); the square is reduced in whole numbers."""
+    return np.exp(-1j * np.pi * (at * at % (2 * num)) / num)
+
+
+def whole_power(samples: DataFrame, keep: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """(capture_id, num, bin, p): |DFT|^2 over all ``num`` samples of every capture.
+
+    ``samples`` (capture_id, num, n, i, q), ``num`` from 16 to 2^31. Bins run from 0 to num - 1;
+    ``keep(bins, num)`` marks those that leave the transform.
+
+    The sum for any ``num`` is a convolution with a chirp (Bluestein), which takes transforms of
+    a power of two M. Those are split in four steps: M = rows x cols, one step over columns and
+    one over rows with twiddle factors between, so that a group holds TRANSFORM_CELLS cells or
+    about the square root of M and no row holds a capture.
+    """
+    id_type = samples.schema["capture_id"].dataType.simpleString()
+    tiles = f"capture_id {id_type}, num long, tile int, at int, data binary"
+    names = ["capture_id", "num", "tile", "at", "data"]
+
+    @pandas_udf("int")
+    def column_tile(n: pd.Series, num: pd.Series) -> pd.Series:
+        at = np.zeros(len(n), np.int32)
+        for size in np.unique(num):
+            mine = (num == size).to_numpy()
+            _, cols, wide, _ = _shape(int(size))
+            at[mine] = n.to_numpy()[mine] % cols // wide
+        return pd.Series(at)
+
+    def gathered(part: pd.DataFrame, width: int) -> np.ndarray:
+        part = part.sort_values("at")
+        return np.concatenate([np.frombuffer(d, np.complex128).reshape(-1, width) for d in part["data"]])
+
+    def turned(rows_: np.ndarray, cols_: np.ndarray, size: int) -> np.ndarray:
+        return np.exp(2j * np.pi * (rows_[:, None] * cols_ % size) / size)
+
+    def columns(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        num, tile = int(part["num"].iloc[0]), int(key[1])
+        rows, cols, wide, high = _shape(num)
+        n = part["n"].to_numpy()
+        x = np.zeros((rows, wide), np.complex128)
+        x[n // cols, n % cols - tile * wide] = (part["i"].to_numpy() + 1j * part["q"].to_numpy()) * _chirp(n, num)
+        at = tile * wide + np.arange(wide)
+        place = np.arange(rows)[:, None] * cols + at
+        far = np.minimum(place, rows * cols - place)
+        chirp = np.where(far < num, np.conj(_chirp(far, num)), 0)
+        turn = np.conj(turned(np.arange(rows), at, rows * cols))
+        both = np.stack([np.fft.fft(x, axis=0) * turn, np.fft.fft(chirp, axis=0) * turn])
+        # A tile is laid out by column, so that tiles follow one another in the next step.
+        out = [(key[0], num, h, tile, both[:, h * high : (h + 1) * high].transpose(2, 0, 1).tobytes()) for h in range(rows // high)]
+        return pd.DataFrame(out, columns=names)
+
+    def across(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        num, tile = int(part["num"].iloc[0]), int(key[1])
+        rows, cols, wide, high = _shape(num)
+        x, chirp = gathered(part, 2 * high).reshape(cols, 2, high).transpose(1, 0, 2)
+        y = np.fft.ifft(np.fft.fft(x, axis=0) * np.fft.fft(chirp, axis=0), axis=0)
+        y = (y * turned(np.arange(cols), tile * high + np.arange(high), rows * cols)).T
+        out = [(key[0], num, w, tile, y[:, w * wide : (w + 1) * wide].tobytes()) for w in range(cols // wide)]
+        return pd.DataFrame(out, columns=names)
+
+    def back(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        num, tile = int(part["num"].iloc[0]), int(key[1])
+        rows, cols, wide, _ = _shape(num)
+        y = np.fft.ifft(gathered(part, wide), axis=0)
+        bins = np.arange(rows)[:, None] * cols + tile * wide + np.arange(wide)
+        wanted = bins < num
+        wanted[wanted] = keep(bins[wanted], num)
+        # The chirp that is left has modulus 1.
+        return pd.DataFrame({"capture_id": [key[0]] * int(wanted.sum()), "num": num, "bin": bins[wanted], "p": np.abs(y[wanted]) ** 2})
+
+    return (
+        samples.select("capture_id", "num", "n", "i", "q", column_tile("n", "num").alias("tile"))
+        .groupBy("capture_id", "tile")
+        .applyInPandas(columns, tiles)
+        .groupBy("capture_id", "tile")
+        .applyInPandas(across, tiles)
+        .groupBy("capture_id", "tile")
+        .applyInPandas(back, f"capture_id {id_type}, num long, bin long, p double")
+    )
+
+
+def hann_at(n: Column, num: Column) -> Column:
+    """Symmetric Hann window of ``num`` samples at ``n``."""
+    return 0.5 - 0.5 * F.cos(TWO_PI * n / (num - 1))
+
+
 # -- carrier line, filters, eye ----------------------------------------------
 
 
 def carrier_line(samples: DataFrame, order: int) -> DataFrame:
     """Carrier offset (cycles/sample) and phase from the ``order``-th power line.
 
-    The line needs one transform over the whole capture; a capture is bounded by the
-    size rule of the readers, and captures run in parallel.
+    The line needs one transform over the whole capture, which is split over tasks.
     """
     p = power(F.col("i"), F.col("q"))
     means = samples.groupBy("capture_id").agg(F.avg(p).alias("p"), F.count("*").alias("num")).where(
         (F.col("num") >= 16) & (F.col("p") > 0)
     )
     zi, zq = cpow((F.col("i") / F.sqrt("p"), F.col("q") / F.sqrt("p")), order)
-    raised = samples.join(means, "capture_id").select("capture_id", "n", zi.alias("i"), zq.alias("q"))
-    whole = raised.groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct("n", "i", "q"))).alias("c"))
+    raised = samples.join(means, "capture_id").select("capture_id", "num", "n", zi.alias("i"), zq.alias("q"))
+    window = hann_at(F.col("n"), F.col("num"))
+    windowed = raised.select("capture_id", "num", "n", (F.col("i") * window).alias("i"), (F.col("q") * window).alias("q"))
+    signed = F.when(2 * F.col("bin") >= F.col("num"), F.col("bin") - F.col("num")).otherwise(F.col("bin"))
     lines = (
-        whole.select("capture_id", F.size("c").alias("num"), windowed_power("c.i", "c.q").alias("s"))
-        .select("capture_id", "num", F.posexplode("s").alias("bin", "s"))
-        .withColumn("cycles", (F.col("bin") - F.floor(F.col("num") / 2)) / F.col("num"))
-        .where(F.abs("cycles") <= CARRIER_MAX_CYCLES)
+        whole_power(windowed, lambda bins, num: np.minimum(bins, num - bins) <= CARRIER_MAX_CYCLES * num)
+        .select("capture_id", "num", signed.alias("bin"), "p")
         .groupBy("capture_id")
-        .agg(F.max_by("cycles", F.struct("s", -F.col("bin"))).alias("cycles"))
+        .agg(F.max_by(F.col("bin") / F.col("num"), F.struct("p", -F.col("bin"))).alias("cycles"))
     )
     turn = -TWO_PI * F.col("cycles") * F.col("n")
     sums = (
