@@ -43,6 +43,13 @@ def test_passages():
     assert len(mil.encode_passages("w " * 100_000)) == -(-100_000 // 64)
 
 
+def test_most_frequent_word_of_every_passage():
+    for others in (0, 6, 7, 40):
+        part = ["again"] * (64 - others) + [f"w{k}" for k in range(others)]
+        row = mil.encode_passages(" ".join(part))[0]
+        assert np.isclose(row[-2], (64 - others) / 64)
+
+
 def test_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     out = queries.op9_quality_mil(spark, folder).join(queries.table(spark, folder, "labels"), "doc_id").toPandas()

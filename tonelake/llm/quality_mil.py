@@ -8,6 +8,7 @@ attention-weighted mean of the encodings.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -57,7 +58,7 @@ def encode_passages(text: str | None) -> np.ndarray:
         mean = size / n
         spread = (sum(x * x for x in lengths) / n - mean * mean) ** 0.5 if n > 1 else 0.0
         distinct = set(part)
-        most = max(map(part.count, distinct)) if len(distinct) < 8 else 0
+        most = max(Counter(part).values())
         row = [(size - len(data.translate(None, c))) / size for c in _CLASSES]
         row += [
             min(mean, 40.0) / 10, min(abs(spread), 40.0) / 10, n / PASSAGE_WORDS, len(distinct) / n,
