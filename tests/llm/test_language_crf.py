@@ -63,6 +63,21 @@ def test_held_out_documents(spark):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.97
 
 
+def test_fit_reads_whole_texts(spark, monkeypatch):
+    fit, seen = crf.fit_field, []
+
+    def watched(texts, labels):
+        seen.append(dict(zip(labels, texts, strict=True)))
+        return fit(texts, labels)
+
+    monkeypatch.setattr(crf, "fit_field", watched)
+    late = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ar", "el", "in", "ot", "un")]
+    rows = [(1, "haus garten " * 1000 + " ".join(late)), (2, "the house " * 1000)]
+    table = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+    crf.label_languages(table, spark.createDataFrame([(1, "de"), (2, "en")], "capture_id long, language string"))
+    assert seen[0]["de"] == rows[0][1].split() and len(seen[0]["en"]) == 2000
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, "12 -- 34"), (4, "the house"), (4, "the house"), (None, "haus und garten"), (5, "x" * 50_000), (6, "½ ²")]
     table = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)

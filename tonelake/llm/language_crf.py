@@ -9,6 +9,7 @@ probability.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +25,6 @@ from tonelake.llm.sampling import bounded_sample
 
 #: Labelled rows that the field is fitted on, at most.
 SAMPLE_ROWS = 3_000
-#: Words of a row that enter the fit, from places spread over the whole text.
-FIT_WORDS = 256
 BUCKETS = 1 << 16
 LEXICON_WORDS = 300
 #: Training sequences: length, and words between switches of language within one.
@@ -179,8 +178,8 @@ def label_languages(payloads: DataFrame, labels: DataFrame, sample_rows: int = S
     ``(capture_id, n_words long, language string, score double)``.
 
     ``language`` is the one with the largest mean probability over the words, ``score`` that
-    mean. The field is fitted on at most ``sample_rows`` labelled rows and up to FIT_WORDS
-    words of each; every word of every row is labelled.
+    mean. The field is fitted on at most ``sample_rows`` labelled rows: lexicons count all their
+    words, training stretches are drawn from whole texts. Every word of every row is labelled.
 
     Every input row gives one row, repeated rows included; equal texts get equal results. A
     null text or one without a letter is ``und`` with score 0. Ties go to the language that
@@ -196,28 +195,26 @@ def label_languages(payloads: DataFrame, labels: DataFrame, sample_rows: int = S
     sample = bounded_sample(known, F.col("capture_id").cast("string"), sample_rows)
     source = payloads.select("capture_id", "message_utf8")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(WORD).findall
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                words = find((text or "").lower())
-                parts = max(1, min(8, len(words) // 32))
-                size = min(len(words), FIT_WORDS) // parts
-                rows.append(" ".join(w for k in range(parts) for w in words[k * len(words) // parts :][:size]))
+                rows.append(" ".join(find((text or "").lower())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], ["capture_id", "words"])
 
     # At most sample_rows rows of an id and a label.
     wanted = source.join(F.broadcast(sample.select("capture_id")), "capture_id", "left_semi")
     gathered = (
-        wanted.mapInArrow(spread, extended(source, ["capture_id"], "words string"))
+        wanted.mapInArrow(split, extended(source, ["capture_id"], "words string"))
         .join(F.broadcast(sample), "capture_id")
         .select(F.xxhash64(F.col("capture_id").cast("string")).alias("mixed"), "words", "language")
         .dropDuplicates(["mixed"])
         .toPandas()
         .sort_values("mixed")
     )
-    field = fit_field([w.split() for w in gathered["words"]], gathered["language"].tolist())
+    # Equal words are one string.
+    field = fit_field([list(map(sys.intern, w.split())) for w in gathered["words"]], gathered["language"].tolist())
     model = payloads.sparkSession.sparkContext.broadcast(
         (field.languages, field.weights, field.transitions, field.start, field.lexicon)
     )
