@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, fingerprints, jaccard_join, language_crf, lm_scores, mixing, quality_mil, quality_rules, toxicity, url_filter
+from tonelake.llm import byte_bpe, chunk_bpe, fingerprints, jaccard_join, language_crf, lm_scores, mixing, quality_mil, quality_rules, toxicity, url_filter
 from tonelake.llm.statements import LM_SCORES, MIX, NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,25 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file() -> str:
+    """The definition of the public byte-level tokenizer."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as definition:
+        return definition.read()
+
+
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = tokenizer_file()
+    encoded = chunk_bpe.encode_payloads(payloads(table(spark, sf_dir, "documents")), definition)
+    return chunk_bpe.decode_payloads(encoded, definition).select(
+        F.col("capture_id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("message_bytes", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Runner] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -147,6 +166,7 @@ QUERIES: dict[str, Runner] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_mil": op9_quality_mil,
     "op10_fingerprints": op10_fingerprints,
+    "op13_chunk_bpe": op13_chunk_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_jaccard_join": NEAR_DUPLICATES, "op6_lm_scores": LM_SCORES, "op7_mixing": MIX}
