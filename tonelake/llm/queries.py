@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, chunk_bpe, fingerprints, jaccard_join, language_crf, lm_scores, mixing, quality_mil, quality_rules, toxicity, url_filter
+from tonelake.llm import byte_bpe, chunk_bpe, fingerprints, jaccard_join, language_crf, lm_scores, mixing, quality_mil, quality_rules, toxicity, url_filter, whitening
 from tonelake.llm.statements import LM_SCORES, MIX, NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vectors(embeddings: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Embeddings as feature records: a column per dimension, null where a vector is shorter or longer than others.
+
+    The number of dimensions is that of the longest vector.
+    """
+    width = embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"e{k}" for k in range(max(width, 0))]
+    cells = [F.get("embedding", F.lit(k)).alias(name) for k, name in enumerate(names)]
+    return embeddings.select(F.col("vec_id").alias("capture_id"), "label", *cells), names
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, names = vectors(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten_features(records, names, scale=1024, offset=100_000, components=8).select(
+        F.col("capture_id").alias("vec_id"),
+        "component",
+        "n",
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
+
+
 def tokenizer_file() -> str:
     """The definition of the public byte-level tokenizer."""
     import public_tokenizers
@@ -166,6 +190,7 @@ QUERIES: dict[str, Runner] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_mil": op9_quality_mil,
     "op10_fingerprints": op10_fingerprints,
+    "op11_whitening": op11_whitening,
     "op13_chunk_bpe": op13_chunk_bpe,
 }
 
