@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -77,11 +78,23 @@ def test_joins_are_exact_wherever_a_text_is_cut(definition, library):
 
 
 def test_broken_bytes_decode_as_the_library_decodes_them(definition, library):
-    tokenizer = chunk_bpe.Tokenizer(definition)
+    spelled = chunk_bpe.token_bytes(json.loads(definition))
     rng = np.random.default_rng(3)
     for _ in range(300):
-        ids = rng.integers(0, len(tokenizer.size), rng.integers(0, 12))
-        assert tokenizer.decode(ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
+        ids = rng.integers(0, len(spelled), rng.integers(0, 12))
+        assert chunk_bpe.decode(spelled, ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
+
+
+def test_every_character_is_encoded_as_the_library_does(definition, library):
+    tokenizer = chunk_bpe.Tokenizer(definition)
+    codes = [c for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(codes), 2048):
+        text = "".join("a{0}1{0}{0} {0}.{0}\n".format(chr(c)) for c in codes[k : k + 2048])
+        ids, first = tokenizer.encode([text.encode()])[0]
+        encoding = library.encode(text, add_special_tokens=False)
+        assert ids.tolist() == encoding.ids
+        words = encoding.word_ids
+        assert first.tolist() == [i == 0 or w != words[i - 1] for i, w in enumerate(words)]
 
 
 def test_chunks_follow_content_and_cover_the_text():

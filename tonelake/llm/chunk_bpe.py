@@ -32,10 +32,15 @@ WINDOW, CHUNK_BITS, LEAST, MOST = 16, 10, 256, 1 << 14
 #: Stretches that no other message has are encoded in runs of about this many bytes.
 RUN = 1 << 16
 #: Texts handed to the tokenizer at once, in bytes.
-BATCH = 1 << 20
+BATCH = 1 << 18
+#: Pre-tokens whose ids are remembered in one task.
+REMEMBERED = 250_000
 #: No pre-token rule looks further ahead than this; a longer special token adds to it.
 AHEAD = 16
 
+# Fixed value: the cut into pre-tokens of byte-level vocabularies, as published with them.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def _scatter(n: int) -> np.ndarray:
     """``n`` fixed 64-bit numbers without pattern."""
@@ -103,44 +108,110 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b) if b in plain else chr(next(others)): b for b in range(256)}
 
 
+def token_bytes(parsed: dict) -> dict[int, bytes]:
+    """The bytes that each id of a parsed tokenizer file stands for; added tokens are spelled as they are."""
+    letters = byte_of_letter()
+    own = {number: bytes(map(letters.__getitem__, token)) for token, number in parsed["model"]["vocab"].items() if letters.keys() >= set(token)}
+    odd = {number: token.encode() for token, number in parsed["model"]["vocab"].items() if number not in own}
+    return own | odd | {t["id"]: t["content"].encode() for t in parsed.get("added_tokens") or []}
+
+
+def token_sizes(spelled: dict[int, bytes]) -> np.ndarray:
+    sizes = np.zeros(max(spelled) + 1, np.int64)
+    for number, token in spelled.items():
+        sizes[number] = len(token)
+    return sizes
+
+
+def decode(spelled: dict[int, bytes], ids: np.ndarray) -> bytes:
+    """The library's text for the ids, in UTF-8; broken characters are replaced as it does."""
+    return b"".join(map(spelled.__getitem__, ids.tolist())).decode(errors="replace").encode()
+
+
 class Tokenizer:
-    """A byte-level BPE tokenizer file, with the places where pre-tokens begin."""
+    """A byte-level BPE tokenizer file, with the places where pre-tokens begin.
+
+    Pre-tokens are cut here, and the ids of the frequent ones remembered; others are encoded by
+    the library. A text with a character that the library puts in another class than the pattern
+    does (classes differ between Unicode versions) is left to the library as a whole.
+    """
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import regex
         import tokenizers
 
         parsed = json.loads(definition)
-        cutter = parsed.get("pre_tokenizer") or {}
-        if parsed.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space"):
+        cutter, added = parsed.get("pre_tokenizer") or {}, parsed.get("added_tokens") or []
+        plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+        if parsed.get("normalizer") or not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("chunks can be joined for a plain byte-level vocabulary without normaliser or prefix space only")
         self.library = tokenizers.Tokenizer.from_str(definition)
         self.library.no_truncation()
         self.library.no_padding()
-        letters = byte_of_letter()
-        self.bytes_of: dict[int, bytes] = {}
-        for token, number in self.library.get_vocab(with_added_tokens=True).items():
-            known = all(c in letters for c in token)
-            self.bytes_of[number] = bytes(map(letters.__getitem__, token)) if known else token.encode()
-        special = [token["content"].encode() for token in parsed.get("added_tokens", [])]
-        self.margin = max(AHEAD, *(len(s) + 3 for s in special)) if special else AHEAD
-        self.size = np.zeros(max(self.bytes_of) + 1, np.int64)
-        for number, spelled in self.bytes_of.items():
-            self.size[number] = len(spelled)
+        self.model = self.library.model
+        self.letters = {b: letter for letter, b in byte_of_letter().items()}
+        self.size = token_sizes(token_bytes(parsed))
+        self.special = {t["content"]: t["id"] for t in added}
+        self.margin = max([AHEAD, *(len(s.encode()) + 3 for s in self.special)])
+        self.pattern = regex.compile(PATTERN)
+        spelled = sorted(self.special, key=len, reverse=True)
+        self.around = regex.compile("(" + "|".join(map(regex.escape, spelled)) + ")") if spelled else None
+        self.agree: dict[str, bool] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _agrees(self, character: str) -> bool:
+        probe = "a{0}1{0}{0} {0}.{0}\n".format(character)
+        cut = [probe[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(probe)]
+        return cut == self.pattern.findall(probe)
+
+    def _ours(self, text: str) -> bool:
+        if text.isascii():
+            return True
+        for character in set(text) - self.agree.keys():
+            self.agree[character] = self._agrees(character)
+        return all(map(self.agree.__getitem__, set(text)))
+
+    def _learn(self, pretokens: list[str]) -> None:
+        known = self.known
+        new = [t for t in set(pretokens) if t not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(set(pretokens))
+        for token in new:
+            spelled = token.encode().decode("latin-1").translate(self.letters)
+            known[token] = b"".join([piece.id.to_bytes(4, "little") for piece in self.model.tokenize(spelled)])
+
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.around.split(text) if self.around and any(s in text for s in self.special) else [text]
+        packed: list[bytes] = []
+        for k, part in enumerate(parts):
+            if k % 2:  # a special token, matched before anything is cut
+                packed.append(np.array([self.special[part]], "<u4").tobytes())
+                continue
+            pretokens = self.pattern.findall(part)
+            if not self.known.keys() >= set(pretokens):
+                self._learn(pretokens)
+            packed += map(self.known.__getitem__, pretokens)
+        ids = np.frombuffer(b"".join(packed), "<i4")
+        counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        first = np.zeros(len(ids), bool)
+        first[(np.cumsum(counts) - counts)[counts > 0]] = True
+        return ids, first
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of each text, and whether each id is the first of a pre-token."""
         found = []
-        for encoding in self.library.encode_batch([t.decode() for t in texts], add_special_tokens=False):
+        for text in map(bytes.decode, texts):
+            if self._ours(text):
+                found.append(self._encode(text))
+                continue
+            encoding = self.library.encode(text, add_special_tokens=False)
             ids = np.array(encoding.ids, np.int32)
             word = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
             found.append((ids, np.concatenate([[True], word[1:] != word[:-1]]) if len(ids) else np.zeros(0, bool)))
         return found
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The library's text for the ids, in UTF-8; broken characters are replaced as it does."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace").encode()
-
 
 class _Stretch:
     """Ids of ``data[start:end]`` and whether each is the first of a pre-token."""
@@ -238,12 +309,12 @@ def _chunk_refs(payloads: DataFrame) -> DataFrame:
                 columns = [key[:, 0], key[:, 1], np.array(places, np.int32), digest[:, 0], digest[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return payloads.mapInArrow(run, "k1 long, k2 long, place int, d1 long, d2 long")
+    return payloads.mapInArrow(run, "k1 long not null, k2 long not null, place int, d1 long, d2 long")
 
 
 def _packed(payloads: DataFrame) -> DataFrame:
     """A row per record: its key and its text, compressed since it is dealt out by that key."""
-    schema = extended(payloads, ["capture_id"], "k1 long, k2 long, packed binary")
+    schema = extended(payloads, ["capture_id"], "k1 long not null, k2 long not null, packed binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -286,7 +357,7 @@ def _encode_owned(owned: DataFrame, definition: str) -> DataFrame:
 
         for batch in batches:
             waiting, held = [], 0
-            for packed, places in zip(batch.column(0), batch.column(1)):
+            for packed, places in zip(batch.column(1), batch.column(2)):
                 data = unpress.decompress(packed.as_py())
                 ends = [0, *cuts(data)]
                 for place in set(places.as_py()):
@@ -298,7 +369,8 @@ def _encode_owned(owned: DataFrame, definition: str) -> DataFrame:
             if waiting:
                 yield rows(waiting)
 
-    return owned.select("packed", "places").mapInArrow(run, "d1 long, d2 long, ids binary, first binary")
+    # The id is read for nothing but that both readers of the texts share one exchange.
+    return owned.select("capture_id", "packed", "places").mapInArrow(run, "d1 long, d2 long, ids binary, first binary")
 
 
 def _assemble(texts: DataFrame, definition: str) -> DataFrame:
@@ -411,9 +483,11 @@ def decode_payloads(encoded: DataFrame, definition: str) -> DataFrame:
     schema = extended(source, source.columns, "message_bytes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(definition)
+        spelled = token_bytes(json.loads(definition))
         for batch in batches:
-            decoded = [tokenizer.decode(np.frombuffer(ids.as_py(), "<u4")) for ids in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], schema.names)
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                decoded = [decode(spelled, np.frombuffer(ids.as_py(), "<u4")) for ids in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], schema.names)
 
     return source.mapInArrow(run, schema)
