@@ -61,6 +61,8 @@ def test_edge_texts_match_the_library(spark, definition, library):
     want = sorted((-1 if k is None else k, packed(library, t), (t or "").encode()) for k, t, *_ in rows)
     assert sorted((-1 if r[0] is None else r[0], bytes(r[2]), bytes(r[3])) for r in got) == want
     assert all(r["n_tokens"] == len(r["token_ids"]) // 4 for r in got)
+    at_once = chunk_bpe.encode_payloads(spark.createDataFrame(rows, SCHEMA), definition, decoded=True).collect()
+    assert sorted((-1 if r[0] is None else r[0], bytes(r[2]), bytes(r[3])) for r in at_once) == want
 
 
 def test_joins_are_exact_wherever_a_text_is_cut(definition, library):

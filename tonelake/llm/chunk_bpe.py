@@ -34,7 +34,7 @@ RUN = 1 << 16
 #: Texts handed to the tokenizer at once, in bytes.
 BATCH = 1 << 18
 #: Pre-tokens whose ids are remembered in one task.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: No pre-token rule looks further ahead than this; a longer special token adds to it.
 AHEAD = 16
 
@@ -321,15 +321,17 @@ def _packed(payloads: DataFrame) -> DataFrame:
 
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            data = [_record_bytes(text) for text in batch.column(1)]
-            key = [_key(capture_id.as_py(), d) for capture_id, d in zip(batch.column(0), data)]
-            columns = [
-                batch.column(0),
-                pa.array([k[0] for k in key], pa.int64()),
-                pa.array([k[1] for k in key], pa.int64()),
-                pa.array([press.compress(d) for d in data], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                data = [_record_bytes(text) for text in part.column(1)]
+                key = [_key(capture_id.as_py(), d) for capture_id, d in zip(part.column(0), data)]
+                columns = [
+                    part.column(0),
+                    pa.array([k[0] for k in key], pa.int64()),
+                    pa.array([k[1] for k in key], pa.int64()),
+                    pa.array([press.compress(d) for d in data], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return payloads.mapInArrow(run, schema)
 
@@ -373,15 +375,16 @@ def _encode_owned(owned: DataFrame, definition: str) -> DataFrame:
     return owned.select("capture_id", "packed", "places").mapInArrow(run, "d1 long, d2 long, ids binary, first binary")
 
 
-def _assemble(texts: DataFrame, definition: str) -> DataFrame:
+def _assemble(texts: DataFrame, definition: str, decoded: bool) -> DataFrame:
     """Ids of whole texts: shared chunks as given, other runs encoded here, joins repaired."""
-    schema = extended(texts, ["capture_id"], "n_tokens long, token_ids binary")
+    schema = extended(texts, ["capture_id"], "n_tokens long, token_ids binary" + ", message_bytes binary" * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         tokenizer, unpress = Tokenizer(definition), zstandard.ZstdDecompressor()
         width = "<u2" if len(tokenizer.size) <= 1 << 16 else "<u4"
+        spelled = token_bytes(json.loads(definition)) if decoded else {}
 
         def stretches(data: bytes, given: dict) -> list[list]:
             """Consecutive ``[start, end, ids, first]``; ids are None for runs to be encoded."""
@@ -408,20 +411,15 @@ def _assemble(texts: DataFrame, definition: str) -> DataFrame:
                     for (_, run_), (ids, first) in zip(portion, tokenizer.encode([d[r[0] : r[1]] for d, r in portion])):
                         run_[2:] = [ids, first]
                     portion, held = [], 0
-            whole = []
+            whole, back = [], []
             for data, parts in waiting:
                 ids = join_stretches(tokenizer, data, [(s[0], s[2], s[3]) for s in parts])
                 if tokenizer.size[ids].sum() != len(data):
                     raise ValueError("ids do not spell the text they stand for")
                 whole.append(ids.astype("<u4").tobytes())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids_in, schema_of_id),
-                    pa.array([len(w) // 4 for w in whole], pa.int64()),
-                    pa.array(whole, pa.binary()),
-                ],
-                schema.names,
-            )
+                back += [decode(spelled, ids)] if decoded else []
+            columns = [pa.array(ids_in, schema_of_id), pa.array([len(w) // 4 for w in whole], pa.int64()), pa.array(whole, pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, *([pa.array(back, pa.binary())] if decoded else [])], schema.names)
 
         for batch in batches:
             schema_of_id = batch.schema.field(0).type
@@ -441,11 +439,12 @@ def _assemble(texts: DataFrame, definition: str) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def encode_payloads(payloads: DataFrame, definition: str) -> DataFrame:
+def encode_payloads(payloads: DataFrame, definition: str, decoded: bool = False) -> DataFrame:
     """Encode ``message_utf8`` of every payload as the tokenizers library does.
 
     ``payloads(capture_id, message_utf8)`` -> ``(capture_id, n_tokens long, token_ids binary)``;
-    ``token_ids`` holds little-endian unsigned 32-bit ids. ``definition`` is the content of a
+    ``token_ids`` holds little-endian unsigned 32-bit ids. With ``decoded`` they are decoded at
+    once, which gives ``message_bytes`` as ``decode_payloads`` does without another worker. ``definition`` is the content of a
     tokenizer file: a byte-level BPE vocabulary without normaliser (a fixed file of a few MB).
     No special tokens are added; spellings of special tokens in a text become their ids, as the
     library does by default.
@@ -469,7 +468,7 @@ def encode_payloads(payloads: DataFrame, definition: str) -> DataFrame:
     encoded = _encode_owned(texts.join(owned, ["k1", "k2"]), definition)
     once = encoded.groupBy("d1", "d2").agg(F.first("ids").alias("ids"), F.first("first").alias("first"))
     given = refs.join(once, ["d1", "d2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "ids", "first")).alias("given"))
-    return _assemble(texts.join(given, ["k1", "k2"], "left").select("capture_id", "packed", "given"), definition)
+    return _assemble(texts.join(given, ["k1", "k2"], "left").select("capture_id", "packed", "given"), definition, decoded)
 
 
 def decode_payloads(encoded: DataFrame, definition: str) -> DataFrame:

@@ -176,9 +176,8 @@ def tokenizer_file() -> str:
 
 
 def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    definition = tokenizer_file()
-    encoded = chunk_bpe.encode_payloads(payloads(table(spark, sf_dir, "documents")), definition)
-    return chunk_bpe.decode_payloads(encoded, definition).select(
+    source = payloads(table(spark, sf_dir, "documents"))
+    return chunk_bpe.encode_payloads(source, tokenizer_file(), decoded=True).select(
         F.col("capture_id").alias("doc_id"),
         "n_tokens",
         F.sha2("token_ids", 256).alias("ids_sha256"),
