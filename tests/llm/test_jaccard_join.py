@@ -69,9 +69,9 @@ def test_against_all_pairs(spark, seed, monkeypatch):
     if seed == 2:  # every shingle that occurs twice counts as widely shared, tiles are salted
         monkeypatch.setattr(jj, "COUNT_LEAST", 1)
         monkeypatch.setattr(jj, "TILE_MEMBERS", 1)
-    if seed == 3:  # everything is decided in blocks, none larger than two members on average
-        monkeypatch.setattr(jj, "ROUNDS", 0)
-        monkeypatch.setattr(jj, "TILE_BLOCK", 2)
+    if seed == 3:  # blocks of two members on average, strips of one
+        monkeypatch.setattr(jj, "BLOCK_MEMBERS", 2)
+        monkeypatch.setattr(jj, "STRIP", 1)
     rows = corpus(seed)
     assert run(spark, rows) == brute(rows)
 
@@ -103,6 +103,62 @@ def test_long_text_and_hashes_agree_with_sets():
     assert set_hash(sets[1]) != set_hash(sets[3])
 
 
+def test_slices_of_long_texts_leave_no_trace(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(f"W{rng.randrange(300)}" for _ in range(3000)) + " end"
+    texts = [text, "a b", "x" * 500, "one two three four " * 40, " " * 400 + "a b c", " " * 900]
+    whole, grams = Shingler().sets(texts), Shingler().sequences(texts, (1, 2, 3))
+    monkeypatch.setattr("tonelake.llm.shingles.CHUNK_BYTES", 100)
+    for a, b in zip(Shingler().sets(texts), whole, strict=True):
+        assert a.tolist() == b.tolist()
+    for a, b in zip(Shingler().sequences(texts, (1, 2, 3)), grams, strict=True):
+        assert [x.tolist() for x in a] == [y.tolist() for y in b]
+
+
+def near_copies(count, edits, seed=6):
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(count):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randint(*edits)):
+            words[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_copies_around_the_limit(spark):
+    rows = near_copies(120, (2, 9))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_group_of_copies_makes_no_rows_of_pairs(spark):
+    """Links out of a cluster are fewer than its members, whatever the number of pairs that link or nearly do."""
+    for count in (60, 120):
+        rows = near_copies(count, (3, 8))
+        table = spark.createDataFrame([(k, t, "", "") for k, t in rows], SCHEMA)
+        sets = Shingler().sets([t for _, t in rows])
+        nodes = [(set_hash(s), len(s), set_hash(s), bytearray(jj.bitmap(s)), s.view(np.int64).tolist()) for s in sets]
+        nodes = spark.createDataFrame(nodes, "node long, n long, component long, bits binary, shingles array<long>")
+        from pyspark.sql import functions as F
+
+        clusters = nodes.drop("shingles").select(F.lit(1).cast("long").alias("leader"), F.lit(False).alias("lead"), "*")
+        links = jj._links_within(clusters, nodes.select("node", "shingles"), 80, True).collect()
+        assert len(links) < count
+        assert jj._may_link(clusters, 80).count() <= count
+        roots = {set_hash(s): set_hash(s) for s in sets}
+        for a, b in links:
+            low, high = sorted((roots[a], roots[b]))
+            roots = {k: low if v == high else v for k, v in roots.items()}
+        want = {}
+        for key, _, component in brute(rows):
+            want.setdefault(component, set()).add(set_hash(sets[key]))
+        got = {}
+        for node, root in roots.items():
+            got.setdefault(root, set()).add(node)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_bitmaps_never_bound_too_low():
     rng = random.Random(3)
     shingler = Shingler()

@@ -12,13 +12,19 @@ Two payloads link when ``100 * intersection >= percent * union`` of their shingl
 * Signatures: every node has a parity bitmap of about one to two bits per shingle. Shingles
   outside the intersection are the only ones that can make two bitmaps differ, so
   ``(n + m - differing bits) / 2`` bounds the intersection from above.
-* Pairs left over are decided by intersecting the sorted arrays of hashes.
-
-Only connectivity is asked for, so pairs are not enumerated within a group: first each
-member of a tile is compared with the tile's smallest member, and the links so found are
-gathered into components (or parts of them, which is enough on the way). In each of a few rounds, members outside the largest component of
-their tile are compared with changing members of it. At last all members of a tile that are
-still in different components meet, which decides every link that could join two of them.
+* Pairs left over are decided by counting the common entries of their sorted arrays of hashes.
+
+Only connectivity is asked for, so pairs never become rows. Nodes are gathered in clusters, a
+cluster is cut into blocks of bounded size, and a task that holds two blocks compares their
+members by bitmap, then by array, and returns a link only where it joins two components that
+the task has not joined yet.
+
+First each node is put to the member of its tiles that its bitmap allows the largest overlap
+with. Components of the links found there leave few tiles with members of several components;
+in these, the component with the most members leads, and all nodes that share such a tile with
+a component form its cluster. Two nodes that link share a tile, so they are in one component
+already or in one cluster. A first pass by bitmaps tells which members of a cluster may link at
+all; arrays are made and dealt out for these only.
 """
 
 from __future__ import annotations
@@ -42,14 +48,15 @@ COUNT_BUFFER = 1 << 21
 COUNT_LEAST = 4
 #: Members of one tile that a task compares with one another's smallest; larger tiles are split.
 TILE_MEMBERS = 4096
-#: Rounds of comparisons with leaders before what is left is compared member by member, and
-#: how many leaders a component with many tiles puts forward in a round.
-ROUNDS = 2
-LEADERS = 8
-#: Members of a tile that a task compares with one another; a larger tile is compared in blocks.
-TILE_BLOCK = 1024
-#: Bits of the table that says which payloads are needed again: 1 MiB at every size.
-WANTED_BITS = 1 << 23
+#: Members of a block that bitmaps are compared in, and shingles (8 bytes each) of one that arrays are.
+BLOCK_MEMBERS = 2048
+BLOCK_SHINGLES = 1 << 19
+#: Bits, for each wanted text and at most, of the table that says which texts are read again: 8 MiB.
+BITS_EACH, MOST_BITS = 8, 1 << 26
+#: Parts that the members of a component are dealt to when its smallest id is sent to them.
+SALTS = 16
+#: Members compared at once with a block.
+STRIP = 128
 
 
 def prefix_length(n, percent: int):
@@ -67,14 +74,6 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(bits: bytes) -> bytes:
-    """A bitmap of half the width, by parity; at 64 bits it stays."""
-    half = len(bits) // 2
-    if half < 8:
-        return bits
-    return (int.from_bytes(bits[:half], "little") ^ int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
-
-
 def overlap_bound(n: int, bits_n: bytes, m: int, bits_m: bytes) -> int:
     """An upper bound of the intersection from two bitmaps; the wider one is folded by parity."""
     if len(bits_n) > len(bits_m):
@@ -96,9 +95,9 @@ def _texts(payloads: DataFrame) -> DataFrame:
 
 
 def _survey(payloads: DataFrame, words: int) -> DataFrame:
-    """One pass over the texts: (capture_id, n, node, bits, half) rows, and (shingle, hits) rows with null n."""
+    """One pass over the texts: (capture_id, n, node, bits) rows, and (shingle, hits) rows with null n."""
     source = _texts(payloads)
-    schema = extended(source, ["capture_id"], "n long, node long, bits binary, half binary, shingle long, hits long")
+    schema = extended(source, ["capture_id"], "n long, node long, bits binary, shingle long, hits long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -108,22 +107,20 @@ def _survey(payloads: DataFrame, words: int) -> DataFrame:
             values, hits = np.unique(np.concatenate(held), return_counts=True)
             often = hits >= COUNT_LEAST
             values, hits = values[often].view(np.int64), hits[often]
-            void = [pa.nulls(len(values), t) for t in (kind, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            void = [pa.nulls(len(values), t) for t in (kind, pa.int64(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*void, pa.array(values), pa.array(hits)], names)
 
-        names = ["capture_id", "n", "node", "bits", "half", "shingle", "hits"]
+        names = ["capture_id", "n", "node", "bits", "shingle", "hits"]
         kind, occurrences = None, 0
         for batch in batches:
             kind = batch.column(0).type
             sets = shingler.sets(batch.column(1).to_pylist())
             void = [pa.nulls(len(sets), pa.int64())] * 2
-            bits = [bitmap(s) for s in sets]
             columns = [
                 batch.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_hash(s) for s in sets], pa.int64()),
-                pa.array(bits, pa.binary()),
-                pa.array([folded(b) for b in bits], pa.binary()),
+                pa.array([bitmap(s) for s in sets], pa.binary()),
                 *void,
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -293,28 +290,30 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, bound long")
 
 
-def _hashed(capture_id: Column) -> Column:
-    return F.pmod(F.xxhash64(capture_id.cast("string")), F.lit(WANTED_BITS))
-
-
 def _arrays(payloads: DataFrame, wanted: DataFrame, survey: DataFrame, words: int) -> DataFrame:
     """(node, shingles array<long>): the sorted arrays of the wanted nodes, computed again from the texts.
 
-    Texts are not shuffled: a bit table of fixed size says which rows may be wanted, the
-    others are passed over, and what the table lets through in vain is dropped by the join.
+    Texts are not shuffled: a bit table says which rows may be wanted, the others are passed
+    over, and what the table lets through in vain is dropped by the join. The table has some
+    bits for each wanted node and a size bound; beyond it more is let through in vain.
     """
     spark = payloads.sparkSession
-    keep = survey.join(wanted, "node").groupBy("node").agg(F.min("capture_id").alias("capture_id"))
+    keep = pin(survey.join(wanted, "node").groupBy("node").agg(F.min("capture_id").alias("capture_id")))
+    size = min(MOST_BITS, 1 << max(16, (BITS_EACH * keep.count()).bit_length()))
+
+    def hashed(capture_id: Column) -> Column:
+        return F.pmod(F.xxhash64(capture_id.cast("string")), F.lit(size))
+
     words_of_bits = (
-        keep.select(_hashed(F.col("capture_id")).alias("bit"))
+        keep.select(hashed(F.col("capture_id")).alias("bit"))
         .groupBy(F.shiftright("bit", 5).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31L AS INT))")).alias("bits"))
         .toPandas()
     )
-    table = np.zeros(WANTED_BITS >> 5, dtype=np.uint32)
+    table = np.zeros(size >> 5, dtype=np.uint32)
     table[words_of_bits["word"].to_numpy(np.int64)] = words_of_bits["bits"].to_numpy(np.int64).astype(np.uint32)
     shared = spark.sparkContext.broadcast(table)
-    source = payloads.select("message_utf8", _hashed(F.col("capture_id")).alias("bit"))
+    source = payloads.select("message_utf8", hashed(F.col("capture_id")).alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, table = Shingler(words), shared.value
@@ -332,109 +331,211 @@ def _arrays(payloads: DataFrame, wanted: DataFrame, survey: DataFrame, words: in
                 )
 
     found = source.mapInArrow(run, "node long, shingles array<long>")
-    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return found.join(keep.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, payloads: DataFrame, survey: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, by intersecting their sorted arrays, pair by pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    arrays = pin(_arrays(payloads, wanted, survey, words))
-    left = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = arrays.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    linked = _links(common, F.size("x"), F.size("y"), percent)
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(linked).select("a", "b")
+# -- clusters ---------------------------------------------------------------------
 
 
-def _best(bounded: DataFrame) -> DataFrame:
-    """For each node the partner that may overlap most: one link is enough to join a component."""
-    return bounded.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("best")).select("a", "best.b")
+class Block:
+    """Members of a block, by size band: all bitmaps of a band have one width, the next band's folds to it."""
 
+    def __init__(self, node: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes]) -> None:
+        self.node, self.n, self.root = node, n, root
+        self.bands: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        width = np.array([len(b) for b in bits])
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            own = np.frombuffer(b"".join(bits[k] for k in rows), "<u8").reshape(len(rows), -1)
+            half = own.shape[1] // 2
+            self.bands[int(w)] = rows, own, own[:, :half] ^ own[:, half:]
 
-def _still_open(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows of tiles whose members lie in two components or more, with the present component."""
-    now = rows.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = now.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return now.join(split.where("low < high").select("tile"), "tile", "left_semi")
+    def close(self, other: Block, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (own row, row of ``other``) of different components that sizes and bitmaps let link, in strips.
 
+        Rows of the strip are compared as long as ``root`` tells them apart; it is read anew for each strip.
+        """
+        for width, (rows, own, folded) in self.bands.items():
+            for factor in (1, 2, 0.5):
+                met = other.bands.get(int(width * factor))
+                if met is None:
+                    continue
+                there = met[0]
+                left, right = (own, met[1]) if factor == 1 else (own, met[2]) if factor == 2 else (folded, met[1])
+                for k in range(0, len(rows), STRIP):
+                    i, x = rows[k : k + STRIP], left[k : k + STRIP]
+                    n, m = self.n[i][:, None], other.n[there][None, :]
+                    open_ = (self.root[i][:, None] != other.root[there][None, :]) & (
+                        100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                    )
+                    a, b = np.nonzero(open_)
+                    for c in range(0, len(a), 1 << 18):
+                        p, q = a[c : c + (1 << 18)], b[c : c + (1 << 18)]
+                        differ = np.bitwise_count(x[p] ^ right[q]).sum(axis=1, dtype=np.int64)
+                        n_p, n_q = self.n[i[p]], other.n[there[q]]
+                        bound = np.minimum(np.minimum(n_p, n_q), (n_p + n_q - differ) // 2)
+                        good = _links(bound, n_p, n_q, percent)
+                        if good.any():
+                            yield i[p[good]], there[q[good]]
+
+
+def common_counts(x: np.ndarray, values: np.ndarray, owner: np.ndarray, members: int) -> np.ndarray:
+    """How many entries of the sorted array ``x`` each member has, from all members' entries merged in order."""
+    low, high = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+    runs = high - low
+    places = np.arange(int(runs.sum())) + np.repeat(low - np.cumsum(runs) + runs, runs)
+    return np.bincount(owner[places], minlength=members)
+
+
+def links_of(one: Block, two: Block, arrays_one: list, arrays_two: list, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks that join components, at most one less than there are components.
+
+    ``one.root`` and ``two.root`` name the components and are changed as links join them. A block
+    may be compared with itself.
+    """
+    merged: tuple[np.ndarray, np.ndarray] | None = None
+    found = []
+    for i, j in one.close(two, percent):
+        for p in np.unique(i):
+            rows = j[i == p]
+            rows = rows[two.root[rows] != one.root[p]]
+            if not len(rows):
+                continue
+            x = arrays_one[p]
+            if len(rows) <= 4:
+                both = [(np.minimum(np.searchsorted(y := arrays_two[q], x), len(y) - 1), y) for q in rows]
+                overlap = np.array([(y[at] == x).sum() for at, y in both])
+            else:
+                if merged is None:
+                    values = np.concatenate(arrays_two)
+                    owner = np.repeat(np.arange(len(arrays_two)), [len(y) for y in arrays_two])
+                    order = np.argsort(values, kind="stable")
+                    merged = values[order], owner[order]
+                overlap = common_counts(x, *merged, len(arrays_two))[rows]
+            for q in rows[_links(overlap, one.n[p], two.n[rows], percent)]:
+                old, new = two.root[q], one.root[p]
+                if old != new:
+                    found.append((int(one.node[p]), int(two.node[q])))
+                    one.root[one.root == old] = new
+                    two.root[two.root == old] = new
+    return found
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each group from batches ordered by the first ``keys`` columns; one group is held at a time."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        key = np.stack([held.column(k).to_numpy() for k in range(keys)]).astype(np.int64)
+        edges = [0, *(1 + np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))).tolist()]
+        for a, b in zip(edges, edges[1:]):
+            yield held.slice(a, b - a)
+        held = held.slice(edges[-1])  # may go on in the next batch
+    if held is not None:
+        yield held
+
+
+def _blocks_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Block, Block]:
+    """Rows and blocks of the two sides of a group (leader, low, high, own, node, n, component, bits)."""
+    low, high, own, node, n, component = (table.column(k).to_numpy().astype(np.int64) for k in range(1, 7))
+    bits = table.column(7).to_pylist()
+    sides = [np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0])]
+    one = Block(node[sides[0]], n[sides[0]], component[sides[0]], [bits[k] for k in sides[0]])
+    if low[0] == high[0]:
+        return sides[0], sides[0], one, one
+    return *sides, one, Block(node[sides[1]], n[sides[1]], component[sides[1]], [bits[k] for k in sides[1]])
+
+
+def _dealt(clusters: DataFrame, members: int, shingles: int, mixed: bool) -> DataFrame:
+    """Rows of clusters (leader, node, n, component, lead, ...) dealt out to pairs of blocks (low, high).
+
+    Blocks 0 on hold members outside the leading component, later ones those of it (``lead``),
+    which are not compared with one another. Without ``mixed`` each of the others meets its own
+    block and the leading members only; these must be few.
+    """
+    def blocks(condition: Column) -> Column:
+        weight = F.greatest(
+            F.ceil(F.count_if(condition) / members), F.ceil(F.sum(F.when(condition, F.col("n")).otherwise(0)) / shingles)
+        )
+        return weight.cast("int")
+
+    sizes = clusters.groupBy("leader").agg(blocks(~F.col("lead")).alias("others"), blocks(F.col("lead")).alias("leading"))
+    rows = clusters.join(sizes, "leader").where("others > 0")
+    place = F.xxhash64("node")
+    own = F.when(F.col("lead"), F.col("others") + F.pmod(place, F.greatest("leading", F.lit(1)))).otherwise(F.pmod(place, F.col("others")))
+    rows = rows.withColumn("own", own.cast("int"))
+    every = F.sequence(F.lit(0), F.col("others") - 1)
+    if mixed:
+        met = F.when(F.col("lead"), every).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("leading") - 1))
+        pair = [F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own"]
+    else:
+        met = F.when(F.col("lead"), every).otherwise(F.array("own"))
+        pair = [F.col("met").alias("low"), F.col("met").alias("high"), F.col("met").alias("own")]
+    carried = [c for c in clusters.columns if c not in ("leader", "lead", "node", "n", "component")]
+    rows = rows.withColumn("met", F.explode(met)).select("leader", *pair, "node", "n", "component", *carried)
+    return rows.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high")
+
+
+def _may_link(clusters: DataFrame, percent: int) -> DataFrame:
+    """(leader, node): members of a cluster whose bitmaps allow a link with a member of another component."""
 
-def _to_leaders(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each member with its tile's leader, a changing member of its largest component."""
-    sizes = rows.select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("members"))
-    ranked = F.struct("members", F.xxhash64("node", F.pmod("tile", F.lit(LEADERS)), F.lit(turn)), "node", "n", "component")
-    leaders = rows.join(sizes, "component").groupBy("tile").agg(F.max(ranked).alias("leader"))
-    return (
-        rows.join(leaders, "tile")
-        .where(F.col("component") != F.col("leader.component"))
-        .select(F.col("node").alias("a"), F.col("leader.node").alias("b"), "n", F.col("leader.n").alias("pivot_n"))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 3):
+            _, _, one, two = _blocks_of(table)
+            seen_one, seen_two = np.zeros(len(one.node), bool), np.zeros(len(two.node), bool)
+            for i, j in one.close(two, percent):
+                seen_one[i] = True
+                seen_two[j] = True
+            nodes = np.unique(np.concatenate([one.node[seen_one], two.node[seen_two]]))
+            if len(nodes):
+                leader = np.full(len(nodes), table.column(0)[0].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(leader), pa.array(nodes)], ["leader", "node"])
 
+    dealt = _dealt(clusters, BLOCK_MEMBERS, 64 * BLOCK_SHINGLES, True)
+    return dealt.mapInArrow(run, "leader long, node long").distinct()
 
-def _within_tiles(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one tile, in different components, whose bitmaps allow a link.
 
-    A tile is cut into blocks of members; each pair of blocks is a task's work of bounded size,
-    and only pairs that pass every bound become rows. The bitmaps are those of half the width:
-    enough to tell unrelated sets apart, and half the weight of these rows.
-    """
-    signed = rows.join(nodes.select("node", F.col("half").alias("bits")), "node")
-    members = rows.groupBy("tile").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        signed.join(members, "tile")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("tile", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
-                "node", "n", "pos", "component", "bits")
-    )
-
-    def compared(group: list[np.ndarray], bits: list[bytes]) -> Iterator[tuple[int, int]]:
-        low, high, own, node, n, pos, component = group
-        one, two = (np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0]))
-        i, j = np.repeat(one, len(two)), np.tile(two, len(one))
-        smaller = (n[i] < n[j]) | ((n[i] == n[j]) & (node[i] < node[j]))
-        i, j = np.where(smaller, i, j), np.where(smaller, j, i)
-        keep = (component[i] != component[j]) & (pos[i] == 0) & (100 * n[i] >= percent * n[j])
-        if low[0] == high[0]:
-            keep &= np.tile(two, len(one)) > np.repeat(one, len(two))
-        for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-            x, y = int(n[p]), int(n[q])
-            if _links(overlap_bound(x, bits[p], y, bits[q]), x, y, percent):
-                yield int(node[p]), int(node[q])
+def _links_within(clusters: DataFrame, arrays: DataFrame, percent: int, mixed: bool) -> DataFrame:
+    """Links (a, b) between members of a cluster, enough to join all of its components that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            columns = [table.column(k).to_numpy().astype(np.int64) for k in range(8)]
-            keys = np.stack(columns[:3])
-            cuts = [0, *(1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))).tolist(), keys.shape[1]]
-            bits = table.column(8).to_pylist()
-            found = [
-                pair
-                for a, b in zip(cuts, cuts[1:])
-                if b - a > 1
-                for pair in compared([c[a:b] for c in columns[1:]], bits[a:b])
-            ]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"]
-            )
+        for table in _groups(batches, 3):
+            rows_one, rows_two, one, two = _blocks_of(table)
+            lists = table.column(8).combine_chunks()
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            arrays_one = [values[offsets[k] : offsets[k + 1]] for k in rows_one]
+            arrays_two = arrays_one if one is two else [values[offsets[k] : offsets[k + 1]] for k in rows_two]
+            found = links_of(one, two, arrays_one, arrays_two, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]
+                )
+
+    dealt = _dealt(clusters.join(arrays, "node"), BLOCK_MEMBERS, BLOCK_SHINGLES, mixed)
+    return dealt.mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            same = (keys == keys[:, -1:]).all(axis=0)
-            whole = int(np.argmax(same))  # the last group may go on in the next batch
-            if whole:
-                yield flush(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None:
-            yield flush(held)
 
-    ordered = dealt.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+def _to_best(bounded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Clusters of nodes around the partner that each may overlap most with."""
+    best = bounded.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    best = pin(best)
+    led = best.select(F.col("b").alias("leader"), F.col("a").alias("node"), F.lit(False).alias("lead"))
+    leaders = best.select(F.col("b").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("lead")).distinct()
+    return led.unionByName(leaders).join(nodes, "node").select("leader", "lead", "node", "n", F.col("node").alias("component"), "bits")
+
+
+def _open_clusters(meetings: DataFrame, label: DataFrame) -> DataFrame:
+    """Clusters (leader, lead, node, n, component) of the tiles whose members lie in several components."""
+    rows = meetings.select("tile", "node", "n").join(label, "node", "left")
+    rows = pin(rows.select("tile", "node", "n", F.coalesce("component", "node").alias("component")))
+    each = rows.groupBy("tile", "component").agg(F.count("*").alias("members"))
+    top = each.groupBy("tile").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("components"))
+    leader = top.where("components > 1").select("tile", F.col("top.component").alias("leader"))
+    found = rows.join(leader, "tile").select("leader", "node", "n", "component").distinct()
+    return found.withColumn("lead", F.col("component") == F.col("leader"))
 
 
 def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -450,7 +551,7 @@ def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> D
     surveyed = pin(_survey(payloads, words))
     sets = surveyed.where("n IS NOT NULL")
     survey = sets.select("capture_id", "n", "node")
-    nodes = sets.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bits", "half")])
+    nodes = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     shared = _shared(surveyed)
 
     near = F.expr(f"100L * least(n, pivot_n) >= {percent}L * greatest(n, pivot_n)")
@@ -468,34 +569,23 @@ def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> D
         .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         .distinct()
     )
-    bounded = pin(_bounded(to_pivot, nodes, percent))
-    tried = pin(_best(bounded))
-    links = pin(_verified(tried, payloads, survey, words, percent))
-    label = components(links, most_rounds=2)
-
-    open_rows = meetings.select("tile", "node", "n", "pos", F.col("node").alias("component"))
-    for turn in range(ROUNDS):
-        open_rows = pin(_still_open(open_rows, label))
-        if open_rows.isEmpty():
-            break
-        bounded = _bounded(_to_leaders(open_rows, turn).where(near).select("a", "b").distinct(), nodes, percent)
-        candidates = pin(_best(bounded))
-        found = pin(_verified(candidates, payloads, survey, words, percent))
-        tried, links = tried.unionByName(candidates), links.unionByName(found)
-        if found.isEmpty():
-            break
-        label = components(links, most_rounds=2)
-    left_over = pin(_still_open(open_rows, label))
-    pairs = _within_tiles(left_over, nodes, percent)
-    known = tried.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    fresh = pairs.join(known, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
-    more = _verified(pin(_bounded(fresh, nodes, percent)), payloads, survey, words, percent)
-    final = components(links.unionByName(more))
+    first = pin(_to_best(_bounded(to_pivot, nodes, percent), nodes))
+    links = pin(_links_within(first, _arrays(payloads, first.select("node").distinct(), survey, words), percent, False))
+    label = components(links)
+
+    open_ = pin(_open_clusters(meetings, label).join(nodes.select("node", "bits"), "node"))
+    alive = pin(_may_link(open_, percent))
+    second = open_.join(alive, ["leader", "node"])
+    more = _links_within(second, _arrays(payloads, alive.select("node").distinct(), survey, words), percent, True)
+    final = components(links.unionByName(pin(more)))
 
     smallest = survey.where("n > 0").groupBy("node").agg(F.min("capture_id").alias("smallest"))
-    named = smallest.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # A component of very many nodes would be one key of the join with its head, so both are salted.
+    named = final.join(smallest, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     head = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    by_node = named.join(head, "component").select("node", "component_id")
+    head = head.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    by_node = named.join(head, ["component", "salt"]).select("node", "component_id")
+    by_node = smallest.join(by_node, "node", "left").select("node", F.coalesce("component_id", "smallest").alias("component_id"))
     return survey.join(by_node, "node", "left").select(
         "capture_id",
         F.col("n").alias("n_shingles"),

@@ -8,12 +8,13 @@ are hashed with array operations.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes hashed together; a longer text is hashed alone.
-CHUNK_BYTES = 1 << 21
+#: Bytes hashed together; a longer text is hashed in slices of about this length.
+CHUNK_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -30,11 +31,14 @@ def mix(values: np.ndarray) -> np.ndarray:
     return v
 
 
+_BLANK = re.compile(r"[\t-\r ]")
+
+
 class Shingler:
     def __init__(self, size: int = 5) -> None:
         self.size = size
         self.value_of_byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-        self._grow(CHUNK_BYTES + 1)
+        self.power = self.inverse = np.ones(1, np.uint64)
 
     def _grow(self, length: int) -> None:
         with np.errstate(over="ignore"):
@@ -43,19 +47,24 @@ class Shingler:
             steps[0, 1:], steps[1, 1:] = np.uint64(_BASE), inverse
             self.power, self.inverse = np.multiply.accumulate(steps, axis=1)
 
-    def _chunks(self, texts: list[str | None]) -> Iterator[list[list[bytes]]]:
-        """Words of texts, as many texts together as fit in CHUNK_BYTES."""
+    def _chunks(self, texts: list[str | None]) -> Iterator[list[list[bytes]] | str]:
+        """Words of texts, as many texts together as fit in CHUNK_BYTES; a longer text as it is."""
         chunk: list[list[bytes]] = []
         held = 0
         for text in texts:
-            words = (text or "").encode().lower().split()
+            long = len(text or "") > CHUNK_BYTES
+            words = [] if long else (text or "").encode().lower().split()
             length = sum(map(len, words)) + len(words)
-            if chunk and held + length > CHUNK_BYTES:
+            if chunk and (long or held + length > CHUNK_BYTES):
                 yield chunk
                 chunk, held = [], 0
+            if long:
+                yield text
+                continue
             chunk.append(words)
             held += length
-        yield chunk
+        if chunk:
+            yield chunk
 
     def _hashes(self, chunk: list[list[bytes]], size: int) -> np.ndarray:
         """The hash of the ``size`` words from each word on, over all texts of a chunk, cut at its end."""
@@ -71,11 +80,36 @@ class Shingler:
             last = np.minimum(np.arange(len(ends)) + size - 1, len(ends) - 1)
             return mix((sums[ends[last]] - sums[starts]) * self.inverse[starts])
 
+    def _long(self, text: str, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], list[bytes]]:
+        """Hashes of the n-grams of a long text for each size, slice by slice, and its last words.
+
+        A slice begins with the last words of the one before, as many as the longest n-gram needs.
+        """
+        found: list[list[np.ndarray]] = [[] for _ in sizes]
+        carried: list[bytes] = []
+        start = 0
+        while start < len(text):
+            blank = _BLANK.search(text, start + CHUNK_BYTES) if start + CHUNK_BYTES < len(text) else None
+            end = blank.end() if blank else len(text)
+            words = carried + text[start:end].encode().lower().split()
+            for k, out in zip(sizes, found, strict=True):
+                if len(words) >= k and len(words) > len(carried):
+                    out.append(self._hashes([words], k)[max(0, len(carried) - k + 1) : len(words) - k + 1])
+            carried = words[len(words) - max(sizes) + 1 :] if max(sizes) > 1 and len(words) >= max(sizes) else words[: max(sizes) - 1]
+            start = end
+        return [np.concatenate(out) if out else np.zeros(0, np.uint64) for out in found], carried
+
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of every text; of no words, an empty array."""
         none = np.zeros(0, dtype=np.uint64)
         out: list[np.ndarray] = []
         for chunk in self._chunks(texts):
+            if isinstance(chunk, str):
+                (hashes,), words = self._long(chunk, (self.size,))
+                if not len(hashes) and words:
+                    hashes = self._hashes([words], len(words))[:1]
+                out.append(np.unique(hashes))
+                continue
             if not any(chunk):
                 out += [none] * len(chunk)
                 continue
@@ -95,6 +129,9 @@ class Shingler:
         """The hashes of the n-grams of every text in their order, one array for each n of ``sizes``."""
         out: list[tuple[np.ndarray, ...]] = []
         for chunk in self._chunks(texts):
+            if isinstance(chunk, str):
+                out.append(tuple(self._long(chunk, sizes)[0]))
+                continue
             whole = [self._hashes(chunk, k) if any(chunk) else np.zeros(0, np.uint64) for k in sizes]
             first = 0
             for words in chunk:
