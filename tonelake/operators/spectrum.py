@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tonelake.functions.scalars import TWO_PI, cpow, power
+from tonelake.operators import framesums, stats
 from tonelake.operators.symbols import array_median
 from tonelake.sources.series import to_blocks, with_lookahead
 
@@ -32,8 +33,6 @@ MEDIAN_BINS = 31
 ENVELOPE_SIGMAS = 8.0
 ENVELOPE_MIN_FRACTION = 0.002
 CYCLE_NFFT = 2048
-#: Frames whose cross products a task adds up before they are shuffled.
-CYCLE_CHUNK = 256
 CYCLE_MIN_BIN = 4
 CYCLE_MIN_PEAK = 1.4
 CYCLE_SIGMAS = 10.0
@@ -120,6 +119,18 @@ def psd(samples: DataFrame, sample_rate: float, nfft: int = PSD_NFFT) -> DataFra
     return spectra(head_frames(samples, nfft), sample_rate)
 
 
+def averaged_psd(
+    blocks: DataFrame, sizes: DataFrame, sample_rate: float, nfft: int, block_len: int, least_nfft: int = 16
+) -> DataFrame:
+    """Spectrum of every capture averaged over all of its half-overlapping frames.
+
+    The frame size is ``nfft`` halved until two frames fit, so a signal counts wherever it lies;
+    captures shorter than one and a half of ``least_nfft`` have none.
+    """
+    plan = framesums.frame_plan(sizes, nfft, least_nfft)
+    return framesums.averaged_spectrum(blocks, plan, block_len, nfft, sample_rate, PSD_FLOOR)
+
+
 def spectrum_measures(spectrum: DataFrame, threshold_db: float = BANDWIDTH_DB) -> DataFrame:
     """Peak frequency, SNR and occupied bandwidth; a spectrum is bounded by the FFT size.
 
@@ -202,6 +213,28 @@ def squared_line_rate(samples: DataFrame, sample_rate: float, nfft: int = SQUARE
     )
 
 
+def squared_line_rate_averaged(
+    blocks: DataFrame, sizes: DataFrame, sample_rate: float, nfft: int, block_len: int, least_nfft: int = 16
+) -> DataFrame:
+    """The rate of ``squared_line_rate`` from spectra averaged over all frames, and by how much it clears the floor."""
+    means = blocks.groupBy("capture_id").agg(framesums.mean_power(blocks).alias("mean"))
+    plan = framesums.frame_plan(sizes, nfft, least_nfft).join(means, "capture_id")
+    p = framesums.averaged_power(blocks, plan, block_len, nfft, envelope=True)
+    freq = (F.col("bin") - F.floor(F.col("nfft") / 2)) * sample_rate / F.col("nfft")
+    levels = p.select("capture_id", "bin", freq.alias("freq_hz"), (10.0 * F.log10(F.col("p") + PSD_FLOOR)).alias("power_db"))
+    lines = levels.where(F.col("freq_hz") > 0.01 * sample_rate).groupBy("capture_id").agg(
+        F.max("power_db").alias("peak"),
+        F.max_by("freq_hz", F.struct("power_db", -F.col("bin"))).alias("freq"),
+        F.median("power_db").alias("floor"),
+    )
+    margin = F.col("peak") - F.col("floor")
+    return sizes.select("capture_id").join(lines, "capture_id", "left").select(
+        "capture_id",
+        F.coalesce(F.when(margin >= SQUARED_LINE_DB, F.col("freq")), F.lit(0.0)).alias("symbol_rate_hz"),
+        F.coalesce(margin, F.lit(0.0)).alias("margin_db"),
+    )
+
+
 def running_median(spectrum: DataFrame, value: str, order: str, bins: int = MEDIAN_BINS) -> DataFrame:
     """Median over ``bins`` neighbours, the edge value repeated beyond the ends.
 
@@ -244,41 +277,42 @@ def refined(left: Column, mid: Column, right: Column) -> Column:
     return F.coalesce(F.when(usable & (F.abs(shift) <= 1.0), shift), F.lit(0.0))
 
 
-def welch_envelope(blocks: DataFrame, means: DataFrame, nfft: int, block_len: int) -> DataFrame:
-    """(capture_id, bin, p): averaged spectrum of the mean-removed squared envelope.
+def welch_envelope(
+    blocks: DataFrame, means: DataFrame, nfft: int, block_len: int, max_frames: int | None = None, plan: DataFrame | None = None
+) -> DataFrame:
+    """(capture_id, bin, p[, nfft]): averaged spectrum of the mean-removed squared envelope.
 
-    All frames of a capture enter; their spectra are summed per bin with partial aggregation.
+    All frames of a capture enter unless ``max_frames`` thins them evenly. ``plan`` gives every
+    capture its own frame size (then ``nfft`` is the largest) and adds it to the rows.
     """
-    step = max(1, nfft // 2)
-    centred = blocks.join(means, "capture_id").select(
-        "capture_id",
-        "block_no",
-        "start_n",
-        F.zip_with("i", "q", lambda i, q: i * i + q * q - F.col("mean")).alias("i"),
-        F.transform("q", lambda q: q * 0.0).alias("q"),
-    )
-    kept = frames(centred, nfft, step, block_len)
-    norm = nfft * float(np.mean(hann(nfft) ** 2))
-    return (
-        kept.select("capture_id", F.posexplode(windowed_power("i", "q")).alias("at", "p"))
-        .groupBy("capture_id", (F.col("at") - nfft // 2).alias("bin"))
-        .agg((F.avg("p") / norm).alias("p"))
-    )
+    sized = framesums.fixed_plan(stats.sizes(blocks), nfft) if plan is None else plan
+    p = framesums.averaged_power(blocks, sized.join(means, "capture_id"), block_len, nfft, envelope=True, max_frames=max_frames)
+    # n times the mean square of the symmetric Hann window is 3 (n - 1) / 8.
+    norm = 3.0 * (F.col("nfft") - 1) / 8.0
+    kept = ["capture_id", (F.col("bin") - F.floor(F.col("nfft") / 2)).cast("int").alias("bin"), (F.col("p") / norm).alias("p")]
+    return p.select(*kept, *([] if plan is None else ["nfft"]))
 
 
 def envelope_line_rate(
-    blocks: DataFrame, sizes: DataFrame, sample_rate: float, nfft: int, block_len: int, max_rate_hz: float | None = None
+    blocks: DataFrame,
+    sizes: DataFrame,
+    sample_rate: float,
+    nfft: int,
+    block_len: int,
+    max_rate_hz: float | None = None,
+    max_frames: int | None = None,
+    least_nfft: int | None = None,
 ) -> DataFrame:
-    """Symbol rate from the averaged squared envelope against its local background."""
-    means = blocks.groupBy("capture_id").agg(
-        (
-            F.sum(F.aggregate(F.zip_with("i", "q", lambda i, q: i * i + q * q), F.lit(0.0), lambda a, x: a + x))
-            / F.sum(F.size("i"))
-        ).alias("mean")
-    )
-    width = sample_rate / nfft
-    band = welch_envelope(blocks, means, nfft, block_len).where(
-        (F.col("bin") * width > ENVELOPE_MIN_FRACTION * sample_rate)
+    """Symbol rate from the averaged squared envelope against its local background.
+
+    With ``least_nfft`` the frames of a capture shrink from ``nfft`` to that size until two fit,
+    and ``reason`` tells apart captures too short, spectra of too few bins, and no line.
+    """
+    means = blocks.groupBy("capture_id").agg(framesums.mean_power(blocks).alias("mean"))
+    plan = framesums.frame_plan(sizes, nfft, least_nfft) if least_nfft else framesums.fixed_plan(sizes, nfft)
+    width = sample_rate / F.col("nfft")
+    band = welch_envelope(blocks, means, nfft, block_len, max_frames, plan).where(
+        F.col("bin") * width > ENVELOPE_MIN_FRACTION * sample_rate
     )
     lifted = running_median(band, "p", "bin").withColumn("rest", F.col("p") - F.col("background"))
     mids = lifted.groupBy("capture_id").agg(F.median("rest").alias("mid"), F.count("*").alias("bins"))
@@ -297,103 +331,49 @@ def envelope_line_rate(
         F.first("mad").alias("mad"),
         F.first("bins").alias("bins"),
         F.count("*").alias("searched"),
+        F.first("nfft").alias("nfft"),
     )
     sigma = MAD_SIGMA * F.col("mad")
     prominence = F.try_divide(F.col("k.rest") - F.col("mid"), sigma)
     usable = (F.col("bins") >= 8) & (F.col("mad") > 0) & (F.col("searched") >= 4)
     found = usable & (prominence >= ENVELOPE_SIGMAS)
     rate = (F.col("k.bin") + refined(F.col("k.left"), F.col("k.lift"), F.col("k.right"))) * width
+    reason = (
+        F.when(F.col("bins").isNull(), F.lit("too short"))
+        .when(~usable, F.lit("few bins"))
+        .when(~found, F.lit("no line"))
+        .otherwise(F.lit("line"))
+    )
     return sizes.select("capture_id").join(peak, "capture_id", "left").select(
         "capture_id",
         F.coalesce(F.when(found, rate), F.lit(0.0)).alias("symbol_rate_hz"),
         F.coalesce(F.when(usable, prominence), F.lit(0.0)).alias("prominence"),
         F.coalesce(found, F.lit(False)).alias("found"),
+        *([reason.alias("reason")] if least_nfft else []),
     )
 
 
 # -- cyclic coherence ---------------------------------------------------------
 
-_PROFILE = T.StructType(
-    [T.StructField("spec_re", _DOUBLES), T.StructField("spec_im", _DOUBLES)]
-)
-
-
-@pandas_udf(_PROFILE)
-def _spectrum_pair(i: pd.Series, q: pd.Series) -> pd.DataFrame:
-    re, im = [], []
-    for x in _complex(i, q):
-        w = hann(x.size)
-        s = np.fft.fft(x * w) / (math.sqrt(x.size) * math.sqrt(float(np.mean(w**2))))
-        re.append(s.real.tolist())
-        im.append(s.imag.tolist())
-    return pd.DataFrame({"spec_re": re, "spec_im": im})
-
-
 def coherence_profile(
-    blocks: DataFrame, sizes: DataFrame, sample_rate: float, nfft: int, block_len: int, max_alpha_hz: float | None = None
+    blocks: DataFrame,
+    sizes: DataFrame,
+    sample_rate: float,
+    nfft: int,
+    block_len: int,
+    max_alpha_hz: float | None = None,
+    max_frames: int | None = None,
+    least_nfft: int | None = None,
 ) -> DataFrame:
     """(capture_id, d, alpha_hz, coherence): power-weighted cyclic coherence per bin shift.
 
-    All frames of a capture enter. Cross products are added up over chunks of frames, then
-    per shift and bin, so neither a long capture nor a shift is gathered in one place.
+    All frames of a capture enter unless ``max_frames`` thins them evenly. With ``least_nfft``
+    the frames of a capture shrink from ``nfft`` to that size until two fit.
     """
-    step = max(1, nfft // 2)
-    alpha_max = max_alpha_hz or CYCLE_MAX_FRACTION * sample_rate
-    top = max(1, min(int(alpha_max * nfft / (2.0 * sample_rate)), nfft // 2 - 1))
-    low = CYCLE_MIN_BIN
-    spectra_ = (
-        frames(blocks, nfft, step, block_len)
-        .select("capture_id", "frame_no", _spectrum_pair("i", "q").alias("s"))
-        .select("capture_id", F.floor(F.col("frame_no") / CYCLE_CHUNK).alias("chunk"), "s.spec_re", "s.spec_im")
-    )
-    id_type = blocks.schema["capture_id"].dataType.simpleString()
-
-    def products(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["spec_re"].to_numpy()) + 1j * np.stack(rows["spec_im"].to_numpy())
-        # Row d = 0 holds the power of every bin.
-        shifts = np.concatenate([[0], np.arange(low, top)])
-        sums = [np.sum(np.roll(x, -d, axis=1) * np.conj(np.roll(x, d, axis=1)), axis=0) for d in shifts]
-        return pd.DataFrame(
-            {
-                "capture_id": [key[0]] * shifts.size,
-                "d": shifts,
-                "num": [x.shape[0]] * shifts.size,
-                "re": [s.real.tolist() for s in sums],
-                "im": [s.imag.tolist() for s in sums],
-            }
-        )
-
-    summed = (
-        spectra_.groupBy("capture_id", "chunk")
-        .applyInPandas(products, f"capture_id {id_type}, d long, num long, re array<double>, im array<double>")
-        .select("capture_id", "d", "num", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "c"))
-        .groupBy("capture_id", "d", "bin")
-        .agg(F.sum("c.re").alias("re"), F.sum("c.im").alias("im"), F.sum("num").alias("num"))
-    )
-    powers = (
-        summed.where("d = 0")
-        .groupBy("capture_id")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "re"))), lambda c: c["re"]).alias("power"))
-    )
-    at = summed.where("d > 0").join(powers, "capture_id")
-    size, num = F.lit(nfft), F.col("num")
-    ahead = F.get("power", F.pmod(F.col("bin") + F.col("d"), size).cast("int"))
-    behind = F.get("power", F.pmod(F.col("bin") - F.col("d"), size).cast("int"))
-    measured = at.select(
-        "capture_id", "d", "num", (F.sqrt(ahead / num) * F.sqrt(behind / num)).alias("root"), (power(F.col("re"), F.col("im")) / (num * num)).alias("cross")
-    )
-    folded = measured.groupBy("capture_id", "d").agg(
-        F.first("num").alias("num"),
-        F.sum("root").alias("total"),
-        F.sum(F.when(F.col("root") > 0, F.col("cross") / F.col("root"))).alias("share"),
-    )
-    usable = (F.col("num") >= 2) & (F.col("total") > 0)
-    return folded.select(
-        "capture_id",
-        "d",
-        (2.0 * F.col("d") * sample_rate / nfft).alias("alpha_hz"),
-        F.when(usable, num * F.col("share") / F.col("total")).otherwise(F.lit(0.0)).alias("coherence"),
-    )
+    plan = framesums.frame_plan(sizes, nfft, least_nfft) if least_nfft else framesums.fixed_plan(sizes, nfft)
+    fraction = max_alpha_hz / sample_rate if max_alpha_hz else CYCLE_MAX_FRACTION
+    profile = framesums.cyclic_coherence(blocks, plan, block_len, nfft, fraction, CYCLE_MIN_BIN, max_frames)
+    return profile.select("capture_id", "d", (2.0 * F.col("d") * sample_rate / F.col("nfft")).alias("alpha_hz"), "coherence")
 
 
 def cycle_rate(profile: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -84,6 +84,65 @@ def a14(inp: Inputs):
     return rounded(measures.select("capture_id", "bandwidth_hz"))
 
 
+# Captures of two lengths: vectors by themselves (32 samples) and the vectors of a label in a row.
+_MIXED = [
+    "MX AS (SELECT 'v' || capture_id AS capture_id, n, i, q FROM E UNION ALL SELECT 'l' || capture_id, n, i, q FROM E10)",
+]
+
+
+def _sized_dft(view: str, largest: int, least: int) -> list[str]:
+    """``sp``: spectrum averaged over all frames, the frame size halved until two half-overlapping frames fit."""
+    sizes, size = [], largest
+    while size >= least:
+        sizes.append(f"WHEN num >= {size + size // 2} THEN {size}")
+        size //= 2
+    return [
+        f"pl AS (SELECT capture_id, num, CASE {' '.join(sizes)} END AS m FROM (SELECT capture_id, count(*) AS num FROM {view} GROUP BY 1) WHERE num >= {least + least // 2})",
+        f"""fw AS (SELECT capture_id, f, m, n - f*(m//2) AS k, i*{hann_sql('n - f*(m//2)', 'm')} AS i, q*{hann_sql('n - f*(m//2)', 'm')} AS q
+   FROM (SELECT capture_id, num, m, n, i, q, unnest(range(greatest(0, ceil((n-m+1)/(m//2)::DOUBLE)::BIGINT), n//(m//2) + 1)) AS f FROM {view} JOIN pl USING (capture_id)) WHERE f*(m//2) + m <= num)""",
+        f"fs AS (SELECT capture_id, f, b, any_value(m) AS m, sum(i*cos(a)-q*sin(a)) AS re, sum(i*sin(a)+q*cos(a)) AS im FROM (SELECT *, -2*pi()*((b-m//2)*k % m)/m AS a FROM fw, range({largest}) t(b) WHERE b < m) GROUP BY 1, 2, 3)",
+        f"sp AS (SELECT capture_id, b AS bin, (b-any_value(m)//2)*{RATE}/any_value(m) AS freq_hz, 10*log10(avg(re*re+im*im)+1e-12) AS power_db FROM fs GROUP BY 1, 2)",
+    ]
+
+
+def _mixed_blocks(inp: Inputs):
+    short, long = inp.vector_blocks(), inp.label_blocks()
+    return short.withColumn("capture_id", F.concat(F.lit("v"), F.col("capture_id").cast("string"))).unionByName(
+        long.withColumn("capture_id", F.concat(F.lit("l"), F.col("capture_id").cast("string")))
+    )
+
+
+@query(
+    "A13_averaged_spectrum",
+    sql(
+        "E E10", *_MIXED, *_sized_dft("MX", 128, 16), *measure_steps(),
+        f"SELECT capture_id, {r('center_hz', 6, 'center_hz')}, {r('snr_db', 5, 'snr_db')}, {r('bandwidth_hz', 6, 'bandwidth_hz')} FROM ms",
+    ),
+)
+def a13_averaged(inp: Inputs):
+    blocks = _mixed_blocks(inp)
+    averaged = spectrum.averaged_psd(blocks, stats.sizes(blocks), RATE, 128, VECTOR_SAMPLES)
+    return rounded(spectrum.spectrum_measures(averaged), 5, center_hz=6, bandwidth_hz=6)
+
+
+@query(
+    "A18_squared_line_all_frames",
+    sql(
+        "V",
+        "mn AS (SELECT capture_id, avg(i*i+q*q) AS mu FROM V GROUP BY 1)",
+        "SQ AS (SELECT capture_id, n, i*i+q*q-mu AS i, 0.0 AS q FROM V JOIN mn USING (capture_id))",
+        *_sized_dft("SQ", 128, 16),
+        f"ps AS (SELECT * FROM sp WHERE freq_hz > 0.01*{RATE})",
+        "tp AS (SELECT capture_id, max(power_db) AS top, median(power_db) AS flo FROM ps GROUP BY 1)",
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY power_db DESC, bin) AS rk FROM ps)",
+        f"SELECT capture_id, {r('CASE WHEN top >= flo+6 THEN freq_hz ELSE 0 END', 6, 'symbol_rate_hz')}, {r('top-flo', 5, 'margin_db')} FROM rk JOIN tp USING (capture_id) WHERE rk = 1",
+    ),
+)
+def a18_all(inp: Inputs):
+    blocks = inp.event_blocks()
+    return rounded(spectrum.squared_line_rate_averaged(blocks, stats.sizes(blocks), RATE, 128, EVENT_BLOCK), 5, symbol_rate_hz=6)
+
+
 @query(
     "W4_frames",
     sql(
@@ -151,37 +210,59 @@ def a18(inp: Inputs):
     return rounded(spectrum.squared_line_rate(inp.event_samples(), RATE, 512))
 
 
-_WELCH = [
-    "mn AS (SELECT capture_id, avg(i*i+q*q) AS mu FROM E10 GROUP BY 1)",
-    "SQ AS (SELECT capture_id, n, i*i+q*q-mu AS i, 0.0 AS q FROM E10 JOIN mn USING (capture_id))",
-    *frame_dft("SQ", 128, 64),
+#: Frames that the five older line queries average at most: their statements thin longer captures evenly.
+LINE_FRAMES = 64
+_THIN = [
     "fc AS (SELECT capture_id, max(frame_no)+1 AS nf FROM fr GROUP BY 1)",
     "kp AS (SELECT DISTINCT capture_id, CASE WHEN nf <= 64 THEN k WHEN k = 63 THEN nf-1 ELSE floor(k*((nf-1)/63.0))::BIGINT END AS frame_no FROM fc, range(64) t(k) WHERE nf > 64 OR k < nf)",
-    f"wn AS (SELECT sum(power({hann_sql('n', '128')}, 2)) AS e FROM range(128) t(n))",
-    f"wb AS (SELECT capture_id, bin-64 AS bin, avg(p)/any_value(e) AS p FROM fr JOIN kp USING (capture_id, frame_no), wn WHERE (bin-64)*{RATE}/128 > 0.002*{RATE} GROUP BY 1, 2)",
 ]
+_ALL = ["kp AS (SELECT DISTINCT capture_id, frame_no FROM fr)"]
+
+
+def _welch(kept: list[str]) -> list[str]:
+    return [
+        "mn AS (SELECT capture_id, avg(i*i+q*q) AS mu FROM E10 GROUP BY 1)",
+        "SQ AS (SELECT capture_id, n, i*i+q*q-mu AS i, 0.0 AS q FROM E10 JOIN mn USING (capture_id))",
+        *frame_dft("SQ", 128, 64),
+        *kept,
+        f"wn AS (SELECT sum(power({hann_sql('n', '128')}, 2)) AS e FROM range(128) t(n))",
+        f"wb AS (SELECT capture_id, bin-64 AS bin, avg(p)/any_value(e) AS p FROM fr JOIN kp USING (capture_id, frame_no), wn WHERE (bin-64)*{RATE}/128 > 0.002*{RATE} GROUP BY 1, 2)",
+    ]
+
+
 _MEDIAN = [
     "bl AS (SELECT a.capture_id, a.bin, a.p, median(b.p) AS background FROM wb a, range(-15, 16) t(d), wb b WHERE b.capture_id = a.capture_id AND b.bin = least(63, greatest(1, a.bin + d)) GROUP BY 1, 2, 3)",
 ]
 
 
-@query(
-    "W3_running_median",
-    sql("E10", *_WELCH, *_MEDIAN, f"SELECT capture_id, bin::BIGINT AS bin, {r('p*1000', 6, 'p')}, {r('background*1000', 6, 'background')} FROM bl"),
-)
-def w3(inp: Inputs):
-    blocks = inp.label_blocks()
+def _median_sql(kept: list[str]) -> str:
+    return sql("E10", *_welch(kept), *_MEDIAN, f"SELECT capture_id, bin::BIGINT AS bin, {r('p*1000', 6, 'p')}, {r('background*1000', 6, 'background')} FROM bl")
+
+
+def _band(inp: Inputs, max_frames: int | None):
     p = F.col("i") * F.col("i") + F.col("q") * F.col("q")
     means = inp.label_samples().groupBy("capture_id").agg(F.avg(p).alias("mean"))
-    band = spectrum.welch_envelope(blocks, means, 128, VECTOR_SAMPLES).where(F.col("bin") > 0)
-    median = spectrum.running_median(band, "p", "bin")
+    return spectrum.welch_envelope(inp.label_blocks(), means, 128, VECTOR_SAMPLES, max_frames).where(F.col("bin") > 0)
+
+
+def _running_median(inp: Inputs, max_frames: int | None = None):
+    median = spectrum.running_median(_band(inp, max_frames), "p", "bin")
     return rounded(
         median.select("capture_id", F.col("bin").cast("long").alias("bin"), (F.col("p") * 1000).alias("p"), (F.col("background") * 1000).alias("background"))
     )
 
 
-_LINE = [
-    *_WELCH,
+@query("W3_running_median", _median_sql(_THIN))
+def w3(inp: Inputs):
+    return _running_median(inp, LINE_FRAMES)
+
+
+@query("W3_running_median_all_frames", _median_sql(_ALL))
+def w3_all(inp: Inputs):
+    return _running_median(inp)
+
+
+_PEAK = [
     *_MEDIAN,
     "re AS (SELECT *, p-background AS rest, median(p-background) OVER (PARTITION BY capture_id) AS mid FROM bl)",
     "md AS (SELECT *, median(abs(rest-mid)) OVER (PARTITION BY capture_id) AS mad, greatest(rest-mid, 0) AS lift FROM re)",
@@ -192,29 +273,34 @@ _LINE = [
 ]
 
 
-@query(
-    "A19_envelope_line_rate",
-    sql("E10", *_LINE, f"SELECT capture_id, {r(f'CASE WHEN prom >= 8 THEN (bin+shift)*{RATE}/128 ELSE 0 END', 4, 'symbol_rate_hz')}, {r('prom', 5, 'prominence')}, prom >= 8 AS found FROM sh"),
-)
-def a19(inp: Inputs):
+def _line_sql(kept: list[str]) -> str:
+    return sql("E10", *_welch(kept), *_PEAK, f"SELECT capture_id, {r(f'CASE WHEN prom >= 8 THEN (bin+shift)*{RATE}/128 ELSE 0 END', 4, 'symbol_rate_hz')}, {r('prom', 5, 'prominence')}, prom >= 8 AS found FROM sh")
+
+
+def _line_rate(inp: Inputs, max_frames: int | None = None):
     blocks = inp.label_blocks()
-    return rounded(
-        spectrum.envelope_line_rate(blocks, stats.sizes(blocks), RATE, 128, VECTOR_SAMPLES), 5, symbol_rate_hz=4
-    )
+    line = spectrum.envelope_line_rate(blocks, stats.sizes(blocks), RATE, 128, VECTOR_SAMPLES, max_frames=max_frames)
+    return rounded(line, 5, symbol_rate_hz=4)
 
 
-@query(
-    "W5_peak_refinement",
-    sql("E10", *_LINE, f"SELECT capture_id, bin::BIGINT AS bin, {r('shift', 5, 'shift')} FROM sh"),
-)
-def w5(inp: Inputs):
+@query("A19_envelope_line_rate", _line_sql(_THIN))
+def a19(inp: Inputs):
+    return _line_rate(inp, LINE_FRAMES)
+
+
+@query("A19_envelope_line_rate_all_frames", _line_sql(_ALL))
+def a19_all(inp: Inputs):
+    return _line_rate(inp)
+
+
+def _refined_sql(kept: list[str]) -> str:
+    return sql("E10", *_welch(kept), *_PEAK, f"SELECT capture_id, bin::BIGINT AS bin, {r('shift', 5, 'shift')} FROM sh")
+
+
+def _refined_peak(inp: Inputs, max_frames: int | None = None):
     from pyspark.sql import Window
 
-    blocks = inp.label_blocks()
-    p = F.col("i") * F.col("i") + F.col("q") * F.col("q")
-    means = inp.label_samples().groupBy("capture_id").agg(F.avg(p).alias("mean"))
-    band = spectrum.welch_envelope(blocks, means, 128, VECTOR_SAMPLES).where(F.col("bin") > 0)
-    lifted = spectrum.running_median(band, "p", "bin").withColumn("rest", F.col("p") - F.col("background"))
+    lifted = spectrum.running_median(_band(inp, max_frames), "p", "bin").withColumn("rest", F.col("p") - F.col("background"))
     mids = lifted.groupBy("capture_id").agg(F.median("rest").alias("mid"))
     order = Window.partitionBy("capture_id").orderBy("bin")
     lift = lifted.join(mids, "capture_id").withColumn("lift", F.greatest(F.col("rest") - F.col("mid"), F.lit(0.0)))
@@ -232,11 +318,18 @@ def w5(inp: Inputs):
     )
 
 
+@query("W5_peak_refinement", _refined_sql(_THIN))
+def w5(inp: Inputs):
+    return _refined_peak(inp, LINE_FRAMES)
+
+
+@query("W5_peak_refinement_all_frames", _refined_sql(_ALL))
+def w5_all(inp: Inputs):
+    return _refined_peak(inp)
+
+
 # Circular shift by d: a(f) = X(f + d), b(f) = X(f - d); the sums run over kept frames.
 _CYCLE = [
-    *frame_dft("E10", 128, 64),
-    "fc AS (SELECT capture_id, max(frame_no)+1 AS nf FROM fr GROUP BY 1)",
-    "kp AS (SELECT DISTINCT capture_id, CASE WHEN nf <= 64 THEN k WHEN k = 63 THEN nf-1 ELSE floor(k*((nf-1)/63.0))::BIGINT END AS frame_no FROM fc, range(64) t(k) WHERE nf > 64 OR k < nf)",
     f"wn AS (SELECT sqrt(sum(power({hann_sql('n', '128')}, 2))) AS e FROM range(128) t(n))",
     "xs AS (SELECT capture_id, frame_no, (bin+64) % 128 AS f, re/e AS re, im/e AS im FROM fr JOIN kp USING (capture_id, frame_no), wn)",
     "pw AS (SELECT capture_id, f, avg(re*re+im*im) AS p, count(*) AS k FROM xs GROUP BY 1, 2)",
@@ -247,16 +340,22 @@ _CYCLE = [
 ]
 
 
-def _profile(inp: Inputs):
+def _profile(inp: Inputs, max_frames: int | None = None):
     blocks = inp.label_blocks()
-    return spectrum.coherence_profile(blocks, stats.sizes(blocks), RATE, 128, VECTOR_SAMPLES)
+    return spectrum.coherence_profile(blocks, stats.sizes(blocks), RATE, 128, VECTOR_SAMPLES, max_frames=max_frames)
 
 
-@query(
-    "A20_coherence_profile",
-    sql("E10", *_CYCLE, f"SELECT capture_id, d::BIGINT AS d, {r(f'2.0*d*{RATE}/128', 6, 'alpha_hz')}, {r('coherence', 6, 'coherence')} FROM pf"),
-)
+def _profile_sql(kept: list[str]) -> str:
+    return sql("E10", *frame_dft("E10", 128, 64), *kept, *_CYCLE, f"SELECT capture_id, d::BIGINT AS d, {r(f'2.0*d*{RATE}/128', 6, 'alpha_hz')}, {r('coherence', 6, 'coherence')} FROM pf")
+
+
+@query("A20_coherence_profile", _profile_sql(_THIN))
 def a20(inp: Inputs):
+    return rounded(_profile(inp, LINE_FRAMES))
+
+
+@query("A20_coherence_profile_all_frames", _profile_sql(_ALL))
+def a20_all(inp: Inputs):
     return rounded(_profile(inp))
 
 
@@ -271,19 +370,31 @@ _CYCLE_PICK = [
 ]
 
 
-@query(
-    "A21_cycle_rate",
-    sql(
+def _cycle_sql(kept: list[str]) -> str:
+    return sql(
         "E10",
+        *frame_dft("E10", 128, 64),
+        *kept,
         *_CYCLE_PICK,
         f"SELECT capture_id, {r('CASE WHEN sigma > 0 AND c >= 1.4 AND prom >= 10 THEN coalesce(sub, rate) ELSE 0 END', 4, 'symbol_rate_hz')}, {r('c', 6, 'coherence')}, sigma > 0 AND c >= 1.4 AND prom >= 10 AS found FROM pk LEFT JOIN sb USING (capture_id)",
-    ),
-)
-def a21(inp: Inputs):
-    picked = spectrum.cycle_rate(_profile(inp), stats.sizes(inp.label_blocks()))
+    )
+
+
+def _picked(inp: Inputs, max_frames: int | None = None):
+    picked = spectrum.cycle_rate(_profile(inp, max_frames), stats.sizes(inp.label_blocks()))
     return rounded(picked.drop("reason"), 6, symbol_rate_hz=4)
 
 
+@query("A21_cycle_rate", _cycle_sql(_THIN))
+def a21(inp: Inputs):
+    return _picked(inp, LINE_FRAMES)
+
+
+@query("A21_cycle_rate_all_frames", _cycle_sql(_ALL))
+def a21_all(inp: Inputs):
+    return _picked(inp)
+
+
 @query(
     "A33_carrier_line",
     sql(
