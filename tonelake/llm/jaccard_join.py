@@ -55,6 +55,8 @@ BLOCK_SHINGLES = 1 << 19
 BITS_EACH, MOST_BITS = 8, 1 << 26
 #: Parts that the members of a component are dealt to when its smallest id is sent to them.
 SALTS = 16
+#: Texts whose sets a task makes together.
+PORTION = 256
 #: Members compared at once with a block.
 STRIP = 128
 
@@ -90,6 +92,12 @@ def _links(overlap, n, m, percent: int):
     return overlap * (100 + percent) >= percent * (n + m)
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of texts in portions; sets are many times heavier than their rows."""
+    for k in range(0, batch.num_rows, PORTION):
+        yield batch.slice(k, PORTION)
+
+
 def _texts(payloads: DataFrame) -> DataFrame:
     return payloads.select("capture_id", "message_utf8")
 
@@ -104,33 +112,37 @@ def _survey(payloads: DataFrame, words: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def counts(kind: pa.DataType) -> pa.RecordBatch:
-            values, hits = np.unique(np.concatenate(held), return_counts=True)
+            together = np.concatenate(held)
+            held.clear()
+            together.sort()
+            starts = np.flatnonzero(np.concatenate([[True], together[1:] != together[:-1]]))
+            hits = np.diff(np.append(starts, len(together)))
             often = hits >= COUNT_LEAST
-            values, hits = values[often].view(np.int64), hits[often]
+            values, hits = together[starts[often]].view(np.int64), hits[often]
             void = [pa.nulls(len(values), t) for t in (kind, pa.int64(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*void, pa.array(values), pa.array(hits)], names)
 
         names = ["capture_id", "n", "node", "bits", "shingle", "hits"]
         kind, occurrences = None, 0
-        for batch in batches:
-            kind = batch.column(0).type
-            sets = shingler.sets(batch.column(1).to_pylist())
-            void = [pa.nulls(len(sets), pa.int64())] * 2
-            columns = [
-                batch.column(0),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([set_hash(s) for s in sets], pa.int64()),
-                pa.array([bitmap(s) for s in sets], pa.binary()),
-                *void,
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
-            for s in sets:
-                held.append(s)
-                occurrences += len(s)
-                if occurrences >= COUNT_BUFFER:
-                    yield counts(kind)
-                    held.clear()
-                    occurrences = 0
+        for whole in batches:
+            kind = whole.column(0).type
+            for batch in _portions(whole):
+                sets = shingler.sets(batch.column(1).to_pylist())
+                void = [pa.nulls(len(sets), pa.int64())] * 2
+                columns = [
+                    batch.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([set_hash(s) for s in sets], pa.int64()),
+                    pa.array([bitmap(s) for s in sets], pa.binary()),
+                    *void,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                for s in sets:
+                    held.append(s)
+                    occurrences += len(s)
+                    if occurrences >= COUNT_BUFFER:
+                        yield counts(kind)
+                        occurrences = 0
         if held:
             yield counts(kind)
 
@@ -172,7 +184,7 @@ def _tiles(payloads: DataFrame, words: int, percent: int, shared: tuple[np.ndarr
         order = np.argsort(values.view(np.uint64))
         by_value, rank, often = values.view(np.uint64)[order], order, hits[order]
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (portion for whole in batches for portion in _portions(whole)):
             nodes, sizes, lengths, keys, smaller, salts = [], [], [], [], [], []
             for s in shingler.sets(batch.column(0).to_pylist()):
                 n = len(s)
@@ -320,8 +332,8 @@ def _arrays(payloads: DataFrame, wanted: DataFrame, survey: DataFrame, words: in
         for batch in batches:
             bit = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = np.flatnonzero(table[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1))
-            for k in range(0, len(hit), 256):  # arrays are many times heavier than their texts' rows
-                sets = [s for s in shingler.sets(batch.column(0).take(pa.array(hit[k : k + 256])).to_pylist()) if len(s)]
+            for k in range(0, len(hit), PORTION):
+                sets = [s for s in shingler.sets(batch.column(0).take(pa.array(hit[k : k + PORTION])).to_pylist()) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([set_hash(s) for s in sets], pa.int64()),
