@@ -31,6 +31,11 @@ def envelope(samples: DataFrame, window: int = ENVELOPE_WINDOW) -> DataFrame:
         .where(F.col("members") == window)
         .drop("members")
     )
+    return floored(blocks)
+
+
+def floored(blocks: DataFrame) -> DataFrame:
+    """Mean powers ``(capture_id, block, p)`` of envelope windows in dB, with the range of their capture."""
     spans = (
         blocks.groupBy("capture_id")
         .agg(F.max("p").alias("peak"), F.min("p").alias("least"))
@@ -135,7 +140,12 @@ def burst_regions(
 ) -> DataFrame:
     """One row per capture: burst range, levels, and the reason where none is reported."""
     sizes = samples.groupBy("capture_id").agg(F.count("*").alias("n_samples"))
-    env = pin(envelope(samples, window))
+    return regions(envelope(samples, window), sizes, window, min_snr_db)
+
+
+def regions(env: DataFrame, sizes: DataFrame, window: int = ENVELOPE_WINDOW, min_snr_db: float = MIN_SNR_DB) -> DataFrame:
+    """Burst regions from the envelope in dB and ``sizes(capture_id, n_samples)``."""
+    env = pin(env)
     thresholds = otsu_thresholds(env)
     marked = env.join(thresholds, "capture_id").withColumn("above", F.col("env_db") > F.col("threshold_db"))
     levels = marked.groupBy("capture_id").agg(

@@ -82,6 +82,11 @@ def features(samples: DataFrame, sample_rate: float, block_len: int, nfft: int =
     joined = cums
     for part in (freq, stats.envelope_stats(samples), shape):
         joined = joined.join(part, "capture_id", "left")
+    return finite_features(joined)
+
+
+def finite_features(joined: DataFrame) -> DataFrame:
+    """(capture_id, the 13 features); what is missing, NaN or infinite is 0."""
 
     def finite(c: str) -> Column:
         bad = F.isnan(c) | (F.abs(c) == float("inf"))
@@ -191,9 +196,14 @@ def heuristic(samples: DataFrame, freqs: DataFrame) -> DataFrame:
         F.var_pop("i").alias("vi"), F.var_pop("q").alias("vq"), F.var_pop(F.sqrt(power(F.col("i"), F.col("q")))).alias("vm")
     )
     moves = freqs.groupBy("capture_id").agg(F.var_pop("f").alias("vf"))
+    return last_resort(spread.join(moves, "capture_id", "left"))
+
+
+def last_resort(spread: DataFrame) -> DataFrame:
+    """The last resort's label from the variances ``vi, vq, vm, vf``."""
     top = F.greatest("vi", "vq")
     ratio = F.when(top > 0, F.least("vi", "vq") / top).otherwise(F.lit(1.0))
-    return spread.join(moves, "capture_id", "left").select(
+    return spread.select(
         "capture_id",
         F.when(ratio < 0.5, "BPSK").when(F.col("vm") > 0.04, "16-QAM").when(F.col("vf") < 1.0, "2-FSK").otherwise("QPSK").alias("last_label"),
         F.when(ratio < 0.5, 0.8).when(F.col("vm") > 0.04, 0.6).when(F.col("vf") < 1.0, 0.65).otherwise(0.7).alias("last_confidence"),

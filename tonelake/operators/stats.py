@@ -92,7 +92,7 @@ def normalise_power(samples: DataFrame) -> DataFrame:
 # -- phase series -------------------------------------------------------------
 
 
-def _frequency_arrays(blocks: DataFrame, block_len: int | None) -> DataFrame:
+def frequency_arrays(blocks: DataFrame, block_len: int | None, *carried: str) -> DataFrame:
     """Wrapped phase steps per block; the step to the next block's head is included."""
     haloed = blocks if block_len is None else with_lookahead(blocks, 1, block_len)
     phases = F.zip_with("i", "q", lambda i, q: F.atan2(q, i))
@@ -101,8 +101,8 @@ def _frequency_arrays(blocks: DataFrame, block_len: int | None) -> DataFrame:
         F.slice("ph", 1, F.greatest(F.size("ph") - 1, F.lit(0))),
         lambda later, earlier: wrap_phase(later - earlier),
     )
-    return haloed.select("capture_id", "block_no", "start_n", phases.alias("ph")).select(
-        "capture_id", "block_no", "start_n", F.get("ph", F.lit(0)).alias("head"), steps.alias("steps")
+    return haloed.select("capture_id", "block_no", "start_n", *carried, phases.alias("ph")).select(
+        "capture_id", "block_no", "start_n", *carried, F.get("ph", F.lit(0)).alias("head"), steps.alias("steps")
     )
 
 
@@ -112,7 +112,7 @@ def instant_frequency(blocks: DataFrame, block_len: int | None = None) -> DataFr
     ``block_len=None`` states that every capture fits into one block.
     """
     return (
-        _frequency_arrays(blocks, block_len)
+        frequency_arrays(blocks, block_len)
         .select("capture_id", "start_n", F.posexplode("steps").alias("k", "f"))
         .select("capture_id", (F.col("start_n") + F.col("k")).alias("n"), "f")
     )
@@ -124,7 +124,7 @@ def unwrapped_phase(blocks: DataFrame, block_len: int | None = None) -> DataFram
     Inside a block the steps are summed in the row; across blocks only one total per
     block enters the per-capture window.
     """
-    arrays = pin(_frequency_arrays(blocks, block_len))
+    arrays = pin(frequency_arrays(blocks, block_len))
     totals = arrays.select(
         "capture_id", "block_no", "head", F.aggregate("steps", F.lit(0.0), lambda a, x: a + x).alias("total")
     )

@@ -131,6 +131,40 @@ def label_to_point(scheme: str, label: Column) -> tuple[Column, Column]:
     )
 
 
+def _levels(x: np.ndarray, levels: int) -> np.ndarray:
+    return np.clip(np.ceil((x + (levels - 1)) / 2.0 - 0.5), 0, levels - 1).astype(np.int64)
+
+
+def _sectors(x: np.ndarray) -> np.ndarray:
+    return np.round(np.arctan2(x.imag, x.real) * 8.0 / TWO_PI).astype(np.int64) % 8
+
+
+def nearest_points(scheme: str, x: np.ndarray) -> np.ndarray:
+    """``nearest_point`` for an array of samples: the constellation points themselves."""
+    if scheme == "BPSK":
+        return np.where(x.real > 0, 1.0, -1.0).astype(np.complex128)
+    if scheme == "8PSK":
+        return np.exp(1j * (_sectors(x) * (TWO_PI / 8.0)))
+    levels, scale = _AXIS_LEVELS[scheme], _SCALE[scheme]
+    a, b = _levels(x.real * scale, levels), _levels(x.imag * scale, levels)
+    return ((2 * a - (levels - 1)) + 1j * (2 * b - (levels - 1))) / scale
+
+
+def sliced_bits(scheme: str, x: np.ndarray) -> np.ndarray:
+    """``symbol_bits`` for an array of peak-normalised samples: a row of bits for each."""
+    i, q = x.real, x.imag
+    if scheme == "BPSK":
+        columns = [i > 0]
+    elif scheme == "QPSK":
+        columns = [i > 0, q > 0]
+    elif scheme == "16-QAM":
+        columns = [c for v in (i, q) for c in (v > 0, np.abs(v) <= QAM16_OUTER)]
+    else:
+        groups = [(_sectors(x), 3)] if scheme == "8PSK" else [(_levels(v * _SCALE[scheme], _AXIS_LEVELS[scheme]), 3) for v in (i, q)]
+        columns = [(g ^ (g >> 1)) >> (width - 1 - j) & 1 for g, width in groups for j in range(width)]
+    return np.stack(columns, axis=1).astype(np.uint8)
+
+
 # -- slicing ------------------------------------------------------------------
 
 
@@ -287,10 +321,20 @@ def tone_periods(
             F.first("scale").alias("scale"),
         )
     )
+    plans = pin(tone_plans(lagged, min_period))
+    return tone_scores(blocks, freqs, plans, known, block_len, max_residual)
+
+
+def tone_plans(lagged: DataFrame, min_period: int = FSK_MIN_PERIOD) -> DataFrame:
+    """(capture_id, m, scale, lo, hi): candidate periods around the centre that the lag-1 autocorrelation names.
+
+    ``lagged(capture_id, m, scale, c0, c1)``: number and mean size of the steps, and their sums of
+    squares and lag-1 products about the mean.
+    """
     r1 = F.when(F.col("c0") > 0, F.col("c1") / F.col("c0"))
     centre = F.try_divide(F.lit(1.0), 1.0 - F.col("r1"))
     reach = F.greatest(F.lit(4), F.ceil(0.06 * F.col("centre")))
-    plans = pin(
+    return (
         lagged.withColumn("r1", r1)
         .where((F.col("m") >= 63) & (F.col("r1") > 0) & (F.col("r1") < 1) & (F.col("scale") > 0))
         .withColumn("centre", centre)
@@ -305,6 +349,12 @@ def tone_periods(
         )
         .where(F.col("lo") <= F.col("hi"))
     )
+
+
+def tone_scores(
+    blocks: DataFrame, freqs: DataFrame, plans: DataFrame, known: DataFrame, block_len: int, max_residual: float = FSK_MAX_RESIDUAL
+) -> DataFrame:
+    """(capture_id, period, residual) of all of ``known``; ``blocks(capture_id, start_n, f, own_len)`` hold one more block of steps each."""
     short = (
         blocks.join(plans.where(F.col("hi") <= block_len), "capture_id")
         .select("capture_id", F.explode(_median_deviation("f", "start_n", "own_len", "m", "lo", "hi")).alias("s"))
@@ -456,9 +506,14 @@ def fit_table(samples: DataFrame, schemes: tuple[str, ...] = LINEAR_SCHEMES, sps
 def fit_check(samples: DataFrame, labels: DataFrame, max_samples: int | None = None) -> DataFrame:
     """Does the chosen scheme explain the samples? Other schemes are listed as context."""
     table = fit_table(samples)
+    return fit_verdict(table, table if max_samples is None else fit_table(samples.where(F.col("n") < max_samples)), labels)
+
+
+def fit_verdict(table: DataFrame, context: DataFrame, labels: DataFrame) -> DataFrame:
+    """``fit_check`` from fit tables of the samples and of those that context is taken from."""
     own = table.join(labels, ["capture_id", "scheme"])
     others = (
-        (table if max_samples is None else fit_table(samples.where(F.col("n") < max_samples)))
+        context
         .join(labels.withColumnRenamed("scheme", "chosen"), "capture_id")
         .where(F.col("scheme") != F.col("chosen"))
         .groupBy("capture_id")

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.functions.bits import pack_frames
-from tonelake.operators import bursts, frames, models, payload, rates, spectrum, stats, symbols, sync, verdicts
+from tonelake.operators import bursts, frames, models, payload, rates, spectrum, state, stats, symbols, sync, verdicts
 from tonelake.session import pin
-from tonelake.sources.series import to_samples
-from tonelake.sources.sinks import packed_streams
+from tonelake.sources.series import with_lookahead
 
 DEFAULT_WORD = "0x1ACFFC1D"
 
@@ -22,12 +21,18 @@ def analyse(
     nfft: int = spectrum.PSD_NFFT,
     line_nfft: int = 128,
     model=None,
+    averaged: bool = False,
+    least_line_nfft: int | None = None,
 ) -> DataFrame:
     """Report table of all captures in ``blocks`` (capture_id, block_no, start_n, i, q).
 
-    Each measure is one distributed job over every capture; a capture that a measure
-    cannot handle keeps NULLs from the left joins. Tables that several measures read
-    (frequencies, labels, bits) are stored once.
+    A block leaves one row of sums in each of a few passes (``operators.state``), and the measures
+    of all captures follow from these rows; a capture that a measure cannot handle keeps NULLs
+    from the left joins. Samples, phase steps and bits are never rows.
+
+    ``averaged`` takes centre, SNR and bandwidth from the spectrum over all frames of a capture
+    instead of its first ``nfft`` samples. With ``least_line_nfft`` the frames of the rate lines
+    shrink from ``line_nfft`` to that size for short captures; else these report no line.
 
     ``sample_rate`` is one rate for all captures or a table (capture_id, sample_rate) that may
     also name ``file_type`` and ``iq_format_used``. Frequencies are measured in cycles per
@@ -40,41 +45,57 @@ def analyse(
         timed = part.join(rate_of, "capture_id")
         return timed.select(*[(F.col(c) * F.col("_rate")).alias(c) if c in columns else F.col(c) for c in part.columns])
 
-    samples = to_samples(blocks)
-    sizes = stats.sizes(blocks)
-    freqs = pin(stats.instant_frequency(blocks, block_len))
+    # Few long rows instead of many short ones: every pass below is one Arrow stage over them.
+    joined, block_len = state.coalesced(blocks, block_len)
+    blocks = pin(joined) if joined is not blocks else blocks
+
+    states = pin(state.block_states(blocks))
+    whole = pin(state.merged(states))
+    sizes = whole.select("capture_id", F.col("num").alias("num_samples"))
+    windows = bursts.floored(state.envelope_windows(states))
+    regions = pin(bursts.regions(windows, whole.select("capture_id", F.col("num").alias("n_samples"))))
+    focus = pin(state.burst_focus(regions, models.FOCUS_MIN_SAMPLES, models.FOCUS_MIN_BURST))
 
-    measures = pin(scaled(spectrum.spectrum_measures(spectrum.psd(samples, 1.0, nfft)), "center_hz", "bandwidth_hz"))
-    regions = pin(bursts.burst_regions(samples))
-    periods = pin(symbols.tone_periods(freqs))
+    psd = spectrum.averaged_psd(blocks, sizes, 1.0, nfft, block_len) if averaged else _head_psd(blocks, focus.select("capture_id", F.lit(0).alias("lo"), F.lit(2**62).alias("hi")), nfft)
+    measures = pin(scaled(spectrum.spectrum_measures(psd), "center_hz", "bandwidth_hz"))
+    periods = pin(_tone_periods(blocks, states, whole, block_len))
 
-    focused = models.focus_burst(samples, regions)
-    rows = pin(models.features(focused, 1.0, block_len, nfft)).join(
+    # Captures without a usable burst are in focus as wholes: their sums are there already.
+    bursts_only = focus.where("NOT whole")
+    inner = pin(state.block_states(blocks, bursts_only))
+    focused_states = inner.unionByName(states.join(focus.where("whole").select("capture_id"), "capture_id", "left_semi"))
+    focused = pin(state.merged(focused_states))
+    rows = pin(_features(blocks, focused_states, focused, focus, nfft)).join(
         periods.select("capture_id", "period"), "capture_id", "left"
     ).fillna({"period": 1})
-    ruled = models.classify_rules(rows).join(models.heuristic(samples, freqs), "capture_id", "left")
+    ruled = models.classify_rules(rows).join(models.last_resort(state.last_resort(whole)), "capture_id", "left")
     if model is not None:
-        ruled = ruled.join(models.classify_learned(model, rows).select("capture_id", "ml_label", "ml_confidence"), "capture_id", "left")
+        learned = models.classify_learned(model, rows).select("capture_id", "ml_label", "ml_confidence", "probabilities")
+        ruled = ruled.join(learned, "capture_id", "left")
     else:
         ruled = ruled.withColumn("ml_label", F.lit(None).cast("string")).withColumn("ml_confidence", F.lit(None).cast("double"))
-    labels = pin(models.decide(ruled).withColumnRenamed("label", "scheme"))
+        ruled = ruled.withColumn("probabilities", F.lit(None).cast("map<string, double>"))
+    decided = models.decide(ruled).withColumnRenamed("label", "scheme").join(ruled.select("capture_id", "probabilities"), "capture_id")
+    labels = pin(decided)
 
-    bits = pin(symbols.slice_by_scheme(samples, freqs, labels.select("capture_id", "scheme"), periods))
+    bits = pin(_packed(blocks, whole, labels, periods, block_len))
     halo = -(-len(sync.parse_word(word)) // 8) * 8
-    heads = pin(sync.find_header(pack_frames(bits, sync.FRAME_BITS, halo), word))
+    heads = pin(sync.find_header(state.packed_frames(bits, halo), word))
     starts = heads.select(
         "capture_id", payload.payload_start(F.col("detected"), F.col("offset"), F.col("sync_length")).alias("start")
     )
-    streams = pin(packed_streams(payload.slice_bits(bits, starts)))
-    bit_counts = bits.groupBy("capture_id").agg(F.count("*").alias("num_bits"))
+    streams = pin(state.payload_streams(bits, starts))
+    bit_counts = bits.groupBy("capture_id").agg(F.sum("n_bits").alias("num_bits"))
     searched = pin(frames.with_trial_account(frames.search(streams)))
     blind = frames.blind_scores(streams)
-    fits = pin(symbols.fit_check(samples, labels.select("capture_id", "scheme")))
+    powers = whole.select("capture_id", ((F.col("s_ii") + F.col("s_qq")) / F.col("num")).alias("p"))
+    table_of_fits = pin(state.fit_sums(blocks, powers))
+    fits = symbols.fit_verdict(table_of_fits, table_of_fits, labels.select("capture_id", "scheme"))
 
-    bpsk = symbols.fit_table(samples, ("BPSK",)).select("capture_id", "evm_percent")
+    bpsk = table_of_fits.where("scheme = 'BPSK'").select("capture_id", "evm_percent")
 
-    line = pin(scaled(spectrum.envelope_line_rate(blocks, sizes, 1.0, line_nfft, block_len), "symbol_rate_hz"))
-    profile = pin(spectrum.coherence_profile(blocks, sizes, 1.0, line_nfft, block_len))
+    line = pin(scaled(spectrum.envelope_line_rate(blocks, sizes, 1.0, line_nfft, block_len, least_nfft=least_line_nfft), "symbol_rate_hz"))
+    profile = pin(spectrum.coherence_profile(blocks, sizes, 1.0, line_nfft, block_len, least_nfft=least_line_nfft))
     cycle = pin(scaled(spectrum.cycle_rate(profile, sizes), "symbol_rate_hz"))
     parts = (
         sizes.select("capture_id")
@@ -95,7 +116,7 @@ def analyse(
     working = rates.fused_sampling_rate(
         measures.select("capture_id", "bandwidth_hz").join(symbol_rates.select("capture_id", "symbol_rate_hz"), "capture_id", "left")
     )
-    cfo = pin(scaled(stats.frequency_offset(stats.unwrapped_phase(blocks, block_len), 1.0), "cfo_hz"))
+    cfo = pin(scaled(state.frequency_offset(states), "cfo_hz"))
 
     table = sizes.join(inputs, "capture_id").withColumn("duration_s", F.col("num_samples") / F.col("sample_rate"))
     for part, prefix in (
@@ -108,6 +129,68 @@ def analyse(
     return _assembled(table, word)
 
 
+def _head_psd(blocks: DataFrame, focus: DataFrame, nfft: int) -> DataFrame:
+    """Periodogram of the first ``nfft`` samples from ``lo`` on; only blocks that hold some are unpacked."""
+    near = blocks.join(focus.select("capture_id", "lo", "hi"), "capture_id").where(
+        (F.col("start_n") < F.least(F.col("hi"), F.col("lo") + nfft)) & (F.col("start_n") + F.size("i") > F.col("lo"))
+    )
+    at = F.greatest(F.col("lo") - F.col("start_n"), F.lit(0)).cast("int")
+    until = F.least(F.col("hi"), F.col("lo") + nfft, F.col("start_n") + F.size("i"))
+    count = (until - F.col("start_n") - at).cast("int")
+    cut = near.select(
+        "capture_id", (F.col("start_n") + at - F.col("lo")).alias("n"), F.slice("i", at + 1, count).alias("i"), F.slice("q", at + 1, count).alias("q")
+    )
+    parts = F.sort_array(F.collect_list(F.struct("n", "i", "q")))  # of nfft samples together
+    head = cut.groupBy("capture_id").agg(parts.alias("c")).select(
+        "capture_id", F.lit(0).cast("long").alias("frame_no"), F.flatten("c.i").alias("i"), F.flatten("c.q").alias("q")
+    )
+    return spectrum.spectra(head, 1.0)
+
+
+def _tone_periods(blocks: DataFrame, states: DataFrame, whole: DataFrame, block_len: int) -> DataFrame:
+    """Tone periods; only captures with candidate periods are dealt out with a look-ahead."""
+    known = pin(state.lagged(states, whole))
+    plans = pin(symbols.tone_plans(known))
+    wanted = blocks.join(plans.select("capture_id"), "capture_id", "left_semi")
+    haloed = with_lookahead(wanted, block_len + 1, block_len)
+    steps = stats.frequency_arrays(haloed.select("capture_id", "block_no", "start_n", "i", "q", "own_len"), None, "own_len")
+    rows = pin(steps.select("capture_id", "start_n", F.col("steps").alias("f"), "own_len"))
+    freqs = stats.instant_frequency(blocks.join(plans.where(F.col("hi") > block_len).select("capture_id"), "capture_id", "left_semi"), block_len)
+    return symbols.tone_scores(rows, freqs, plans, known, block_len)
+
+
+def _features(blocks: DataFrame, states: DataFrame, merged: DataFrame, focus: DataFrame, nfft: int) -> DataFrame:
+    """The 13 features of the samples in focus, always finite."""
+    shares = state.step_distribution(blocks, states, merged, focus, [0.01, 0.99])
+    shape = spectrum.spectrum_measures(_head_psd(blocks, focus, nfft)).select(
+        "capture_id", F.col("snr_db").alias("psd_snr"), F.col("bandwidth_hz").alias("psd_bw_norm")
+    )
+    moments = state.step_moments(merged).select(
+        "capture_id", F.log10(F.col("fvar") + 1e-12).alias("log_fvar"), F.col("kurtosis").alias("freq_kurt")
+    )
+    span = shares.select(
+        "capture_id", F.col("nsig").cast("double").alias("freq_nsig"), F.greatest(F.col("q1") - F.col("q0"), F.lit(0.0)).alias("freq_prange")
+    )
+    joined = state.shape_features(merged)
+    for part in (moments, span, shape):
+        joined = joined.join(part, "capture_id", "left")
+    return models.finite_features(joined)
+
+
+def _packed(blocks: DataFrame, whole: DataFrame, labels: DataFrame, periods: DataFrame, block_len: int) -> DataFrame:
+    """Packed bits of all captures: linear schemes block by block, tone schemes symbol by symbol."""
+    linear = state.packed_bits(blocks, labels.select("capture_id", "scheme").join(whole.select("capture_id", "peak"), "capture_id"))
+    tones = labels.where(F.col("scheme").isin(*models.FSK)).select("capture_id", "scheme")
+    keyed = pin(stats.instant_frequency(blocks.join(tones.select("capture_id"), "capture_id", "left_semi"), block_len))
+    for scheme, order in (("2-FSK", 2), ("4-FSK", 4)):
+        mine = keyed.join(tones.where(F.col("scheme") == scheme).select("capture_id"), "capture_id", "left_semi")
+        sliced = pack_frames(symbols.slice_tones(mine, periods, order), sync.FRAME_BITS, 0)
+        linear = linear.unionByName(
+            sliced.select("capture_id", F.col("frame_no").alias("block_no"), F.col("start").alias("start_bit"), F.col("n_bits").cast("long").alias("n_bits"), "data")
+        )
+    return linear
+
+
 def _inputs(blocks: DataFrame, sample_rate: float | DataFrame) -> DataFrame:
     """(capture_id, sample_rate, file_type, iq_format_used), one row per capture."""
     if isinstance(sample_rate, DataFrame):
