@@ -11,7 +11,7 @@ from tonelake.plans import capture_report
 from tonelake.plans.inputs import VECTOR_SAMPLES, Inputs
 from tonelake.plans.queries_bursts import region_steps
 from tonelake.plans.queries_series import cumulant_steps, envelope_stat_steps, frequency_stat_steps
-from tonelake.plans.queries_spectrum import RATE, head_dft, measure_steps
+from tonelake.plans.queries_spectrum import RATE, head_dft, measure_steps, sized_dft
 from tonelake.plans.queries_symbols import period_steps
 from tonelake.plans.registry import query
 from tonelake.plans.statements import r, sql
@@ -264,17 +264,59 @@ def s15(inp: Inputs):
     )
 
 
-@query("U2_folder_summary")
-def u2(inp: Inputs):
-    """Every document as a raw file: read, analysed, and summarised, also where it fails."""
+#: Smallest frames of the averaged spectra in the folder queries.
+LEAST_NFFT = 16
+
+
+def _document_files(inp: Inputs):
+    """Every document as a raw file of int8 pairs; each fifth has a name of unknown kind."""
     table = spread(inp.table("documents").select("doc_id", "text"))
     ends = F.get(F.array(*[F.lit(s) for s in (".iq", ".iq", ".iq", ".iq", ".txt")]), (F.col("doc_id") % 5).cast("int"))
-    files = captures.gated(
+    return captures.gated(
         table.select(
             F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), ends).alias("path"),
             F.octet_length("text").cast("long").alias("length"),
             F.encode("text", "UTF-8").alias("content"),
         )
     ).select(F.col("path").alias("capture_id"), "kind", F.lit("int8").alias("iq_format"), F.lit("little").alias("endian"), "content", "error")
-    full = capture_report.analyse_files(files, RATE, 1024, nfft=FEATURE_NFFT)
+
+
+def _folder(inp: Inputs):
+    full = capture_report.analyse_files(_document_files(inp), RATE, 1024, nfft=FEATURE_NFFT, averaged=True, least_line_nfft=LEAST_NFFT)
     return rounded(reports.summary_rows(full), 4)
+
+
+@query("U2_folder_summary")
+def u2(inp: Inputs):
+    """Every document as a raw file: read, analysed, and summarised, also where it fails."""
+    return _folder(inp)
+
+
+# The samples of the readable files: bytes in pairs, as signed numbers over 128.
+_FILES = [
+    "OCT AS (SELECT capture_id, k, (CASE WHEN b >= 128 THEN b - 256 ELSE b END)/128.0 AS v FROM D WHERE capture_id % 5 <> 4)",
+    "FD AS MATERIALIZED (SELECT a.capture_id, (a.k//2)::BIGINT AS n, a.v::DOUBLE AS i, b.v::DOUBLE AS q FROM OCT a JOIN OCT b ON b.capture_id = a.capture_id AND b.k = a.k + 1 WHERE a.k % 2 = 0)",
+]
+_AVERAGED = ("pl", "fw", "fs", "sp", "tp", "ct", "ms")
+
+
+@query(
+    "U2_folder_core",
+    sql(
+        "D",
+        *_FILES,
+        *[step.replace("E10", "FD") for step in _RULES],
+        *_renamed([*sized_dft("FD", FEATURE_NFFT, LEAST_NFFT), *measure_steps()], "_w", _AVERAGED),
+        "re0 AS (SELECT capture_id, v[1] AS lab, v[2]::DOUBLE AS c FROM rl)",
+        f"""SELECT capture_id || '.iq' AS file, n_samples::BIGINT AS num_samples, round_even(n_samples/10.0, 0)/10000 AS duration_s, {r('center_hz', 4, 'center_freq_est')}, {r('snr_db', 4, 'snr_db')}, {r('bandwidth_hz', 4, 'bandwidth_est')},
+   CASE WHEN lab IN ('AM', 'FM', 'TONE', 'AUDIO') THEN 'BPSK' ELSE lab END AS modulation, {r("CASE WHEN lab IN ('AM', 'FM', 'TONE', 'AUDIO') THEN least(c, 0.35) ELSE c END", 4, 'mod_confidence')}, false AS failed
+   FROM (SELECT capture_id, n_samples FROM reg) reg LEFT JOIN (SELECT capture_id, center_hz, snr_db, bandwidth_hz FROM ms_w) w USING (capture_id) JOIN re0 USING (capture_id)
+   UNION ALL SELECT doc_id || '.txt', 0, NULL, NULL, NULL, NULL, NULL, NULL, true FROM documents WHERE doc_id % 5 = 4""",
+    ),
+)
+def u2_core(inp: Inputs):
+    """What the folder summary says of size, spectrum and label of each file, and which files failed."""
+    rows = _folder(inp)
+    names = ("duration_s", "center_freq_est", "snr_db", "bandwidth_est", "modulation", "mod_confidence")
+    size = F.coalesce("num_samples", F.lit(0).cast("long")).alias("num_samples")
+    return rows.select("file", size, *names, F.col("num_samples").isNull().alias("failed"))

@@ -90,7 +90,7 @@ _MIXED = [
 ]
 
 
-def _sized_dft(view: str, largest: int, least: int) -> list[str]:
+def sized_dft(view: str, largest: int, least: int) -> list[str]:
     """``sp``: spectrum averaged over all frames, the frame size halved until two half-overlapping frames fit."""
     sizes, size = [], largest
     while size >= least:
@@ -115,7 +115,7 @@ def _mixed_blocks(inp: Inputs):
 @query(
     "A13_averaged_spectrum",
     sql(
-        "E E10", *_MIXED, *_sized_dft("MX", 128, 16), *measure_steps(),
+        "E E10", *_MIXED, *sized_dft("MX", 128, 16), *measure_steps(),
         f"SELECT capture_id, {r('center_hz', 6, 'center_hz')}, {r('snr_db', 5, 'snr_db')}, {r('bandwidth_hz', 6, 'bandwidth_hz')} FROM ms",
     ),
 )
@@ -131,7 +131,7 @@ def a13_averaged(inp: Inputs):
         "V",
         "mn AS (SELECT capture_id, avg(i*i+q*q) AS mu FROM V GROUP BY 1)",
         "SQ AS (SELECT capture_id, n, i*i+q*q-mu AS i, 0.0 AS q FROM V JOIN mn USING (capture_id))",
-        *_sized_dft("SQ", 128, 16),
+        *sized_dft("SQ", 128, 16),
         f"ps AS (SELECT * FROM sp WHERE freq_hz > 0.01*{RATE})",
         "tp AS (SELECT capture_id, max(power_db) AS top, median(power_db) AS flo FROM ps GROUP BY 1)",
         "rk AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY power_db DESC, bin) AS rk FROM ps)",
