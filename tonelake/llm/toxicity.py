@@ -30,6 +30,8 @@ STEMS = (4, 5)
 #: A stretch of characters that is read as one word, at most; a longer one is read in parts.
 TOKEN = re.compile(r"\w{1,200}|[^\w\s]{1,20}")
 REMEMBERED = 100_000
+#: Texts whose features a task holds together.
+PORTION = 256
 
 
 def features_of(token: str) -> list[int]:
@@ -139,7 +141,8 @@ def score_toxicity(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         telling = set(used.tolist())
         known: dict[str, list[int]] = {}
-        for batch in batches:
+        none: list[int] = []  # most tokens tell nothing and share one list
+        for batch in (whole.slice(k, PORTION) for whole in batches for k in range(0, whole.num_rows, PORTION)):
             found = []
             for value in batch.column("message_utf8"):
                 text = value.as_py()
@@ -149,7 +152,7 @@ def score_toxicity(
                 for token in tokens_of(text):
                     hits = known.get(token)
                     if hits is None:
-                        hits = known[token] = [f for f in features_of(token) if f in telling]
+                        hits = known[token] = [f for f in features_of(token) if f in telling] or none
                     if hits:
                         row.update(hits)
                 found.append(np.array(sorted(row), np.int64))
