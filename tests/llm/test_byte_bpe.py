@@ -53,6 +53,8 @@ def test_edge_texts_match_the_library(spark, vocabulary, library):
         assert bytes(row["token_ids"]) == packed(library, text)
         assert row["n_tokens"] == len(row["token_ids"]) // 4
         assert bytes(row["message_bytes"]) == (text or "").encode()
+    at_once = byte_bpe.encode_payloads(spark.createDataFrame(rows, SCHEMA), ranks, pattern, decoded=True).collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, got))
 
 
 def test_every_character_is_cut_as_the_library_cuts_it(vocabulary, library):

@@ -25,6 +25,8 @@ from tonelake.llm.records import extended
 LONG_TEXT = 1 << 21
 #: Pre-tokens whose ids are remembered in one task.
 REMEMBERED = 50_000
+#: Texts taken together.
+PORTION = 256
 #: Pre-tokens longer than this are encoded but not remembered.
 REMEMBERED_LENGTH = 64
 
@@ -134,38 +136,55 @@ def _pretokens(pattern, text: str) -> Iterator[list[str]]:
         yield part
 
 
-def encode_payloads(payloads: DataFrame, rank_lines: bytes, pattern: str) -> DataFrame:
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, PORTION) for batch in batches for k in range(0, batch.num_rows, PORTION))
+
+
+class Decoder:
+    """Bytes of ids: every id back to its piece, every character of it to its byte."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        letters = byte_alphabet()
+        byte_of = {letter: b for b, letter in enumerate(letters)}
+        spelled = {rank: "".join(letters[b] for b in token) for token, rank in ranks.items()}
+        self.bytes_of = {rank: bytes(byte_of[c] for c in piece) for rank, piece in spelled.items()}
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode_payloads(payloads: DataFrame, rank_lines: bytes, pattern: str, decoded: bool = False) -> DataFrame:
     """Encode ``message_utf8`` of every payload.
 
     ``payloads(capture_id, message_utf8)`` -> ``(capture_id, n_tokens long, token_ids binary)``;
     ``token_ids`` holds little-endian unsigned 32-bit ids. ``rank_lines`` is the content of the
     rank file (a fixed vocabulary, below 1 MB), ``pattern`` cuts a text into pre-tokens, each of
-    which is merged by itself. No special tokens: their spellings are ordinary text.
+    which is merged by itself. No special tokens: their spellings are ordinary text. With
+    ``decoded`` the ids are decoded at once, which adds ``message_bytes`` as ``decode_payloads``
+    does without another worker.
 
     Every input row gives one row, repeated rows included. A null or empty message has no
     tokens (0, empty binary). A null ``capture_id`` stays null. An empty table gives an empty
     table. Long messages are cut lazily, and their ids are the only thing that grows with them.
     """
     source = payloads.select("capture_id", F.coalesce("message_utf8", F.lit("")).alias("message_utf8"))
-    schema = extended(source, ["capture_id"], "n_tokens long, token_ids binary")
+    schema = extended(source, ["capture_id"], "n_tokens long, token_ids binary" + ", message_bytes binary" * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        encoder, cut = PretokenEncoder(read_ranks(rank_lines)), regex.compile(pattern)
-        for batch in batches:
+        ranks = read_ranks(rank_lines)
+        encoder, cut = PretokenEncoder(ranks), regex.compile(pattern)
+        decoder = Decoder(ranks) if decoded else None
+        for batch in _portions(batches):
             packed = [
                 b"".join(encoder.encode(part) for part in _pretokens(cut, text.as_py()))
                 for text in batch.column(1)
             ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    pa.array(packed, pa.binary()),
-                ],
-                ["capture_id", "n_tokens", "token_ids"],
-            )
+            columns = [batch.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+            if decoder is not None:
+                columns.append(pa.array([decoder.decode(p) for p in packed], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -180,17 +199,9 @@ def decode_payloads(encoded: DataFrame, rank_lines: bytes) -> DataFrame:
     schema = extended(source, source.columns, "message_bytes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = byte_alphabet()
-        byte_of = {letter: b for b, letter in enumerate(letters)}
-        spelled = {rank: "".join(letters[b] for b in token) for token, rank in read_ranks(rank_lines).items()}
-        bytes_of = {rank: bytes(byte_of[c] for c in piece) for rank, piece in spelled.items()}
-        for batch in batches:
-            decoded = [
-                b"".join(map(bytes_of.__getitem__, np.frombuffer(ids.as_py(), "<u4").tolist()))
-                for ids in batch.column(2)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "message_bytes"]
-            )
+        decoder = Decoder(read_ranks(rank_lines))
+        for batch in _portions(batches):
+            decoded = [decoder.decode(ids.as_py()) for ids in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], schema.names)
 
     return source.mapInArrow(run, schema)
