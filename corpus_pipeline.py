@@ -102,7 +102,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256)`` of every row."""
     ranks, pattern = vocabulary()
     payloads = docs.select(F.col("doc_id").alias("capture_id"), F.col("text").alias("message_utf8"))
-    return byte_bpe.decode_payloads(byte_bpe.encode_payloads(payloads, ranks, pattern), ranks).select(
+    return byte_bpe.encode_payloads(payloads, ranks, pattern, decoded=True).select(
         F.col("capture_id").alias("doc_id"),
         "n_tokens",
         "token_ids",
