@@ -30,6 +30,8 @@ ANALOG_LABELS = ("AM", "FM", "TONE", "AUDIO")
 CORROBORATED_CONFIDENCE = 0.8
 
 FRAME_BITS = 1 << 20
+#: Bit positions that a word is compared with at a time; a multiple of 8.
+SLICE_BITS = 1 << 18
 
 _HITS = T.ArrayType(
     T.StructType([T.StructField("word", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("matches", T.IntegerType())])
@@ -75,17 +77,21 @@ def scan_udf(words: list[list[int]]):
     def scan(data: pd.Series, n_bits: pd.Series) -> pd.Series:
         out = []
         for buf, n in zip(data, n_bits):
-            windows = _windows(buf) if buf else np.zeros(0, dtype=np.uint32)
             rows = []
             for index, (length, pieces) in enumerate(parts):
                 places = int(n) - length + 1
-                if places <= 0:
-                    continue
-                missed = np.zeros(places, dtype=np.uint16)
-                for at, value, mask in pieces:
-                    missed += np.bitwise_count((windows[at : at + places] ^ value) & mask)
-                best = int(np.argmin(missed))
-                rows.append({"word": index, "offset": best, "matches": length - int(missed[best])})
+                best: tuple[int, int] | None = None  # bits missed, offset: the first of the best
+                for start in range(0, max(places, 0), SLICE_BITS):
+                    here = min(SLICE_BITS, places - start)
+                    windows = _windows(buf[start // 8 : (start + here + length + 7) // 8])
+                    missed = np.zeros(here, dtype=np.uint16)
+                    for at, value, mask in pieces:
+                        missed += np.bitwise_count((windows[at : at + here] ^ value) & mask)
+                    k = int(np.argmin(missed))
+                    if best is None or missed[k] < best[0]:
+                        best = int(missed[k]), start + k
+                if best is not None:
+                    rows.append({"word": index, "offset": best[1], "matches": length - best[0]})
             out.append(rows)
         return pd.Series(out)
 
