@@ -150,17 +150,18 @@ def nearest_points(scheme: str, x: np.ndarray) -> np.ndarray:
     return ((2 * a - (levels - 1)) + 1j * (2 * b - (levels - 1))) / scale
 
 
-def sliced_bits(scheme: str, x: np.ndarray) -> np.ndarray:
-    """``symbol_bits`` for an array of peak-normalised samples: a row of bits for each."""
+def sliced_bits(scheme: str, x: np.ndarray, by_level: bool = False) -> np.ndarray:
+    """``symbol_bits`` for an array of samples: a row of bits for each."""
     i, q = x.real, x.imag
     if scheme == "BPSK":
         columns = [i > 0]
     elif scheme == "QPSK":
         columns = [i > 0, q > 0]
-    elif scheme == "16-QAM":
+    elif scheme == "16-QAM" and not by_level:
         columns = [c for v in (i, q) for c in (v > 0, np.abs(v) <= QAM16_OUTER)]
     else:
-        groups = [(_sectors(x), 3)] if scheme == "8PSK" else [(_levels(v * _SCALE[scheme], _AXIS_LEVELS[scheme]), 3) for v in (i, q)]
+        per_axis = 3 if scheme == "8PSK" else _AXIS_LEVELS[scheme].bit_length() - 1
+        groups = [(_sectors(x), 3)] if scheme == "8PSK" else [(_levels(v * _SCALE[scheme], _AXIS_LEVELS[scheme]), per_axis) for v in (i, q)]
         columns = [(g ^ (g >> 1)) >> (width - 1 - j) & 1 for g, width in groups for j in range(width)]
     return np.stack(columns, axis=1).astype(np.uint8)
 
@@ -606,7 +607,13 @@ def best_bit_error_rate(tx: DataFrame, rx: DataFrame, scheme: str, lags: tuple[i
         .groupBy("capture_id", "lag", "sent", "got")
         .agg(F.count("*").alias("num"))
     )
-    turns = F.broadcast(tx.sparkSession.createDataFrame(rotated_labels(scheme), "rotation int, sent int, turned int"))
+    return rate_of_pairs(counts, scheme)
+
+
+def rate_of_pairs(counts: DataFrame, scheme: str) -> DataFrame:
+    """Lowest bit error rate over lags and rotations from counts of label pairs ``(capture_id, lag, sent, got, num)``."""
+    width = BITS_PER_SYMBOL[scheme]
+    turns = F.broadcast(counts.sparkSession.createDataFrame(rotated_labels(scheme), "rotation int, sent int, turned int"))
     wrong = F.bit_count(F.col("turned").bitwiseXOR(F.col("got")))
     rates = (
         counts.join(turns, "sent")

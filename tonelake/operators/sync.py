@@ -229,7 +229,11 @@ def corroborate(candidate_bits: DataFrame, labels: DataFrame, word: str, frame_b
         "score",
         "offset",
     )
-    heads = pin(found)
+    return revised(pin(found), labels)
+
+
+def revised(heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """The revision that header verdicts ``(capture_id, candidate, detected, score, offset)`` call for."""
     places = F.array(*[F.lit(s) for s in FALLBACK_SCHEMES])
     own = labels.join(
         heads.withColumnRenamed("candidate", "scheme").select(

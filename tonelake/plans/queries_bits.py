@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import bits as B
 from tonelake.functions.scalars import rounded
-from tonelake.operators import frames, payload
+from tonelake.operators import frames, interleave, payload
 from tonelake.plans.inputs import Inputs
 from tonelake.plans.registry import query
 from tonelake.plans.statements import r, sql
@@ -261,25 +261,44 @@ def _base_list() -> str:
     return str([int(v) for v in frames.random_base(frames.RANDOM_BLOCK)])
 
 
-@query(
-    "A24_deinterleave",
-    sql(
-        "D",
-        _BITS20,
-        "nb AS (SELECT capture_id, count(*)*8 AS n FROM D GROUP BY 1)",
-        f"inv AS (SELECT list(m ORDER BY v) AS inv FROM (SELECT unnest({_base_list()}) AS v, generate_subscripts({_base_list()}, 1) - 1 AS m))",
-        """mp AS (
-  SELECT capture_id, 'block' AS interleaver, (x//96)*96 + 12*(x%8) + (x%96)//8 AS p, bit FROM bt WHERE bit > 0
-  UNION ALL SELECT bt.capture_id, 'convolutional', ((((x//8 - x%8) % (n//8)) + n//8) % (n//8))*8 + x%8, bit FROM bt JOIN nb USING (capture_id) WHERE bit > 0
-  UNION ALL SELECT capture_id, 'diagonal', (x//96)*96 + ((x%96)//12)*12 + ((x%12) - (x%96)//12 + 12) % 12, bit FROM bt WHERE bit > 0
-  UNION ALL SELECT capture_id, 'pseudo-random-block', (x//256)*256 + (inv[(x%256)::INT+1] + x//256) % 256, bit FROM bt, inv WHERE bit > 0)""",
-        "ms AS (SELECT capture_id, interleaver, sum((1 << (7-p%8)::INT) * (p//8+1))::BIGINT AS mark FROM mp GROUP BY 1, 2)",
-        """SELECT capture_id, interleaver, CASE interleaver WHEN 'convolutional' THEN n//8 WHEN 'pseudo-random-block' THEN ((n+255)//256)*32 ELSE ((n+95)//96)*12 END AS n_bytes, mark
-   FROM ms JOIN nb USING (capture_id)""",
-    ),
-)
+_MAPS_SQL = sql(
+      "D",
+      _BITS20,
+      "nb AS (SELECT capture_id, count(*)*8 AS n FROM D GROUP BY 1)",
+      f"inv AS (SELECT list(m ORDER BY v) AS inv FROM (SELECT unnest({_base_list()}) AS v, generate_subscripts({_base_list()}, 1) - 1 AS m))",
+      """mp AS (
+SELECT capture_id, 'block' AS interleaver, (x//96)*96 + 12*(x%8) + (x%96)//8 AS p, bit FROM bt WHERE bit > 0
+UNION ALL SELECT bt.capture_id, 'convolutional', ((((x//8 - x%8) % (n//8)) + n//8) % (n//8))*8 + x%8, bit FROM bt JOIN nb USING (capture_id) WHERE bit > 0
+UNION ALL SELECT capture_id, 'diagonal', (x//96)*96 + ((x%96)//12)*12 + ((x%12) - (x%96)//12 + 12) % 12, bit FROM bt WHERE bit > 0
+UNION ALL SELECT capture_id, 'pseudo-random-block', (x//256)*256 + (inv[(x%256)::INT+1] + x//256) % 256, bit FROM bt, inv WHERE bit > 0)""",
+      "ms AS (SELECT capture_id, interleaver, sum((1 << (7-p%8)::INT) * (p//8+1))::BIGINT AS mark FROM mp GROUP BY 1, 2)",
+      """SELECT capture_id, interleaver, CASE interleaver WHEN 'convolutional' THEN n//8 WHEN 'pseudo-random-block' THEN ((n+255)//256)*32 ELSE ((n+95)//96)*12 END AS n_bytes, mark
+ FROM ms JOIN nb USING (capture_id)""",
+  )
+_MAPS = ("block", "convolutional", "diagonal", "pseudo-random-block")
+#: Bits of the chunks in the chunk queries; small, so that the texts have several.
+TEXT_CHUNK = 10 * interleave.UNIT_BITS
+
+
+@query("A24_deinterleave", _MAPS_SQL)
 def a24(inp: Inputs):
-    return _marked(frames.deinterleave(inp.payloads(), ("block", "convolutional", "diagonal", "pseudo-random-block")))
+    return _marked(frames.deinterleave(inp.payloads(), _MAPS))
+
+
+@query("A24_deinterleave_in_chunks", _MAPS_SQL)
+def a24_chunks(inp: Inputs):
+    """The same maps with streams of several rows: a byte counts by its place in the stream."""
+    chunks = interleave.to_chunks(inp.payloads(), TEXT_CHUNK)
+    parts = [
+        interleave.deinterleave_chunks(chunks, name, TEXT_CHUNK).select(
+            "capture_id", F.lit(name).alias("interleaver"), (F.col("chunk_no") * (TEXT_CHUNK // 8)).alias("start"),
+            F.posexplode(B.byte_values(F.col("data"))).alias("k", "b"),
+        )
+        for name in _MAPS
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    mark = F.sum(F.col("b").cast("long") * (F.col("start") + F.col("k") + 1))
+    return rows.groupBy("capture_id", "interleaver").agg(F.count("*").alias("n_bytes"), mark.alias("mark"))
 
 
 @query("J11_deinterleave_hypotheses")
@@ -287,13 +306,15 @@ def j11(inp: Inputs):
     return _marked(frames.deinterleave(inp.payloads()))
 
 
-@query(
-    "A41_frame_search",
+_SEARCH_SQL = (
     "WITH " + ",\n".join([CRC_TABLE, BYTE_LISTS, _FRAMED, _ENDS.replace("greatest(6,", "greatest(3,")]) + f""",
 HU AS (SELECT capture_id, n, lo, bare, ({_scan_fold("CASE WHEN bare >= 3 AND " + "((s >> 56) & 16777215)" + " + 1 = bare THEN 0 ELSE lo END")} >> 80)::BIGINT AS hit FROM EN, T)
 SELECT capture_id, n >= 4 AND hit > 0 AS validated, CASE WHEN n >= 4 AND hit > 0 THEN 'none' END AS interleaver,
-  CASE WHEN n >= 4 AND hit > 0 THEN hit - 2 END::BIGINT AS payload_bytes FROM HU""",
+  CASE WHEN n >= 4 AND hit > 0 THEN hit - 2 END::BIGINT AS payload_bytes FROM HU"""
 )
+
+
+@query("A41_frame_search", _SEARCH_SQL)
 def a41(inp: Inputs):
     """Hypothesis "none" only: the part of the search that SQL can state over whole texts."""
     return frames.search(framed_payloads(inp), names=("none",), max_bits=None).select(
@@ -301,6 +322,15 @@ def a41(inp: Inputs):
     )
 
 
+@query("A41_frame_search_in_chunks", _SEARCH_SQL)
+def a41_chunks(inp: Inputs):
+    """The same search over streams of several rows, their checksums put together from the chunks."""
+    chunks = interleave.to_chunks(framed_payloads(inp), TEXT_CHUNK)
+    return interleave.search_chunks(chunks, ("none",), TEXT_CHUNK).select(
+        "capture_id", "validated", "interleaver", F.col("payload_len").alias("payload_bytes")
+    )
+
+
 @query("A41_frame_search_all_hypotheses")
 def a41_all(inp: Inputs):
     found = frames.with_trial_account(frames.search(framed_payloads(inp), max_bits=None))

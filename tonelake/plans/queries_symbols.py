@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import bits as B
 from tonelake.functions.scalars import rounded
-from tonelake.operators import stats, symbols, sync
+from tonelake.operators import hypotheses, stats, symbols, sync
 from tonelake.plans.inputs import VECTOR_SAMPLES, Inputs
 from tonelake.plans.queries_series import freq_steps
 from tonelake.plans.registry import query
@@ -446,18 +446,13 @@ def short_header_steps(view: str, key: str) -> list[str]:
     ),
 )
 def j5(inp: Inputs):
-    samples = inp.label_samples()
-    freqs = stats.instant_frequency(inp.label_blocks(), VECTOR_SAMPLES)
-    freqs = pin(freqs)
+    freqs = pin(stats.instant_frequency(inp.label_blocks(), VECTOR_SAMPLES))
     periods = pin(symbols.tone_periods(freqs))
-    bits = symbols.slice_candidates(samples)
-    for scheme, order in (("2-FSK", 2), ("4-FSK", 4)):
-        bits = bits.unionByName(symbols.slice_tones(freqs, periods, order).withColumn("scheme", F.lit(scheme)))
     names = F.array(*[F.lit(s) for s in (*symbols.LINEAR_SCHEMES, "2-FSK", "4-FSK", "AM")])
     labels = inp.label_blocks().select("capture_id").distinct().select(
         "capture_id", F.get(names, (F.col("capture_id") % 8).cast("int")).alias("scheme"), (F.col("capture_id") % 9 != 8).alias("estimated")
     )
-    return rounded(sync.corroborate(bits, labels, SHORT_WORD, frame_bits=1024))
+    return rounded(hypotheses.corroborate(inp.label_blocks(), VECTOR_SAMPLES, freqs, periods, labels, SHORT_WORD))
 
 
 @query(
@@ -484,7 +479,7 @@ def j9(inp: Inputs):
         (F.col("n") + 3).alias("n"),
         label(i * F.cos(turn) - q * F.sin(turn), i * F.sin(turn) + q * F.cos(turn)).alias("label"),
     )
-    return rounded(symbols.best_bit_error_rate(tx, rx, "QPSK"))
+    return rounded(hypotheses.best_bit_error_rate(tx, rx, "QPSK"))
 
 
 @query(
@@ -499,7 +494,7 @@ def j9(inp: Inputs):
     ),
 )
 def j10(inp: Inputs):
-    return rounded(sync.resolve_rotation(inp.label_samples(), "QPSK", SHORT_WORD, frame_bits=1024))
+    return rounded(hypotheses.resolve_rotation(inp.label_blocks(), VECTOR_SAMPLES, "QPSK", SHORT_WORD))
 
 
 @query(
