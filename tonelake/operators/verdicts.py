@@ -69,13 +69,35 @@ def es_n0(eb_n0_db: Column, bits_per_symbol: Column) -> Column:
     return F.when(bits_per_symbol >= 1, eb_n0_db + 10.0 * F.log10(bits_per_symbol.cast("double")))
 
 
+def repeaked(distribution: Column, label: Column, target: Column) -> Column:
+    """A measured distribution whose peak on ``label`` is lowered to ``target``, the rest spread as measured.
+
+    A peak that is not higher than ``target`` stays: nothing is made surer than it was measured.
+    """
+    mass = F.element_at(distribution, label)
+    rest = 1.0 - mass
+    even = (1.0 - target) / (F.size(distribution) - 1)
+
+    def moved(name: Column, p: Column) -> Column:
+        return F.when(name == label, target).when(rest > 0, p / rest * (1.0 - target)).otherwise(even)
+
+    return F.when(mass > target, F.transform_values(distribution, moved)).otherwise(distribution)
+
+
 def fan_out(state: DataFrame) -> DataFrame:
     """Independent verdicts over the same capture with their routes.
 
     ``state``: (capture_id, label, label_confidence, alternatives, detected, score,
-    min_score, evm_percent, validated). A capture without samples has a NULL label and
-    gets ``available = false``.
+    min_score, evm_percent, validated[, distribution]). A capture without samples has a NULL
+    label and gets ``available = false``. Where a ``distribution`` (class -> probability) of a
+    learned model is given and names the label, it is the verdict's, with its peak lowered to
+    the label's confidence; else a peak on the label is spread over its alternatives.
     """
+    if "distribution" in state.columns:
+        named = F.when(F.map_contains_key("distribution", F.coalesce("label", F.lit(""))), F.col("distribution"))
+        state = state.withColumn("_measured", repeaked(named, F.col("label"), F.col("label_confidence")))
+    else:
+        state = state.withColumn("_measured", F.lit(None).cast("map<string, double>"))
     peak = F.least(F.greatest("label_confidence", F.lit(0.0)), F.lit(MAX_CONFIDENCE))
     others = F.slice(F.filter("alternatives", lambda a: F.col("label").isNull() | (a != F.col("label"))), 1, 3)
     count = F.size(others)
@@ -86,8 +108,14 @@ def fan_out(state: DataFrame) -> DataFrame:
         state.withColumn("header", header_trust(F.col("detected"), F.col("score"), F.col("min_score")))
         .withColumn("quality", quality(F.col("evm_percent")))
         .withColumn("decode", decode_trust(F.col("validated"), F.col("validated")))
-        .withColumn("confidence", confidence_from_probs(probs))
-        .withColumn("probabilities", F.map_from_arrays(F.concat(F.array(F.coalesce("label", F.lit(""))), others), probs))
+        .withColumn("spread", F.map_from_arrays(F.concat(F.array(F.coalesce("label", F.lit(""))), others), probs))
+        .withColumn("probabilities", F.coalesce("_measured", "spread"))
+        .withColumn(
+            "confidence",
+            F.when(
+                F.col("_measured").isNotNull(), F.least(confidence_from_probs(F.map_values("_measured")), F.lit(MAX_CONFIDENCE))
+            ).otherwise(confidence_from_probs(probs)),
+        )
         .select(
             "capture_id",
             available.alias("available"),

@@ -231,6 +231,7 @@ def _assembled(t: DataFrame, word: str) -> DataFrame:
             F.coalesce("h_min_score", F.lit(1.0)).alias("min_score"),
             F.col("q_evm_percent").alias("evm_percent"),
             validated.alias("validated"),
+            F.col("l_probabilities").alias("distribution"),
         )
     )
     verdict = state.select("capture_id", F.struct(*[c for c in state.columns if c != "capture_id"]).alias("judgments"))

@@ -227,6 +227,41 @@ def p22(inp: Inputs):
     return rounded(rows.select("key", "part", "line", F.col("h.noul").alias("header"), F.col("h.method").alias("header_method"), F.col("d.noul").alias("decode")))
 
 
+@query(
+    "P23_learned_distribution",
+    f"""WITH c AS (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY 1, 2),
+d AS (SELECT user_id, event_type, k/sum(k) OVER (PARTITION BY user_id) AS p, count(*) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY k DESC, event_type) AS rk FROM c),
+t AS (SELECT user_id, event_type AS label, p AS mass, m, (user_id % 10)/10.0 AS target FROM d WHERE rk = 1),
+q AS (SELECT d.user_id, d.event_type, t.label, t.m, CASE WHEN mass <= target THEN p WHEN d.event_type = label THEN target WHEN mass < 1 THEN p/(1-mass)*(1-target) ELSE (1-target)/(t.m-1) END AS p FROM d JOIN t USING (user_id))
+SELECT user_id AS capture_id, any_value(label) AS choice, {r('least(0.9, CASE WHEN any_value(m) < 2 THEN 0 ELSE greatest(0, least(1, (any_value(m)*max(p)/sum(p)-1)/(any_value(m)-1))) END)', 6, 'confidence')},
+  {r('max(p) FILTER (event_type = label)', 6, 'peak')}, {r('sum(p)', 6, 'mass')} FROM q GROUP BY 1""",
+)
+def p23_learned(inp: Inputs):
+    """Shares of a user's event types as the distribution of a learned model, with a cap on the top one."""
+    counts = inp.table("events").groupBy("user_id", "event_type").agg(F.count("*").alias("k"))
+    listed = F.collect_list(F.struct("event_type", "k"))
+    each = counts.groupBy("user_id").agg(listed.alias("c"), F.sum("k").alias("total"))
+    best = F.array_min(F.transform("c", lambda x: F.struct((-x["k"]).alias("k"), x["event_type"].alias("t"))))["t"]
+    state = each.select(
+        F.col("user_id").alias("capture_id"),
+        best.alias("label"),
+        ((F.col("user_id") % 10) / 10.0).alias("label_confidence"),
+        F.array().cast("array<string>").alias("alternatives"),
+        F.lit(False).alias("detected"), F.lit(0.0).alias("score"), F.lit(1.0).alias("min_score"),
+        F.lit(None).cast("double").alias("evm_percent"), F.lit(False).alias("validated"),
+        F.map_from_entries(F.transform("c", lambda x: F.struct(x["event_type"], x["k"] / F.col("total")))).alias("distribution"),
+    )
+    v = verdicts.fan_out(state)
+    shares = F.col("modulation.probabilities")
+    return rounded(
+        v.select(
+            "capture_id", F.col("modulation.choice").alias("choice"), F.col("modulation.confidence").alias("confidence"),
+            F.element_at(shares, F.col("modulation.choice")).alias("peak"),
+            F.aggregate(F.map_values(shares), F.lit(0.0), lambda a, x: a + x).alias("mass"),
+        )
+    )
+
+
 @query(
     "P23_verdicts",
     f"""WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 0 THEN ['BPSK', 'QPSK', '16-QAM'][(o_orderkey % 3)::INT+1] END AS label, (o_orderkey % 101)/100.0 AS lc, o_orderstatus = 'F' AS det, (o_orderkey % 7)/6.0 AS score,
