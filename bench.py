@@ -40,6 +40,13 @@ REGISTERED = (
     "A38_crc_scan_free",
     "A41_frame_search_all_hypotheses",
     "A40_code_screen",
+    "J5_corroborate_scheme",
+    "J9_lagged_bit_errors",
+    "J10_resolve_rotation",
+    "A24_deinterleave_in_chunks",
+    "A20_coherence_profile_all_frames",
+    "S15_capture_reports",
+    "U2_folder_summary",
 )
 
 

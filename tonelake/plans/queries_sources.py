@@ -150,6 +150,26 @@ def s6(inp: Inputs):
     return captures.with_sidecars(files.select("path"), captures.parse_sidecars(texts))
 
 
+@query(
+    "J6_manifest_join",
+    f"""WITH {_FILES},
+mf AS (SELECT parse_filename(path) AS name, (1000 + doc_id)::DOUBLE AS sample_rate, CASE WHEN doc_id % 2 = 0 THEN 'int16' ELSE 'complex64' END AS iq_format FROM fl WHERE doc_id % 3 = 1)
+SELECT path, sample_rate AS declared_sample_rate, iq_format AS declared_iq_format, name IS NOT NULL AS in_manifest FROM fl LEFT JOIN mf ON name = parse_filename(path)""",
+)
+def j6_manifest(inp: Inputs):
+    """Every third file stands in the manifest, half of these twice."""
+    files = _files(inp).select("path", "doc_id")
+    key = F.col("doc_id")
+    entry = [
+        F.element_at(F.split("path", "/"), -1).alias("name"), (key + 1000).cast("double").alias("sample_rate"),
+        F.when(key % 2 == 0, "int16").otherwise("complex64").alias("iq_format"),
+    ]
+    manifest = files.where(key % 3 == 1).select(*entry, F.lit("0a").alias("sha256"))
+    again = files.where(key % 6 == 1).select(*entry[:2], F.lit("uint8").alias("iq_format"), F.lit("0b").alias("sha256"))
+    joined = captures.with_manifest(files.select("path"), manifest.unionByName(again))
+    return joined.drop("declared_sha256")
+
+
 def _format_sql() -> str:
     byte_value = "(b - CASE WHEN b > 127 THEN 256 ELSE 0 END)"
     return sql(

@@ -330,6 +330,21 @@ def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def with_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Left join of files ``(path, ...)`` with what the download manifest says of their name.
+
+    ``manifest(name, ...)``; its other columns come with the prefix ``declared_``. Files that the
+    manifest does not name keep NULLs; of several entries with one name the first by its
+    checksum counts, so a file stays one row.
+    """
+    said = [c for c in manifest.columns if c != "name"]
+    one = manifest.groupBy("name").agg(F.min_by(F.struct(*said), F.coalesce(F.col("sha256"), F.lit(""))).alias("said"))
+    named = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return named.join(one, "name", "left").select(
+        *files.columns, *[F.col(f"said.{c}").alias(f"declared_{c}") for c in said], F.col("said").isNotNull().alias("in_manifest")
+    )
+
+
 # -- format inference ---------------------------------------------------------
 
 _MOMENTS = T.StructType(
