@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
+
+import numpy as np
 
 from tonelake.llm import fingerprints as fp
 from tonelake.llm import queries
@@ -23,10 +26,30 @@ def check(rows, got):
         assert (r["root"] == r["edited_root"]) == (new == text)
         assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
         assert (r["near_edited"] == 1.0) == (new == text)
-        if r["changed_at"] is not None:
-            data, changed = text.encode(), new.encode()
-            same = next((i for i, (x, y) in enumerate(zip(data, changed, strict=False)) if x != y), min(len(data), len(changed)))
-            assert r["changed_at"] <= same
+        for near, second in ((r["near_edited"], new), (r["near_next"], other)):
+            assert abs(near - plain_likeness(text, second)) < 1e-12
+        data, lacking = text.encode(), b"".join(text.encode()[c["start"] : c["end"]] for c in r["changes"])
+        want = pieces_of(text)
+        want.subtract(pieces_of(new))
+        assert len(lacking) == sum(len(p) * n for p, n in want.items() if n > 0)
+        assert all(0 <= c["start"] < c["end"] <= len(data) for c in r["changes"])
+
+
+def pieces_of(text):
+    """The leaves of a text as plain substrings."""
+    data, at, found = text.encode(), 0, Counter()
+    for length in fp.build(text).lengths.tolist():
+        found[data[at : at + length]] += 1
+        at += length
+    assert at == len(data)
+    return found
+
+
+def plain_likeness(one, two):
+    if one == two:
+        return 1.0
+    both = pieces_of(one) & pieces_of(two)
+    return 2 * sum(len(p) * n for p, n in both.items()) / len(one.encode() + two.encode())
 
 
 def test_query_against_texts(spark, sf_dir):
@@ -66,5 +89,31 @@ def test_edits_stay_local():
     assert sum(x != y for x, y in zip(a.paragraphs, b.paragraphs, strict=True)) == 1
     assert len(set(a.sections) - set(b.sections)) <= 2
     assert fp.likeness(a, b) > 0.99
-    assert fp.first_change(a, b) == len("\n".join(lines[:120])) + 1
+    _, other = fp.differing(a, b)
+    start = len("\n".join(lines[:120])) + 1
+    assert fp.changed_ranges(b, other)[0][0] == start
+    lines[20] += " more"
+    del lines[60:63]
+    both = fp.changed_ranges(a, fp.differing(a, fp.build("\n".join(lines)))[0])
+    assert len(both) >= 2  # all edits are told, not the first only
     assert fp.likeness(a, fp.build("nothing of the kind")) == 0.0
+
+
+def test_slices_of_long_texts_leave_no_trace(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \né🙂") for _ in range(n)) for n in (1, 7, 63, 64, 65, 500, 3000)]
+    texts += ["x" * 1000, "one long line " * 300, "\n" * 200]
+    whole = [fp.build(t) for t in texts]
+    monkeypatch.setattr(fp, "SLICE", 64)
+    for tree, text in zip(whole, texts, strict=True):
+        sliced = fp.build(text)
+        assert sliced.root == tree.root and np.array_equal(sliced.pieces, tree.pieces) and np.array_equal(sliced.lengths, tree.lengths)
+        assert sliced.section_ends == tree.section_ends and np.array_equal(sliced.paragraph_ends, tree.paragraph_ends)
+
+
+def test_matches_by_counts():
+    rng = random.Random(5)
+    for _ in range(200):
+        a = [rng.randrange(6) for _ in range(rng.randrange(12))]
+        b = [rng.randrange(6) for _ in range(rng.randrange(12))]
+        assert fp._unmatched_hashes(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == fp._unmatched(a, b)
