@@ -46,6 +46,27 @@ def test_words_of_a_mixed_text(field):
     assert place[:, 0].argmax(axis=1).tolist() == [1, 1, 1, 0, 0, 0, 0, 0, 1, 1]
 
 
+@pytest.mark.parametrize("length", [2, 3, 10, 97, 1000, 4000])
+def test_stretches_of_a_long_text_agree_with_the_whole(monkeypatch, length):
+    rng = np.random.default_rng(length)
+    table = rng.normal(size=(50, 3)) * 3
+    words = rng.integers(0, 50, length)
+    field = crf.Field(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), {})
+    place, _, _ = crf.marginals(table[words][:, None, :], field.transitions, field.start, np.array([length]))
+    for group in (1, 100, 400_000):
+        monkeypatch.setattr(crf, "GROUP_WORDS", group)
+        assert np.allclose(crf.long_shares(field, words, table), place.sum(axis=(0, 1)) / length, atol=1e-10)
+    monkeypatch.setattr(crf, "LONG_WORDS", 1)
+    assert np.allclose(crf.label_texts(field, [words, words[:1]], table)[0], place.sum(axis=(0, 1)) / length)
+
+
+def test_slices_of_long_texts(monkeypatch):
+    text = "Eins zwei ΣΑΣ " * 50 + "x" * 300
+    monkeypatch.setattr(crf, "SLICE", 20)
+    parts = list(crf._slices(text))
+    assert "".join(parts) == text.lower() and len(parts) > 20
+
+
 def test_groups_of_any_size_agree(field, monkeypatch):
     table = field.scores(["the", "haus", "garten", "was"])
     texts = [[0, 1, 2], [], [3] * 50, [1], [2, 2, 0, 0, 3]]

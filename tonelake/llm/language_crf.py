@@ -9,6 +9,7 @@ probability.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections import Counter
@@ -35,6 +36,9 @@ WORD = r"\p{L}[\p{L}\p{M}]{0,99}"
 REMEMBERED = 150_000
 #: Words whose recursions run side by side.
 GROUP_WORDS = 400_000
+#: A text of more words is cut into stretches; characters of a text that are read at a time.
+LONG_WORDS = 16_384
+SLICE = 1 << 20
 
 
 def features_of(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -63,12 +67,13 @@ class Field:
         return np.add.reduceat(self.weights[flat], starts, axis=0) if rows else np.zeros((0, len(self.languages)))
 
 
-def marginals(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray, lengths: np.ndarray):
+def marginals(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray, lengths: np.ndarray, expected: bool = True):
     """Forward-backward over sequences side by side.
 
     ``emissions`` is (time, sequence, language), sequences sorted from long to short by
     ``lengths``. Returns the probabilities of each language at each place, the expected
-    transitions, and the log likelihood denominators. Messages are scaled at each step.
+    transitions (zeros unless ``expected``), and the log likelihood denominators. Messages are
+    scaled at each step.
     """
     steps, count, size = emissions.shape
     alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # sequences longer than t
@@ -87,7 +92,7 @@ def marginals(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray,
     place = forward * backward
     place /= np.maximum(place.sum(axis=2, keepdims=True), 1e-300)
     pairs = np.zeros((size, size))
-    if steps > 1:
+    if steps > 1 and expected:
         inner = forward[:-1] / scale[1:, :, None] * (np.arange(1, steps)[:, None] < lengths)[:, :, None]
         after = backward[1:] * local[1:]
         pairs = move * np.einsum("tbi,tbj->ij", inner, after)
@@ -155,24 +160,106 @@ def fit_field(texts: list[list[str]], labels: list[str], seed: int = 0) -> Field
     return Field(languages, weights.astype(np.float32), transitions, start, lexicon)
 
 
-def label_texts(field: Field, texts: list[list[int]], table: np.ndarray) -> np.ndarray:
-    """Mean word probabilities per text, which are lists of rows of the emission ``table``."""
+def long_shares(field: Field, words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Mean word probabilities of a long text, with the loops over places within stretches that run side by side.
+
+    A stretch is a product of matrices; the products of all stretches give the messages that
+    enter each of them from both ends, and with these each stretch is labelled by itself. Exact,
+    with a number of steps and scratch memory of about the square root of the length.
+    """
+    move, size = np.exp(field.transitions), len(field.languages)
+    length = int(np.ceil(np.sqrt(len(words))))
+    count = -(-len(words) // length)
+    together = max(1, GROUP_WORDS // length)
+
+    def stretches(first: int) -> tuple[np.ndarray, np.ndarray]:
+        """(stretch, place, language) factors, and which places exist, from stretch ``first`` on."""
+        part = words[first * length : (first + together) * length]
+        here = -(-len(part) // length)
+        scores = np.zeros((here * length, size))
+        scores[: len(part)] = table[part]
+        local = np.exp(scores - scores.max(axis=1, keepdims=True)).reshape(here, length, size)
+        return local, (np.arange(here * length) < len(part)).reshape(here, length)
+
+    ahead, back = np.empty((count, size, size)), np.empty((count, size, size))
+    for first in range(0, count, together):
+        local, exists = stretches(first)
+        one = np.broadcast_to(np.eye(size), (len(local), size, size)).copy()
+        two = one.copy()
+        for t in range(length):
+            on, off = exists[:, t], exists[:, length - 1 - t]
+            one[on] = (one[on] * local[on, t, None, :]) @ move
+            two[off] = move @ (local[off, length - 1 - t, :, None] * two[off])
+            one /= one.max(axis=(1, 2), keepdims=True)
+            two /= two.max(axis=(1, 2), keepdims=True)
+        ahead[first : first + len(local)], back[first : first + len(local)] = one, two
+    enter, leave = np.empty((count, size)), np.ones((count, size))
+    message = np.exp(field.start)
+    for k in range(count):
+        enter[k] = message
+        message = message @ ahead[k]
+        message = message / message.sum()
+    for k in range(count - 2, -1, -1):
+        message = back[k + 1] @ leave[k + 1]
+        leave[k] = message / message.sum()
+    total = np.zeros(size)
+    for first in range(0, count, together):
+        local, exists = stretches(first)
+        forward, backward = np.empty_like(local), np.ones_like(local)
+        message, behind = enter[first : first + len(local)], leave[first : first + len(local)].copy()
+        for t in range(length):
+            forward[:, t] = message * local[:, t]
+            message = forward[:, t] @ move
+            message = message / message.sum(axis=1, keepdims=True)
+        for t in range(length - 1, -1, -1):
+            on = exists[:, t]
+            backward[on, t] = behind[on]
+            behind[on] = (local[on, t] * behind[on]) @ move.T
+            behind /= behind.sum(axis=1, keepdims=True)
+        place = forward * backward
+        place /= np.maximum(place.sum(axis=2, keepdims=True), 1e-300)
+        total += place[exists].sum(axis=0)
+    return total / len(words)
+
+
+def label_texts(field: Field, texts: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """Mean word probabilities per text, given as places in the emission ``table``."""
     out = np.zeros((len(texts), len(field.languages)))
-    order = sorted((k for k in range(len(texts)) if texts[k]), key=lambda k: -len(texts[k]))
+    order = sorted((k for k in range(len(texts)) if len(texts[k])), key=lambda k: -len(texts[k]))
     at = 0
     while at < len(order):
         longest = len(texts[order[at]])
+        if longest > LONG_WORDS:
+            out[order[at]] = long_shares(field, np.asarray(texts[order[at]]), table)
+            at += 1
+            continue
         part = order[at : at + max(1, GROUP_WORDS // longest)]
         at += len(part)
         lengths = np.array([len(texts[k]) for k in part])
         emissions = np.zeros((longest, len(part), len(field.languages)))
         for b, k in enumerate(part):
             emissions[: lengths[b], b] = table[texts[k]]
-        place, _, _ = marginals(emissions, field.transitions, field.start, lengths)
+        place, _, _ = marginals(emissions, field.transitions, field.start, lengths, expected=False)
         out[part] = place.sum(axis=0) / lengths[:, None]
     return out
 
 
+#: Between words, where a long text may be cut.
+_BLANK = re.compile(r"\s")
+
+
+def _slices(text: str) -> Iterator[str]:
+    """A text in lower case; a long one in slices that end after white space."""
+    start = 0
+    while len(text) - start > SLICE:
+        blank = _BLANK.search(text, start + SLICE)
+        if blank is None:
+            break
+        yield text[start : blank.end()].lower()
+        start = blank.end()
+    yield text[start:].lower()
+
+
 def label_languages(payloads: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``payloads(capture_id, message_utf8)`` and ``labels(capture_id, language)`` ->
     ``(capture_id, n_words long, language string, score double)``.
@@ -232,18 +319,21 @@ def label_languages(payloads: DataFrame, labels: DataFrame, sample_rows: int = S
                     seen.clear()
                 rows = []
                 for text in texts[first : first + 512]:
-                    words = find((text or "").lower())
-                    new = [w for w in set(words) if w not in seen]
-                    if new:
-                        while len(seen) + len(new) > len(table):
-                            table = np.concatenate([table, np.zeros_like(table)])
-                        table[len(seen) : len(seen) + len(new)] = field.scores(new)
-                        seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
-                    rows.append([seen[w] for w in words])
+                    parts = []
+                    for part in _slices(text or ""):
+                        words = find(part)
+                        new = [w for w in set(words) if w not in seen]
+                        if new:
+                            while len(seen) + len(new) > len(table):
+                                table = np.concatenate([table, np.zeros_like(table)])
+                            table[len(seen) : len(seen) + len(new)] = field.scores(new)
+                            seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
+                        parts.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                    rows.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
                 shares = label_texts(field, rows, table) if field.languages else np.zeros((len(rows), 1))
                 best = shares.argmax(axis=1)
                 for k, row in enumerate(rows):
-                    labelled = bool(row) and bool(field.languages)
+                    labelled = bool(len(row)) and bool(field.languages)
                     counts.append(len(row))
                     names.append(field.languages[best[k]] if labelled else "und")
                     scores.append(float(min(1.0, shares[k, best[k]])) if labelled else 0.0)
