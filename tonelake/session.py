@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,22 @@ def pin(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most ``rows`` rows in an Arrow batch of the jobs that run inside.
+
+    For rows as heavy as whole texts, of which the usual 10 000 would be held at once by the JVM
+    and by Python. Only jobs that are run inside see it, see ``pin``.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(usual)) if int(usual) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, usual)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a part of a scan that has fewer splits than the session has cores.
 
