@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tonelake.llm.components import components
 from tonelake.llm.records import extended
 from tonelake.llm.shingles import Shingler, mix, set_hash
-from tonelake.session import pin
+from tonelake.session import arrow_rows, pin
 
 #: At most so many shingles count as widely shared: each has at least this part of all occurrences.
 SHARED_LIMIT = 1 << 18
@@ -55,6 +55,8 @@ BLOCK_SHINGLES = 1 << 19
 BITS_EACH, MOST_BITS = 8, 1 << 26
 #: Parts that the members of a component are dealt to when its smallest id is sent to them.
 SALTS = 16
+#: Rows of an Arrow batch; a row can be a whole text or a set.
+BATCH_ROWS = 1024
 #: Texts whose sets a task makes together.
 PORTION = 256
 #: Members compared at once with a block.
@@ -550,16 +552,8 @@ def _open_clusters(meetings: DataFrame, label: DataFrame) -> DataFrame:
     return found.withColumn("lead", F.col("component") == F.col("leader"))
 
 
-def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``payloads(capture_id, message_utf8)`` -> ``(capture_id, n_shingles long, component_id)``.
-
-    ``component_id`` is the smallest ``capture_id`` that links lead to, the own one included.
-    Every input row gives one row, repeated rows included. A null, empty or blank message has
-    no shingles and links with nothing; fewer than ``words`` words are one shingle. A null
-    ``capture_id`` is never the smallest unless all of its component are null. An empty table
-    gives an empty table. Texts of any length are used whole; no tile, group or number of
-    candidates is capped.
-    """
+def _linked(payloads: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(capture_id, n, node)`` of every row, and ``(node, component)`` of the nodes that link."""
     surveyed = pin(_survey(payloads, words))
     sets = surveyed.where("n IS NOT NULL")
     survey = sets.select("capture_id", "n", "node")
@@ -589,7 +583,21 @@ def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> D
     alive = pin(_may_link(open_, percent))
     second = open_.join(alive, ["leader", "node"])
     more = _links_within(second, _arrays(payloads, alive.select("node").distinct(), survey, words), percent, True)
-    final = components(links.unionByName(pin(more)))
+    return survey, components(links.unionByName(pin(more)))
+
+
+def near_duplicates(payloads: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``payloads(capture_id, message_utf8)`` -> ``(capture_id, n_shingles long, component_id)``.
+
+    ``component_id`` is the smallest ``capture_id`` that links lead to, the own one included.
+    Every input row gives one row, repeated rows included. A null, empty or blank message has
+    no shingles and links with nothing; fewer than ``words`` words are one shingle. A null
+    ``capture_id`` is never the smallest unless all of its component are null. An empty table
+    gives an empty table. Texts of any length are used whole; no tile, group or number of
+    candidates is capped.
+    """
+    with arrow_rows(payloads.sparkSession, BATCH_ROWS):
+        survey, final = _linked(payloads, words, percent)
 
     smallest = survey.where("n > 0").groupBy("node").agg(F.min("capture_id").alias("smallest"))
     # A component of very many nodes would be one key of the join with its head, so both are salted.
